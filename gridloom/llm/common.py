@@ -28,13 +28,18 @@ def ascii_lower(col: Column) -> Column:
 
 
 def raw_words(text: Column) -> Column:
-    """Words in their original case; null text has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), NOT_WORD, -1), "")
+    """Words, in lower case only where the text is plain ASCII; null text has none."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.octet_length(text) == F.length(text)
+    return F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(text), NOT_WORD, -1), "")
 
 
-def word_hashes(words: Column) -> Column:
-    """A 64-bit hash of each lower-cased word."""
-    return F.transform(words, lambda w: F.xxhash64(ascii_lower(w)))
+def word_hashes(text: Column, words: Column) -> Column:
+    """A 64-bit hash of each lower-cased word of ``raw_words(text)``."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.transform(words, lambda w: F.xxhash64(w))).otherwise(
+        F.transform(words, lambda w: F.xxhash64(ascii_lower(w)))
+    )
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -25,36 +25,42 @@ BROADCAST_WINDOWS = 200_000
 
 
 def _hashed(df: DataFrame, keys: dict[str, Column], text: str) -> DataFrame:
-    words = df.select(*[c.alias(k) for k, c in keys.items()], raw_words(F.col(text)).alias("_w"))
-    return words.select("*", word_hashes(F.col("_w")).alias("_h"))
+    words = df.select(
+        *[c.alias(k) for k, c in keys.items()], F.col(text).alias("_x"), raw_words(F.col(text)).alias("_w")
+    )
+    return words.select(*keys, "_w", word_hashes(F.col("_x"), F.col("_w")).alias("_h"))
 
 
 def _gram(at: Column, gram: int) -> Column:
     return F.xxhash64(*[F.get("_h", at + i) for i in range(gram)])
 
 
-def _kept(at: Column, window: int, gram: int) -> Column:
-    """The smallest hash of the window at a position; its low four bits say where it stands."""
-    n = window - gram + 1
-    ranked = [
-        _gram(at + i, gram).bitwiseAND(F.lit(~15)).bitwiseOR(F.lit(n - 1 - i)) for i in range(n)
-    ]
+def _kept(at: Column, n: int) -> Column:
+    """The smallest of n hashes from a position on; its low four bits say where it stands."""
+    ranked = [F.get("_g", at + i).bitwiseOR(F.lit(n - 1 - i)) for i in range(n)]
     return F.least(*ranked) if n > 1 else ranked[0]
 
 
 def fingerprints(hashed: DataFrame, keys: list[str], window: int, gram: int) -> DataFrame:
     """One row for each kept hash: keys, words and hashes, ``_at`` (first word), ``_fp``.
 
-    Everything from the split to the filter runs in one pass over a text, without a shuffle.
+    Everything from the split to the filter runs in one pass over a text, without a shuffle. The
+    array of gram hashes is built first, which keeps the code generated after it small enough for
+    the JVM to compile.
     """
     n = window - gram + 1
     assert n <= 16, "four bits hold the position"
-    starts = F.when(
-        F.size("_h") >= window, F.sequence(F.lit(0), F.size("_h") - window)
-    ).otherwise(F.array().cast("array<int>"))
-    at = hashed.select("*", F.explode(starts).alias("_pos"))
+    grams = F.transform(
+        F.slice("_h", 1, F.greatest(F.size("_h") - (gram - 1), F.lit(0))),
+        lambda h, i: F.xxhash64(h, *[F.get("_h", i + k) for k in range(1, gram)]).bitwiseAND(F.lit(~15)),
+    )
+    held = hashed.select(*keys, "_w", grams.alias("_g"))
+    starts = F.when(F.size("_g") >= n, F.sequence(F.lit(0), F.size("_g") - n)).otherwise(
+        F.array().cast("array<int>")
+    )
+    at = held.select("*", F.explode(starts).alias("_pos"))
     pos = F.col("_pos")
-    best = at.select("*", _kept(pos, window, gram).alias("_m"), _kept(pos - 1, window, gram).alias("_p"))
+    best = at.select("*", _kept(pos, n).alias("_m"), _kept(pos - 1, n).alias("_p"))
     where = lambda m, start: start + (n - 1) - F.col(m).bitwiseAND(F.lit(15)).cast("int")
     new = (pos == 0) | (where("_m", pos) != where("_p", pos - 1))
     return best.filter(new).select(
