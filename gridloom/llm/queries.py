@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, secrets, tool_calls, url_rules
-from gridloom.llm.common import table
+from gridloom.llm import decontaminate, secrets, token_store, tool_calls, tree_bpe, url_rules
+from gridloom.llm.common import scratch, table
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    token_store.write(table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=2)
+    return token_store.read_digests(spark, path)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,15 +34,21 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(calls, results, schemas)
 
 
+def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_bpe.digest(tree_bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE), WORD_BPE)
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rules_table(spark))
     return url_rules.digest(judged)
 
 
 QUERIES = {
+    "op1_token_store": op1_token_store,
     "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
     "op5_tool_calls": op5_tool_calls,
+    "op6_tree_bpe": op6_tree_bpe,
     "op9_urls": op9_urls,
 }
 
