@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, secrets, token_store, tool_calls, tree_bpe, url_rules
+from gridloom.llm import decontaminate, quality, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
 from gridloom.llm.common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,16 @@ def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.digest(tree_bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE), WORD_BPE)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digest(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.digest(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rules_table(spark))
     return url_rules.digest(judged)
@@ -49,6 +59,8 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_tool_calls": op5_tool_calls,
     "op6_tree_bpe": op6_tree_bpe,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_urls": op9_urls,
 }
 
