@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, quality, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
+from gridloom.llm import decontaminate, media, quality, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
 from gridloom.llm.common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,12 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.digest(judged)
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), scratch(spark, "media")
+    media.write(docs, path)
+    return media.digest(docs, path)
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op3_decontaminate": op3_decontaminate,
@@ -62,6 +68,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
+    "op10_media": op10_media,
 }
 
 ORACLES = {
