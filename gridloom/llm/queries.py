@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, media, quality, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
+from gridloom.llm import decontaminate, media, ngram_join, quality, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
 from gridloom.llm.common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
@@ -61,6 +65,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_ngram_join": op2_ngram_join,
     "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
     "op5_tool_calls": op5_tool_calls,
@@ -72,6 +77,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_join": ngram_join.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
     "op9_urls": url_rules.ORACLE,
 }
