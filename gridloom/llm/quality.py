@@ -217,20 +217,35 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, exp
     return fit(rows.column("text").to_pylist(), np.array(rows.column("_y").to_pylist(), dtype=float))
 
 
+def _scores(m: Model, texts: list) -> np.ndarray:
+    """Scores of a batch, in parts of bounded size."""
+    parts, lo = [np.zeros(0)], 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < 1_500_000):
+            size, hi = size + len(texts[hi] or ""), hi + 1
+        parts.append(predict(m, texts[lo:hi]))
+        lo = hi
+    return np.concatenate(parts)
+
+
+def with_score(docs: DataFrame, m: Model, name: str = "score") -> DataFrame:
+    """All columns and the score."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            s = _scores(m, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
+
+
 def score(docs: DataFrame, m: Model) -> DataFrame:
-    """doc_id and ``score`` of each row."""
+    """doc_id and ``score`` of each row; only these go back to the JVM."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            texts, lo = batch.column("text").to_pylist(), 0
-            parts = []
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < 1_500_000):
-                    size, hi = size + len(texts[hi] or ""), hi + 1
-                parts.append(predict(m, texts[lo:hi]))
-                lo = hi
-            s = np.concatenate(parts) if parts else np.zeros(0)
+            s = _scores(m, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select("doc_id", "text")

@@ -1,7 +1,8 @@
 """Tool-call linking on DataFrame functions alone.
 
-Calls and results meet in a shuffled hash join by conversation and call id, dependencies give each
-call its level by repeated joins, arguments are checked against per-tool schemas, and each linked
+Calls and results meet in a shuffled hash join by conversation and call id. Where every dependency
+stands before its call, turns are a topological order; in other conversations dependencies give each
+call its level by repeated joins. Arguments are checked against per-tool schemas, and each linked
 call becomes one canonical JSON record (keys sorted at every depth).
 
 Cases: a call without conversation or call id keeps its own row with status ``no_id``; of repeated
@@ -59,6 +60,13 @@ def levels(calls: DataFrame) -> DataFrame:
     return done
 
 
+def out_of_order(calls: DataFrame) -> DataFrame:
+    """conv_id of conversations in which a call depends on itself or on a later one."""
+    deps = calls.select("conv_id", F.struct("turn", "call_id").alias("_at"), F.explode(F.array_compact("depends")).alias("dep"))
+    target = calls.select("conv_id", F.col("call_id").alias("dep"), F.struct("turn", "call_id").alias("_dep"))
+    return deps.join(target, ["conv_id", "dep"]).filter("_dep >= _at").select("conv_id").distinct()
+
+
 def argument_errors(args: Column, schema: Column) -> Column:
     """What is wrong with a map of variants; schema: array of (arg, type, required), null if none."""
     held = F.map_keys(args)
@@ -80,7 +88,7 @@ def argument_errors(args: Column, schema: Column) -> Column:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per call: conv_id, call_id, position, level, status, errors, n_results, record.
+    """One row per call: conv_id, call_id, position, status, errors, n_results, record.
 
     results: conv_id, turn, call_id, content; schemas: name, arg, type, required.
     """
@@ -91,7 +99,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         F.count("*").alias("n_results"), F.min(F.struct("turn", "content")).alias("_res")
     )
     both = tools.join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
-    both = both.join(levels(first), ["conv_id", "call_id"], "left")
+    # where every dependency stands earlier, the order of turns is one; only the rest needs levels
+    mixed = materialise(out_of_order(first), "mixed")
+    level = levels(first.join(mixed, "conv_id", "left_semi"))
+    both = both.join(level, ["conv_id", "call_id"], "left").join(mixed.withColumn("_mixed", F.lit(True)), "conv_id", "left")
+    both = both.withColumn("level", F.when(F.col("_mixed").isNull(), 0).otherwise(F.col("level")))
     object_ = F.col("arguments").rlike(r"^\s*\{")
     args = F.when(object_ & F.try_parse_json("arguments").isNotNull(), F.from_json("arguments", "map<string,variant>"))
     errors = argument_errors(args, F.col("_schema"))
@@ -112,11 +124,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         part("name", quoted(F.col("name"))), part("result", quoted(F.col("content")))), F.lit("}"),
     )
     linked = ready.select(
-        "conv_id", "call_id", "position", F.col("level").cast("long"), status.alias("status"),
+        "conv_id", "call_id", "position", status.alias("status"),
         F.array_join("errors", ",").alias("errors"), "n_results", record.alias("record"),
     )
     stray = calls.filter("conv_id IS NULL OR call_id IS NULL").select(
-        "conv_id", "call_id", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit("no_id"), F.lit(""),
+        "conv_id", "call_id", F.lit(None).cast("long"), F.lit("no_id"), F.lit(""),
         F.lit(0).cast("long"), F.lit(None).cast("string"),
     )
     return linked.unionAll(stray)
