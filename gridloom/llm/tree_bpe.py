@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,10 @@ EDGE = 128
 FIRST_WINDOW = 24
 #: Outer tokens of a window that must agree.
 AGREE = 6
-#: Words whose tokens a task keeps.
-CACHE_WORDS = 300_000
+#: Words, and stretches between spaces, whose ids a Python worker keeps.
+CACHE_WORDS, CACHE_STRETCHES = 600_000, 400_000
+#: ASCII marks that the splitter parts from letters; the apostrophe begins contractions.
+MARKS = "".join(c for c in string.punctuation if c != "'")
 
 
 def load_tokenizer(path: str):
@@ -65,6 +69,57 @@ def splits_at_space(path: str) -> bool:
     return local and drops and rest and added and spec.get("post_processor") is None
 
 
+def byte_letters() -> str:
+    """The letter that byte-level vocabularies write for each byte: printable ones themselves, the rest
+    from U+0100 on in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in plain else next(rest)) for b in range(256))
+
+
+class Stretches(dict):
+    """Ids (bytes) of stretches between spaces; unknown ones are worked out and kept.
+
+    Letters with ASCII marks around them are put together from the word and its marks, which the
+    splitter always parts. Words of Latin letters below U+0130, whose lower case and normal form don't
+    depend on context, go straight to the vocabulary's merges; everything else through the whole tokenizer.
+    """
+
+    def __init__(self, tok, direct: bool):
+        super().__init__()
+        self.tok, self.direct, self.model = tok, direct, tok.model
+        self.letters = byte_letters()
+        self.kept: dict[str, bytes] = {}
+
+    def _full(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        low = word.lower()
+        ids = self.kept.get(low)
+        if ids is None:
+            if len(self.kept) >= CACHE_WORDS:
+                self.kept.clear()
+            spelled = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            ids = self.kept[low] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return ids
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE_STRETCHES:
+            self.clear()
+        core = key.strip(MARKS)
+        if self.direct and core.isalpha() and max(core) < "\u0130" and "<|" not in key:
+            ids = self._word(core)
+            if len(core) < len(key):
+                at = key.index(core)
+                before, after = key[:at], key[at + len(core) :]
+                ids = (self[before] if before else b"") + ids + (self[after] if after else b"")
+        else:
+            ids = self._full(key) if key else b""
+        self[key] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts, exactly as the tokenizer gives them; one for each Python worker and file."""
 
@@ -73,7 +128,10 @@ class Encoder:
     def __init__(self, path: str):
         self.tok = load_tokenizer(path)
         self.by_word = splits_at_space(path)
-        self.words: dict[str, np.ndarray] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        direct = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+        self.stretches = Stretches(self.tok, self.by_word and direct)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -84,31 +142,12 @@ class Encoder:
     def full(self, text: str):
         return self.tok.encode(text, add_special_tokens=False)
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = list(words)
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
-
     def many(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_word:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            get = self.words
-            try:
-                out.append(b"".join([get[w] for w in words]))
-            except KeyError:
-                self.learn(set(words))
-                get = self.words
-                out.append(b"".join([get[w] for w in words]))
-        return out
+            return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        get = self.stretches.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def batches(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
