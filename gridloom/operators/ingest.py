@@ -76,7 +76,8 @@ def missing_hours(df: DataFrame, by_region: bool = False) -> DataFrame:
     keys = ["region"] if by_region else []
     kind = df.schema["timestamp"].dataType
     span = df.groupBy(*keys).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"))
-    grid = span.select(*keys, F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).cast(kind).alias("timestamp"))
+    grid = span.select(*keys, F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("timestamp"))
+    grid = grid.withColumn("timestamp", F.col("timestamp").cast(kind))
     return grid.join(df.select(*keys, "timestamp"), [*keys, "timestamp"], "left_anti")
 
 

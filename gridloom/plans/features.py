@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.calendars import add_aliases, day_parts, holiday_features, temporal_features
@@ -66,7 +66,7 @@ def features_full(df: DataFrame, advanced: bool = False, winsor: bool = False, c
         endless = [c for c in ("temp_momentum", "wind_momentum") if c in new]
         for c, src in (("temp_momentum", "temperature"), ("wind_momentum", "wind_speed")):
             if c in endless:  # an old value there but no quotient: a change from 0
-                new[f"_has_{c}"] = F.lag(src, 3).over(w).isNotNull()
+                new[f"_has_{c}"] = F.last(src, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -3)).isNotNull()
     out = ewma_features(out.withColumns(new))
     out = interaction_features(out)
     if "temperature" in out.columns:

@@ -23,7 +23,7 @@ from gridloom.operators.splits import cv_folds, row_index, temporal_split
 
 TARGET = "consumption_mw"
 DEFAULTS = {
-    "gbt": {"maxIter": 40, "maxDepth": 5, "stepSize": 0.1, "seed": 42}, "forest": {"numTrees": 40, "maxDepth": 8, "seed": 42},
+    "gbt": {"maxIter": 40, "maxDepth": 5, "stepSize": 0.1, "validationTol": 0.001, "seed": 42}, "forest": {"numTrees": 40, "maxDepth": 8, "seed": 42},
     "linear": {"regParam": 1e-6},
 }
 SPACES = {
@@ -62,7 +62,7 @@ def fit_regressor(kind: str, train: DataFrame, val: DataFrame | None, features:
     rows = train
     if kind == "gbt" and val is not None:
         rows = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
-        est = est.setValidationIndicatorCol("_val").setValidationTol(0.001)
+        est = est.setValidationIndicatorCol("_val")
     return Fitted(est.fit(assemble(rows, features)), features, kind)
 
 

@@ -42,7 +42,9 @@ def flatten_hourly_payload(df: DataFrame, payload: str = "payload", names: dict[
     """Rows (region, timestamp, variables) from JSON whose ``hourly`` object holds parallel arrays."""
     arrays = ",".join(["time:array<string>"] + [f"{v}:array<double>" for v in names])
     parsed = df.select("region", F.from_json(payload, f"hourly struct<{arrays}>")["hourly"].alias("_h"))
-    flat = parsed.select("region", F.inline(F.arrays_zip(*[F.col(f"_h.{c}").alias(c) for c in ("time", *names)])))
+    empty = lambda c: F.array().cast("array<string>" if c == "time" else "array<double>")
+    filled = lambda c: F.coalesce(F.col(f"_h.{c}"), empty(c))  # noqa: E731  a variable may be missing
+    flat = parsed.select("region", F.inline(F.arrays_zip(*[filled(c).alias(c) for c in ("time", *names)])))
     return flat.withColumn("timestamp", F.col("time").try_cast("timestamp")).drop("time").withColumnsRenamed(names)
 
 

@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.regions import map_region
 from gridloom.operators.drift import z_columns
 from gridloom.operators.ingest import clean_readings, kwh_to_mw
 from gridloom.operators.monitor import ALERT_BELOW, LEAST, NOMINAL, SIGMAS, WINDOW, attach_actuals
-from gridloom.functions.regions import map_region
 
 
 def event_time(df: DataFrame, ts: str) -> DataFrame:
@@ -42,7 +42,8 @@ def stream_coverage(sdf: DataFrame, size: int = WINDOW) -> DataFrame:
         out = []
         for r in _ordered(batches).itertuples():
             hits = [*hits[-(size - 1) :], float(r.lower <= r.actual <= r.upper)]
-            share = round(float(np.mean(hits)), 4)
+            # rounded half up, as SQL does
+            share = float((2 * 10_000 * int(sum(hits)) + len(hits)) // (2 * len(hits))) / 10_000
             out.append((r.event_id, key[0], r.timestamp, share, len(hits), share < ALERT_BELOW, share - NOMINAL))
         state.update((hits,))
         yield pd.DataFrame(out, columns=["event_id", "region", "timestamp", "coverage", "n_window", "alert", "coverage_error"])
