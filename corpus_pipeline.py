@@ -45,7 +45,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    return tree_bpe.digest(tree_bpe.encode(docs, queries.WORD_BPE), queries.WORD_BPE)
+    return tree_bpe.digest(docs, queries.WORD_BPE)
 
 
 STAGES = [

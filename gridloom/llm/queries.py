@@ -39,7 +39,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree_bpe.digest(tree_bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE), WORD_BPE)
+    return tree_bpe.digest(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ FIRST_WINDOW = 24
 #: Outer tokens of a window that must agree.
 AGREE = 6
 #: Words, and stretches between spaces, whose ids a Python worker keeps.
-CACHE_WORDS, CACHE_STRETCHES = 600_000, 400_000
+CACHE_WORDS, CACHE_STRETCHES = 500_000, 300_000
 #: ASCII marks that the splitter parts from letters; the apostrophe begins contractions.
 MARKS = "".join(c for c in string.punctuation if c != "'")
 
@@ -294,23 +294,51 @@ class Decoder:
         return " ".join(self.numbers[ids].tolist())
 
 
-def encode(docs: DataFrame, path: str, least: int = LEAF_CHARS) -> DataFrame:
-    """doc_id, _tag (hash of the text), ids (binary, little-endian 32-bit) of each row.
+def raw_ids(path: str, ids: list[bytes]) -> dict[str, pa.Array]:
+    """The ids themselves, little-endian 32-bit."""
+    return {"ids": pa.array(ids, pa.binary())}
+
+
+def digests(path: str, ids: list[bytes]) -> dict[str, pa.Array]:
+    """Number of tokens, and SHA-256 of the ids as text and of the decoded text."""
+    dec = Decoder.of(path)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    each = [np.frombuffer(x, "<u4") for x in ids]
+    return {
+        "n_tokens": pa.array([len(x) for x in each], pa.int64()), "ids_sha256": pa.array([sha(dec.listed(x)) for x in each], pa.string()),
+        "decoded_sha256": pa.array([sha(dec.text(x)) for x in each], pa.string()),
+    }
+
+
+def decoded(path: str, ids: list[bytes]) -> dict[str, pa.Array]:
+    """Number of tokens and the decoded text."""
+    dec = Decoder.of(path)
+    each = [np.frombuffer(x, "<u4") for x in ids]
+    return {"n_tokens": pa.array([len(x) for x in each], pa.int64()), "decoded": pa.array([dec.text(x) for x in each], pa.string())}
+
+
+#: What each way to finish a document adds to its row.
+COLUMNS = {
+    raw_ids: "ids binary", digests: "n_tokens long, ids_sha256 string, decoded_sha256 string", decoded: "n_tokens long, decoded string",
+}
+
+
+def encode(docs: DataFrame, path: str, least: int = LEAF_CHARS, finish=raw_ids) -> DataFrame:
+    """doc_id and what ``finish`` makes of a text's ids, for each row.
 
     Rows of short texts are encoded where they are. Pieces of long ones are dealt out, encoded, and
-    brought together again by text, so equal long texts are encoded once.
+    brought together again by text, so equal long texts are encoded once. Ids are finished in the task
+    that has them, so that a stage runs one Python worker and long ids aren't shuffled again.
     """
+    added = COLUMNS[finish]
+    names = [c.split()[0] for c in added.split(", ")]
 
     def plain(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.of(path)
         for batch in it:
-            texts = batch.column("text").to_pylist()
-            for start, part in batches(texts):
-                rest = batch.slice(start, len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [rest.column("doc_id"), rest.column("_tag"), pa.array(enc.many(part), pa.large_binary()).cast(pa.binary())],
-                    ["doc_id", "_tag", "ids"],
-                )
+            for start, part in batches(batch.column("text").to_pylist(), 1_000_000):
+                got = finish(path, enc.many(part))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(part)), *got.values()], ["doc_id", *names])
 
     def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -321,54 +349,39 @@ def encode(docs: DataFrame, path: str, least: int = LEAF_CHARS) -> DataFrame:
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.of(path)
         for batch in it:
-            for start, part in batches(batch.column("text").to_pylist()):
+            for start, part in batches(batch.column("text").to_pylist(), 1_000_000):
                 rest = batch.slice(start, len(part))
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(enc.many(part), pa.binary())], [*rest.schema.names, "ids"])
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_no").drop_duplicates("_no")
         parts = [(t, np.frombuffer(b, "<u4").tolist()) for t, b in zip(pdf["text"], pdf["ids"], strict=True)]
-        ids = concatenate(Encoder.of(path), parts)
-        return pd.DataFrame({"_tag": [pdf["_tag"].iloc[0]], "ids": [np.array(ids, dtype="<u4").tobytes()]})
+        ids = array("I", concatenate(Encoder.of(path), parts)).tobytes()
+        return pd.DataFrame({"_tag": [pdf["_tag"].iloc[0]]} | {k: v.to_pylist() for k, v in finish(path, [ids]).items()})
 
     piece_schema = pa.schema([("_tag", pa.string()), ("_no", pa.int32()), ("text", pa.string())])
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    short = rows.filter(F.length("text") <= least).withColumn("_tag", F.lit(""))
-    short = short.mapInArrow(plain, rows.select("doc_id", F.lit("").alias("_tag"), F.lit(b"").alias("ids")).schema)
+    key = rows.schema["doc_id"].dataType.simpleString()
+    short = rows.filter(F.length("text") <= least).mapInArrow(plain, f"doc_id {key}, {added}")
     long_ = rows.filter(F.length("text") > least).withColumn("_tag", F.sha2("text", 256))
     # copies are reduced to one text each, within tasks first, so a group is one text's pieces
     cut = long_.select("_tag", "text").distinct().mapInArrow(pieces, "_tag string, _no int, text string")
     done = cut.repartition("_tag", "_no").mapInArrow(encoded, "_tag string, _no int, text string, ids binary")
-    whole = done.groupBy("_tag").applyInPandas(merged, "_tag string, ids binary")
-    return short.unionAll(long_.select("doc_id", "_tag").join(whole, "_tag").select("doc_id", "_tag", "ids"))
+    whole = done.groupBy("_tag").applyInPandas(merged, f"_tag string, {added}")
+    return short.unionAll(long_.select("doc_id", "_tag").join(whole, "_tag").select("doc_id", *names))
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, text (decoded) of each row."""
+def decode(rows: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens and the decoded text of rows with ids."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dec = Decoder.of(path)
         for batch in it:
-            ids = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([dec.text(x) for x in ids], pa.string())],
-                ["doc_id", "n_tokens", "text"],
-            )
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, text string")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *decoded(path, batch.column("ids").to_pylist()).values()], ["doc_id", "n_tokens", "decoded"])
 
+    key = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {key}, {COLUMNS[decoded]}")
 
-def digest(encoded: DataFrame, path: str) -> DataFrame:
-    """The registered query's columns: hashes of the ids and of the decoded text."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dec = Decoder.of(path)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in it:
-            ids = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(dec.listed(x)) for x in ids]), pa.array([sha(dec.text(x)) for x in ids])],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digest(docs: DataFrame, path: str, least: int = LEAF_CHARS) -> DataFrame:
+    """The registered query's columns."""
+    return encode(docs, path, least, digests)
