@@ -200,7 +200,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for batch in it:
             for r in batch.to_pylist():
                 ids = unpack(r["planes"], r["n_ids"], r["mode"], r["width"]).astype(np.int64)
-                yield pa.RecordBatch.from_pylist([{"shard": r["shard"], "first_id": r["first_id"], "ids": ids}])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["shard"]], pa.int32()), pa.array([r["first_id"]], pa.int64()), pa.array([ids], pa.list_(pa.int64()))],
+                    ["shard", "first_id", "ids"],
+                )
 
     return _stored(spark, path, "chunk").select("shard", "first_id", "n_ids", "width", "mode", "planes").mapInArrow(
         run, "shard int, first_id long, ids array<long>"

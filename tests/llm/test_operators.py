@@ -1,0 +1,403 @@
+"""Corpus operators against brute force and on the edges: nulls, empty and long texts, ties, repeated
+rows, empty tables and extra columns of clashing names."""
+
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from gridloom.llm import components, decontaminate, media, ngram_join, quality, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, key string, tag string, start string, score string, words string, _w string, lang string"
+
+
+def docs(spark, texts):
+    rows = [(i, t, "k", "t", "s", "x", "w", "z", "en") for i, t in (texts.items() if isinstance(texts, dict) else enumerate(texts))]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def listed(spark, pairs):
+    return spark.createDataFrame([(i, t, "k", "t", "s", "x", "w", "z", "en") for i, t in pairs], SCHEMA)
+
+
+EDGES = [None, "", " ", "\n\n", "a", "a b c d e", "É" * 300, "word " * 3000, "😀́<|endoftext|>x", "a b c d e"]
+
+
+# -- 1 and 6 -----------------------------------------------------------------------------------------
+
+
+def test_planes_round_trip():
+    rng = np.random.default_rng(1)
+    for mode in ("byte", "bit"):
+        for n in (1, 7, 8, 1000):
+            ids = rng.integers(0, 2**32, n, dtype=np.uint64)
+            assert (token_store.unpack(token_store.pack(ids, mode), n, mode, 4) == ids).all()
+
+
+@given(st.lists(st.binary(max_size=40), min_size=1, max_size=5))
+@settings(max_examples=40, deadline=None)
+def test_crc_of_parts(parts):
+    assert token_store.crc32_joined([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+
+
+@pytest.mark.parametrize("mode", ["byte", "bit"])
+def test_token_store(spark, tmp_path, mode):
+    tok = tree_bpe.load_tokenizer(PATH)
+    df = listed(spark, [*enumerate(EDGES), (None, "none"), (3, "again"), (3, "again")])
+    token_store.write(df, str(tmp_path / "s"), PATH, 2, mode, block=64)
+    got = token_store.read_digests(spark, str(tmp_path / "s")).collect()
+    order = sorted(((i, t or "") for i, t in [*enumerate(EDGES), (None, "none"), (3, "again"), (3, "again")]), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    at, want = 0, []
+    for i, t in order:
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    stream = sorted(token_store.read_ids(spark, str(tmp_path / "s")).collect(), key=lambda r: (r["shard"], r["first_id"]))
+    assert sum(len(r["ids"]) for r in stream) == at
+
+
+def test_empty_tables(spark, tmp_path):
+    none = docs(spark, [])
+    token_store.write(none, str(tmp_path / "e"), PATH, 2)
+    assert token_store.read_digests(spark, str(tmp_path / "e")).count() == 0
+    assert tree_bpe.digest(none, PATH).count() == 0
+    media.write(none, str(tmp_path / "m"))
+    assert media.digest(none, str(tmp_path / "m")).count() == 0
+    assert ngram_join.near_copies(none).count() == 0
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.decontaminate(none, bench).count() == 0
+    assert secrets.scan(none, secrets.train(secrets.labelled_samples(none))).count() == 0
+
+
+ALPHABET = ["a", "the", "ing", " ", "\n", "'s", "'ll", "'", "É", "ß", "中", "😀", "<|endoftext|>", "<|", "|>", "1", "23", "!!", "...", "́", "İ", "Σ", "ﬁ", "\t", "\x0b", "x" * 40, "(the", "word,", "_x_", "ı"]
+
+
+@given(st.lists(st.sampled_from(ALPHABET), max_size=120), st.sampled_from([3, 17, 64]))
+@settings(max_examples=150, deadline=None)
+def test_tree_equals_library(parts, least):
+    text, enc = "".join(parts), tree_bpe.Encoder.of(PATH)
+    want = enc.full(text).ids
+    assert np.frombuffer(enc.many([text])[0], "<u4").tolist() == want
+    assert tree_bpe.encode_tree(PATH, text, least) == want
+    ids = np.array(want, "<u4")
+    assert tree_bpe.Decoder.of(PATH).text(ids) == enc.tok.decode(want, skip_special_tokens=False)
+
+
+def test_tree_without_any_space(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice(["th", "er", "on", "é", "1", "-"]) for _ in range(4000))
+    df = listed(spark, [(1, text), (2, text), (None, text), *((i + 10, t) for i, t in enumerate(EDGES))])
+    tok = tree_bpe.load_tokenizer(PATH)
+    got = sorted(map(tuple, tree_bpe.encode(df, PATH, 500).collect()), key=str)
+    want = [(r["doc_id"], bytearray(np.array(tok.encode(r["text"] or "", add_special_tokens=False).ids, "<u4").tobytes())) for r in df.collect()]
+    assert sorted(((a, bytes(b)) for a, b in got), key=str) == sorted(((a, bytes(b)) for a, b in want), key=str)
+    back = {r["doc_id"]: r["decoded"] for r in tree_bpe.decode(tree_bpe.encode(df, PATH, 500), PATH).collect()}
+    assert back[1] == tok.decode(tok.encode(text, add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+# -- 2 -----------------------------------------------------------------------------------------------
+
+
+def test_bands_reach_recall():
+    b = ngram_join.bands_for(0.8, 4, 0.9995)
+    assert 1 - (1 - 0.8**4) ** b >= 0.9995 > 1 - (1 - 0.8**4) ** (b - 1)
+
+
+def brute(texts):
+    word = re.compile(ngram_join.NOT_WORD)
+    sets = {}
+    for i, t in texts.items():
+        w = [x for x in word.split((t or "").translate(ngram_join.ASCII_LOWER)) if x]
+        k = min(5, len(w))
+        sets[i] = (tuple(w), {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set())
+    links = {i: 0 for i in texts}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            x, y = sets[a][1], sets[b][1]
+            if a < b and x and y and len(x & y) * 1.8 + 1e-9 >= 0.8 * (len(x) + len(y)):
+                links[a] += 1
+                links[b] += 1
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {i: (find(i), links[i]) for i in texts}
+
+
+def test_near_copies_with_a_large_group(spark, monkeypatch):
+    rng = random.Random(7)
+    vocab = ["w%d" % i for i in range(500)]
+    base = [rng.choice(vocab) for _ in range(120)]
+    texts = {}
+    for i in range(90):  # near copies, more than a block holds
+        w = list(base)
+        w[rng.randrange(120)] = "changed%d" % rng.randrange(9)
+        texts[i] = " ".join(w)
+    for i in range(100, 160):
+        texts[i] = " ".join(rng.choice(vocab) for _ in range(rng.choice([3, 40, 80])))
+    texts |= {200: None, 201: "", 202: texts[120], 203: texts[120].upper() + "!", 204: "a b", 205: "a  b", 206: "?!", 207: "?!"}
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_copies(docs(spark, texts)).collect()}
+    assert got == brute(texts)
+    kept = ngram_join.one_of_each(docs(spark, texts))
+    assert kept.columns == docs(spark, {}).columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, (c, _) in got.items() if c == i}
+
+
+def test_near_copies_null_ids_and_repeats(spark):
+    got = ngram_join.near_copies(listed(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")])).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, None, None, 0), (1, 1, 1, 1), (1, 1, 1, 1)], key=str)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
+    got = {r["v"]: r["root"] for r in components.components(edges).collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+# -- 3 -----------------------------------------------------------------------------------------------
+
+
+def brute_hits(texts, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: word.findall((t or "").translate(ngram_join.ASCII_LOWER))
+    out = {}
+    for d, t in texts.items():
+        w, hit, ids = words(t), set(), set()
+        for i, b in items.items():
+            bw = words(b)
+            n = min(10, len(bw))
+            wins = {tuple(bw[p : p + n]) for p in range(len(bw) - n + 1)} if bw else set()
+            for p in range(len(w) - n + 1):
+                if wins and tuple(w[p : p + n]) in wins:
+                    hit |= set(range(p, p + n))
+                    ids.add(i)
+        out[d] = (len(w), len(hit), sorted(map(str, ids)))
+    return out
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_decontaminate(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    rng = random.Random(5)
+    vocab = ["alpha", "Béta", "É", "3", "of", "of", "the"]
+    items = {i: " ".join(rng.choice(vocab) for _ in range(n)) for i, n in enumerate([3, 9, 10, 14, 30, 30])} | {10: None, 11: "", 12: "solo"}
+    texts = {}
+    for i in range(40):
+        w = [rng.choice(vocab) for _ in range(rng.choice([0, 5, 12, 60]))]
+        if i % 3 == 0:
+            it = items[rng.choice([2, 3, 4, 5])].upper().split(" ")
+            a = rng.randrange(0, len(it) - 9)
+            w[5:5] = it[a : a + rng.choice([9, 10, 12])]
+        texts[i] = rng.choice([" ", ", ", "--"]).join(w)
+    texts |= {50: None, 51: "", 52: "say SOLO now"}
+    bench = spark.createDataFrame([*items.items(), (4, items[4])], "item_id long, text string").withColumn("_w", F.lit(1))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.decontaminate(docs(spark, texts), bench).collect()}
+    assert got == brute_hits(texts, items)
+    for r in decontaminate.contamination_spans(docs(spark, {1: "x y " + items[4] + " z"}), bench.filter("item_id = 4")).collect():
+        assert (r["start"], r["end"], r["items"]) == (2, 32, ["4"])
+
+
+# -- 4 -----------------------------------------------------------------------------------------------
+
+
+def brute_spans(text):
+    rules = [
+        ("assign", re.compile(secrets.ASSIGN), lambda m: len(m[1]) >= 8), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+        ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+    ]
+    found = [(m.start(), k, name, m.end()) for k, (name, r, ok) in enumerate(rules) for m in r.finditer(text or "") if ok(m)]
+    return ",".join(f"{n}:{s}:{e}" for s, _, n, e in sorted(found))
+
+
+def test_secrets(spark):
+    hexes = hashlib.sha256(b"x").hexdigest()
+    texts = dict(enumerate([
+        None, "", "😀 password: hunter2222 and TOKEN=\"" + hexes[:40] + "\"", "token: secret: abcdefgh1234", "secret=token=abcdefghij", "AKIA" + "A1" * 8 + " AKIAAKIAB", "api_key 'x'", "apikey = 12345678",
+        hexes + "g" + hexes[:31], "x" * 5000, "key Zk3Qx9vLw2Rt8Yb5Nc7Mf4Hj1Pd6Gs0 here", "internationalisation_of_identifiers", "pass" + "word:" + "a" * 8,
+    ]))
+    ratios = secrets.train(secrets.labelled_samples(docs(spark, {i: "the quick brown fox jumps over lazy dogs %d and identifiers follow" % i for i in range(200)})))
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(docs(spark, texts), ratios)).collect()}
+    for i, t in texts.items():
+        assert got[i]["base_sha256"] == hashlib.sha256(brute_spans(t).encode()).hexdigest(), t
+    assert got[10]["spans"] == "random:4:35" and got[11]["spans"] == "" and got[9]["n_random"] == 0
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs(spark, texts), ratios).collect()}
+    assert clean[0] is None and clean[7] == "[SECRET]" and clean[10] == "key [SECRET] here"
+
+
+# -- 5 -----------------------------------------------------------------------------------------------
+
+
+def test_tool_calls(spark):
+    calls = spark.createDataFrame([
+        (1, 0, "a", "search", '{"limit": 3, "query": "x"}', ["b"]), (1, 1, "b", "search", '{"query": 5}', []), (1, 1, "b", "search", '{"query": 6}', []),
+        (1, 2, "c", "none", "{}", ["zz"]), (2, 0, "x", "search", '{"query": "q"}', ["y"]), (2, 1, "y", "search", "[1]", ["x"]), (3, 0, "p", "search", '{"b": 1, "query": "é\\"", "a": {"d": 1, "c": 2}}', None),
+        (4, 0, None, "search", "{}", []), (None, 0, "n", "search", "{}", []),
+    ], "conv_id long, turn long, call_id string, name string, arguments string, depends array<string>")
+    results = spark.createDataFrame([(1, 5, "a", "r2"), (1, 4, "a", "r1"), (3, 1, "p", None), (9, 0, "a", "stray")], "conv_id long, turn long, call_id string, content string")
+    schemas = spark.createDataFrame([("search", "query", "string", True), ("search", "limit", "integer", False)], "name string, arg string, type string, required boolean")
+    got = {(r["conv_id"], r["call_id"]): r for r in tool_calls.link(calls, results, schemas).collect()}
+    assert len(got) == 8
+    a, b = got[1, "a"], got[1, "b"]
+    assert b["position"] < a["position"] and a["status"] == "linked" and a["n_results"] == 2
+    assert json.loads(a["record"]) == {"arguments": {"limit": 3, "query": "x"}, "id": "a", "name": "search", "result": "r1"}
+    assert (b["status"], b["errors"]) == ("invalid", "type:query") and got[1, "c"]["errors"] == "tool"
+    assert got[2, "x"]["status"] == "cycle" and got[2, "y"]["status"] == "cycle"
+    p = got[3, "p"]
+    assert p["errors"] == "unknown:a,unknown:b" and '"a":{"c":2,"d":1},"b":1' in p["record"]
+    assert got[4, None]["status"] == "no_id" and got[None, "n"]["status"] == "no_id"
+    assert [r["conv_id"] for r in tool_calls.orphans(calls, results).collect()] == [9]
+
+
+# -- 7 and 8 -----------------------------------------------------------------------------------------
+
+
+def test_toxicity_learns_and_scores_edges(spark):
+    rng = random.Random(2)
+    vocab = ["w%d" % i for i in range(300)]
+    texts, labels = {}, []
+    for i in range(700):
+        bad = i % 5 == 1
+        w = [rng.choice(vocab) for _ in range(60)]
+        if bad:
+            w[rng.randrange(60)] = "vile" + rng.choice(vocab)
+        texts[i] = " ".join(w)
+        labels.append((i, int(bad)))
+    lab = spark.createDataFrame([*labels, (3, None), (4, 0)], "doc_id long, toxic int")
+    m = toxicity.train(docs(spark, texts), lab)
+    got = {r["doc_id"]: r for r in toxicity.digest(listed(spark, [*texts.items(), (900, None), (901, ""), (902, "x " * 50_000)]), m).collect()}
+    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] == (i in set(held)) for i in texts)
+    assert np.mean([got[i]["predicted"] == y for i, y in labels if i in set(held)]) > 0.95
+    assert got[900]["score"] == got[901]["score"] and all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_line_features_and_marginals():
+    feats, size, begin = quality.line_features(["a b\n\na b", None, "", "xx xx xx"])
+    assert begin.tolist() == [0, 3, 4, 5] and size.tolist() == [3, 0, 3, 0, 0, 8]
+    assert feats[0, -2] == 1 and feats[1, -1] == 1 and feats[5, -4] == pytest.approx(2 / 3)
+    rng = np.random.default_rng(1)
+    u, moves = rng.normal(size=5), rng.normal(size=(2, 2))
+    begin = np.array([0, 3])
+    p, pairs = quality.marginals(u, begin, moves, True)
+    want, both = np.zeros(5), np.zeros((2, 2))
+    for lo, hi in ((0, 3), (3, 5)):
+        n = hi - lo
+        paths = np.array([[(k >> j) & 1 for j in range(n)] for k in range(2**n)])
+        s = np.exp((paths * u[lo:hi]).sum(1) + np.array([sum(moves[x[j], x[j + 1]] for j in range(n - 1)) for x in paths]))
+        s /= s.sum()
+        want[lo:hi] = s @ paths
+        for w, x in zip(s, paths, strict=True):
+            for j in range(n - 1):
+                both[x[j], x[j + 1]] += w
+    np.testing.assert_allclose(p, want)
+    np.testing.assert_allclose(pairs, both)
+
+
+def test_quality_learns_and_scores_edges(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts, labels = {}, []
+    for i in range(400):
+        bad = i % 4 == 1
+        lines = [" ".join(word() for _ in range(8)) for _ in range(rng.randrange(1, 6))]
+        if bad:
+            lines = ["The start is fine."] + [" | ".join(x.split(" ")) for x in lines]
+        texts[i] = "\n".join(lines)
+        labels.append((i, int(not bad)))
+    m = quality.train(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r["doc_id"]: r for r in quality.digest(listed(spark, [*texts.items(), (900, None), (901, ""), (902, "x " * 50_000)]), m).collect()}
+    held = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert all(got[i]["held_out"] == (i in held) for i in texts)
+    assert np.mean([got[i]["predicted"] == y for i, y in labels if i in held]) > 0.95
+    assert got[900]["score"] == got[901]["score"] == 0 and 0 <= got[902]["score"] <= 1
+    none = quality.train(docs(spark, texts), spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.score(docs(spark, {1: "x"}), none).first()["score"] == 0.5
+
+
+# -- 9 -----------------------------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    urls = [
+        None, "", "no scheme", "http://EXAMPLE.com/en/77?x=http://a.com/en/", "http://a.com/en/x", "http://acom/en/x", "https://example.net/de/81", "https://b.example.net/de/9", "http://x.org/es/", "http://x.org/es",
+        "http://spam-farm.example.org/en/1", "http://h?u=://y/en/", "://com/en/", "http://www.a.com/file.zip", "http://a.com#/en/",
+    ]
+    pages = spark.createDataFrame([(i, u, "<html>", "host") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
+
+    def want(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        host = host.translate(ngram_join.ASCII_LOWER)
+        fit = [(len(h + p), h + p, v) for v, h, p in url_rules.PREFIX_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        own = [v for v, p, _ in url_rules.PATTERN_RULES if re.search(p.replace(r"\z", r"\Z"), host + path)] if host else []
+        return (host, path, max(fit)[1] if fit else None, max(fit)[2] if fit else own[0] if own else "allow")
+
+    got = {r["page_id"]: tuple(r)[1:] for r in url_rules.digest(url_rules.judge(pages, url_rules.rules_table(spark))).collect()}
+    assert got == {i: want(u) for i, u in enumerate(urls)}
+    tried = url_rules.judge(pages, url_rules.rules_table(spark)).agg(F.max("n_tried")).first()[0]
+    assert tried < url_rules.rules_table(spark).count()
+
+
+# -- 10 ----------------------------------------------------------------------------------------------
+
+
+def test_gear_hash_equals_the_recurrence():
+    data = np.random.default_rng(1).integers(0, 256, 500).astype(np.uint8)
+    h, want = 0, []
+    for b in data:
+        h = (2 * h + int(media.GEARS[b])) % 2**32
+        want.append(h)
+    assert media.gear_hash(data).tolist() == want
+
+
+def test_media(spark, tmp_path):
+    rng = random.Random(4)
+    body = "".join(rng.choice("abcdefgh \n") for _ in range(60_000))
+    pairs = [*enumerate(EDGES), (20, body), (21, body), (22, "front " + body), (22, "other text of the same id"), (20, body), (None, body), (None, None)]
+    df = listed(spark, pairs)
+    media.write(df, str(tmp_path / "s"))
+    got = media.digest(df, str(tmp_path / "s")).collect()
+    assert len(got) == len(pairs)
+
+    def want(t):
+        raw = (t or "").encode()
+        p = media.payload(t)
+        return (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+
+    assert sorted(((r["doc_id"], *tuple(r)[1:5]) for r in got), key=str) == sorted(((i, *want(t)) for i, t in pairs), key=str)
+    assert len({tuple(r)[5:] for r in got if r["n_bytes"] == len(body)}) == 1
+    rows = spark.read.parquet(str(tmp_path / "s/recipes"))
+    moved = rows.select(F.inline("chunks")).agg(F.count_if(F.col("owner").isNotNull()), F.count("*")).first()
+    assert moved[0] > 0.5 * moved[1]  # most chunks of the copies are stored once
+
+
+def test_pipeline_stages_keep_columns(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    source = spark.read.parquet(f"{d}/documents.parquet")
+    df = source
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, d)
+        assert df.columns == source.columns and df.dtypes == source.dtypes
+        df = corpus_pipeline.materialise(df, "stage")
+    assert 0 < df.count() < source.count()
+
+
