@@ -216,15 +216,19 @@ def train_multistep(df: DataFrame, features: list[str], horizons: tuple = (1, 6,
 
 
 def _walk(df: DataFrame, part: Column, least: int, fit_predict: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame | None:
+    """Metrics of each part from the ``least`` + 1st on, forecast from the parts before it."""
     parts = df.withColumn("_p", part).cache()
-    labels = [r[0] for r in parts.select("_p").distinct().orderBy("_p").collect()]  # a row for each month
-    out = None
-    for i, p in enumerate(labels[least:], least):
-        train, test = parts.filter(F.col("_p") < F.lit(p)), parts.filter(F.col("_p") == F.lit(p))
-        scored = fit_predict(train, test)
-        m = overall_and_regions(scored, TARGET, "prediction").withColumns({"month": F.lit(p), "n_train": F.lit(train.count())})
-        out = m if out is None else out.unionByName(m)
-    return out
+    sizes = parts.groupBy("_p").count().orderBy("_p").collect()  # a row for each month
+    rows, schema, seen = [], None, 0
+    for i, r in enumerate(sizes):
+        if i >= least:
+            train, test = parts.filter(F.col("_p") < r["_p"]), parts.filter(F.col("_p") == r["_p"])
+            m = overall_and_regions(fit_predict(train, test), TARGET, "prediction")
+            m = m.withColumns({"month": F.lit(r["_p"]), "n_train": F.lit(seen).cast("long")})
+            rows, schema = rows + m.collect(), m.schema  # a row for each region
+        seen += r["count"]
+    parts.unpersist()
+    return df.sparkSession.createDataFrame(rows, schema) if rows else None
 
 
 def backtest_monthly(df: DataFrame, features: list[str], kind: str = "linear", least: int = 3) -> DataFrame:

@@ -45,10 +45,10 @@ def io3(spark, d):
     return tables.flatten_hourly_payload(day.select("region", payload.alias("payload"))).select("region", "timestamp", "temperature")
 
 
-@query("io4_stack_regions", "ehourly", "SELECT region, count(*) AS n, sum(consumption_mw) AS total FROM ehourly WHERE region IN ('view', 'click') GROUP BY 1", "total", "n", 4)
+@query("io4_stack_regions", "ehourly", "SELECT region, count(*) AS n, sum(consumption_mw) AS total FROM ehourly GROUP BY 1", "total", "n", 4)
 def io4(spark, d):
     rows = base.event_hourly(spark, d)
-    parts = [rows.filter(F.col("region") == r) for r in ("view", "click")]
+    parts = [rows.filter(F.col("region") == r) for r in ("click", "error", "purchase", "signup", "view")]
     return tables.stack_regions(parts).groupBy("region").agg(F.count("*").alias("n"), F.sum("consumption_mw").alias("total"))
 
 

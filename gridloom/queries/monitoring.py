@@ -186,11 +186,10 @@ def _run(sdf, checkpoint, mode="append"):
     return sdf.sparkSession.read.schema(sdf.schema).parquet(out)
 
 
-@query("st1_stream_hourly", "hourly", "SELECT * FROM hourly WHERE timestamp < TIMESTAMP '2024-01-28'", "consumption_mw")
+@query("st1_stream_hourly", "hourly", "SELECT * FROM hourly WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)", "consumption_mw")
 def st1(spark, d):
     sdf, cp = _stream(spark, base.readings(spark, d), "datahora")
-    out = _run(streams.stream_regional_hourly(sdf), cp)
-    return out.filter(F.col("timestamp") < F.lit("2024-01-28").cast("timestamp")).select("timestamp", "region", "consumption_mw")
+    return _run(streams.stream_regional_hourly(sdf), cp).select("timestamp", "region", "consumption_mw")
 
 
 def _events(spark, d):
@@ -221,7 +220,7 @@ def st4(spark, d):
 
 
 _DAYS = "SELECT date_trunc('day', timestamp) AS window_start, 'consumption_mw' AS feature, avg(consumption_mw) AS live_mean FROM ehourly GROUP BY 1"
-_DR = f"SELECT window_start, feature, live_mean, m AS training_mean, s AS training_std, round((live_mean - m) / s, 3) AS z_score, CASE WHEN abs((live_mean - m) / s) < 2 THEN 'normal' WHEN abs((live_mean - m) / s) < 3 THEN 'elevated' ELSE 'alert' END AS drift_level FROM ({_DAYS}), (SELECT avg(consumption_mw) AS m, stddev_pop(consumption_mw) AS s FROM ehourly) WHERE window_start < TIMESTAMP '2024-01-28'"
+_DR = f"SELECT window_start, feature, live_mean, m AS training_mean, s AS training_std, round((live_mean - m) / s, 3) AS z_score, CASE WHEN abs((live_mean - m) / s) < 2 THEN 'normal' WHEN abs((live_mean - m) / s) < 3 THEN 'elevated' ELSE 'alert' END AS drift_level FROM ({_DAYS}), (SELECT avg(consumption_mw) AS m, stddev_pop(consumption_mw) AS s FROM ehourly) WHERE window_start + INTERVAL 1 DAY <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM ehourly)"
 
 
 @query("st5_stream_drift", "ehourly", _DR, "live_mean training_mean training_std z_score")
@@ -229,5 +228,4 @@ def st5(spark, d):
     rows = base.event_hourly(spark, d).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     stats = drift.feature_stats(rows, ["consumption_mw"])
     sdf, cp = _stream(spark, rows, "timestamp")
-    out = _run(streams.stream_drift(sdf, ["consumption_mw"], stats), cp)
-    return out.filter(F.col("window_start") < F.lit("2024-01-28").cast("timestamp")).drop("note")
+    return _run(streams.stream_drift(sdf, ["consumption_mw"], stats), cp).drop("note")
