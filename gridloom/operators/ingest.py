@@ -67,7 +67,7 @@ def disaggregate(national: DataFrame, shares: DataFrame) -> DataFrame:
     """A national series split by share. Regions then follow the same total, so models with lags must
     not be trained on the result."""
     keyed = national.withColumn("hour_of_week", hour_of_week(F.col("timestamp")))
-    split = keyed.join(F.broadcast(shares), "hour_of_week", "left")  # 168 hours times regions
+    split = keyed.join(shares, "hour_of_week", "left")
     return split.withColumn("consumption_mw", F.col("total_mw") * F.col("share"))
 
 

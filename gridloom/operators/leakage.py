@@ -31,7 +31,7 @@ def donor_swap(test: DataFrame, train: DataFrame | None, lag_cols: list[str], sc
     if scale:
         means = train.groupBy("region").agg(*[F.avg(c).alias(f"_m_{c}") for c in lag_cols])  # a row for each region
         own = means.select(F.col("region"), *[F.col(f"_m_{c}").alias(f"_o_{c}") for c in lag_cols])
-        both = both.join(F.broadcast(own), "region", "left").join(F.broadcast(means.withColumnRenamed("region", "donor")), "donor", "left")
+        both = both.join(own, "region", "left").join(means.withColumnRenamed("region", "donor"), "donor", "left")
     new = {}
     for c in lag_cols:
         v = F.col(f"_d_{c}")

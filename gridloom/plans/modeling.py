@@ -198,7 +198,7 @@ def predict_per_region(df: DataFrame, models: DataFrame, features: list[str]) ->
     total = F.col("intercept")
     for i, c in enumerate(features):
         total = total + F.get("coefficients", F.lit(i)) * F.col(c)
-    return df.join(F.broadcast(m), "region").withColumn("prediction", total).drop("intercept", "coefficients")
+    return df.join(m, "region").withColumn("prediction", total).drop("intercept", "coefficients")
 
 
 def train_multistep(df: DataFrame, features: list[str], horizons: tuple = (1, 6, 12, 24), kind: str = "linear") -> DataFrame:
