@@ -79,5 +79,6 @@ QUERIES = {
 ORACLES = {
     "op2_ngram_join": ngram_join.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
+    "op5_tool_calls": tool_calls.ORACLE,
     "op9_urls": url_rules.ORACLE,
 }

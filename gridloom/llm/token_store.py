@@ -187,7 +187,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     cols = ["shard", "doc_id", "first_id", "n_ids", "crc"]
     every = whole.select(*cols).unionAll(rest.select(*cols[:4], combined("_parts").alias("crc")))
-    return every.join(F.broadcast(base), "shard").select(  # a row for each written partition
+    return every.join(base, "shard").select(
         "doc_id", (F.col("_base") + F.col("first_id")).alias("start"), F.col("n_ids").alias("n_tokens"),
         F.col("crc").alias("ids_crc32"),
     )

@@ -165,3 +165,21 @@ SCHEMAS = [
     ("search", "query", "string", True), ("search", "limit", "integer", False),
     ("count", "query", "string", True), ("count", "limit", "integer", True),
 ]
+
+
+#: The registered query in SQL, where its calls stand in order by construction.
+ORACLE = """
+WITH c AS (SELECT conv_id, turn, role, text,
+    max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS call_turn FROM conversations),
+u AS (SELECT conv_id, turn, length(text) AS n, text, ['search', 'count', 'other'][length(text) % 3 + 1] AS name,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM c WHERE role = 'user'),
+r AS (SELECT conv_id, call_turn AS turn, count(*) AS n_results, arg_min(text, turn) AS content FROM c
+    WHERE role = 'assistant' AND call_turn IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT u.*, coalesce(n_results, 0) AS n_results, content,
+    CASE WHEN name = 'other' THEN 'tool' WHEN n % 7 = 0 THEN 'type:limit' ELSE '' END AS errors FROM u LEFT JOIN r USING (conv_id, turn))
+SELECT conv_id, 'c' || turn AS call_id, position, CASE WHEN errors <> '' THEN 'invalid' WHEN n_results = 0 THEN 'unanswered' ELSE 'linked' END AS status,
+    errors, cast(n_results AS BIGINT) AS n_results,
+    '{"arguments":{"limit":' || CASE WHEN n % 7 = 0 THEN '"' || n || '"' ELSE n::VARCHAR END || ',"query":' || to_json(text)::VARCHAR || '},"id":"c' || turn
+    || '","name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS record
+FROM x
+"""
