@@ -95,6 +95,27 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return feats, size, begin
 
 
+def batched_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of many texts, a bounded part of them at a time; bytes take many times their room."""
+    parts = [line_features(texts[a:b]) for a, b in _slices(texts)]
+    lines = np.cumsum([0] + [len(x) for x, _, _ in parts[:-1]])
+    return (
+        np.concatenate([x for x, _, _ in parts]), np.concatenate([s for _, s, _ in parts]),
+        np.concatenate([b + n for (_, _, b), n in zip(parts, lines, strict=True)]),
+    )
+
+
+def _slices(texts: list, limit: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``limit`` characters, of one text at least."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < limit):
+            size, hi = size + len(texts[hi] or ""), hi + 1
+        yield lo, hi
+        lo = hi
+
+
 def with_neighbours(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Own features, those of the line before and after (zeros at a text's ends), and a constant."""
     n = len(x)
@@ -168,7 +189,7 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 150) -> Model:
     mean = float(y.mean()) if len(y) else 0.5
     if len(y) == 0 or mean in (0.0, 1.0):
         return Model(np.zeros(1), np.zeros((2, 2)), 0.0, 0.0, mean)
-    x, size, begin = line_features(texts)
+    x, size, begin = batched_features(texts)
     x = with_neighbours(x, begin)
     n = len(x)
     text_of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
@@ -219,14 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, exp
 
 def _scores(m: Model, texts: list) -> np.ndarray:
     """Scores of a batch, in parts of bounded size."""
-    parts, lo = [np.zeros(0)], 0
-    while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < 1_500_000):
-            size, hi = size + len(texts[hi] or ""), hi + 1
-        parts.append(predict(m, texts[lo:hi]))
-        lo = hi
-    return np.concatenate(parts)
+    return np.concatenate([np.zeros(0), *[predict(m, texts[a:b]) for a, b in _slices(texts)]])
 
 
 def with_score(docs: DataFrame, m: Model, name: str = "score") -> DataFrame:
