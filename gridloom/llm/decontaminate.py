@@ -145,6 +145,11 @@ def contamination_spans(docs: DataFrame, bench: DataFrame, window: int = 10, gra
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
     """Per document row: n_words, n_hit, items (sorted as strings), contaminated."""
+    return tagged(docs, bench, window, gram).drop("_tag")
+
+
+def tagged(docs: DataFrame, bench: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
+    """The same with ``_tag`` (hash of the text), which tells rows of one id, or without an id, apart."""
     hits = window_hits(docs, bench, window, gram)
     w = Window.partitionBy("doc_id", "_tag").orderBy("start", "length")
     end = F.col("start") + F.col("length")
@@ -159,7 +164,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, gram: int
         "doc_id", F.xxhash64("text").alias("_tag"), F.size(raw_words(F.col("text"))).alias("n_words")
     )
     return base.join(per, same_keys(["doc_id", "_tag"], ["_d", "_t"]), "left").select(
-        "doc_id", F.col("n_words").cast("long"),
+        "doc_id", "_tag", F.col("n_words").cast("long"),
         F.coalesce("_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
         F.coalesce(F.col("_hit") > 0, F.lit(False)).alias("contaminated"),

@@ -401,3 +401,47 @@ def test_pipeline_stages_keep_columns(spark):
     assert 0 < df.count() < source.count()
 
 
+
+
+def brute_pipeline(rows, items, m):
+    """All stages over a list of (doc_id, text): id, tokens and digest of the text of each row that is left."""
+    rows = [r for r in rows if quality.predict(m, [r[1]])[0] >= 0.7]
+    classes = brute(dict(enumerate(t if i is not None else None for i, t in rows)))
+    least = {}
+    for n, (root, _) in classes.items():
+        least[root] = min(least.get(root, (rows[n][0] or 0, n)), (rows[n][0] or 0, n))
+    rows = [r for n, r in enumerate(rows) if r[0] is None or least[classes[n][0]][1] == n]
+    hits = brute_hits({n: t for n, (_, t) in enumerate(rows)}, items)
+    out, tok = [], tree_bpe.load_tokenizer(PATH)
+    for i, t in (r for n, r in enumerate(rows) if hits[n][1] == 0):
+        for span in reversed([s.split(":") for s in brute_spans(t).split(",") if s]):
+            t = t[: int(span[1])] + "[SECRET]" + t[int(span[2]) :]
+        ids = tok.encode(t, add_special_tokens=False).ids
+        out.append((i, len(ids), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    words = lambda n=80: [rng.choice(vocab) for _ in range(n)]
+    lines = lambda w: "\n".join(" ".join(w[k : k + 8]) for k in range(0, len(w), 8))
+    items = {1: " ".join(words(12)), 2: " ".join(words(12))}
+    leak = lambda k: lines(words(40) + items[k].split(" ") + words(28))
+    base = words()
+    near = [*base[:40], "other", *base[41:]]
+    rows = [(i, lines(words())) for i in range(60)] + [(i, "\n".join(" | ".join(words(8)) for _ in range(5))) for i in range(60, 80)]
+    rows += [(None, lines(words())), (None, lines(words())), (None, leak(1)), (None, None), (None, lines(near))]
+    rows += [(200, lines(words())), (200, leak(2)), (201, leak(1)), (202, lines([*words(40), "password:", "hunter2222", *words(38)]))]
+    rows += [(100, lines(base)), (101, lines(near))]
+    d = str(tmp_path)
+    listed(spark, rows).select("doc_id", "text", "lang").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i < 60)) for i in range(80)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    m = quality.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    want = brute_pipeline(rows, items, m)
+    got = [(r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, d).collect()]
+    assert sorted(got, key=str) == want
+    assert [i for i, *_ in want].count(None) == 3 and [i for i, *_ in want].count(200) == 1 and 60 <= len(want) < 80
