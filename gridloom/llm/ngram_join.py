@@ -61,11 +61,11 @@ def runs(words: np.ndarray, n: int = N) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, threshold: float, rows: int, recall: float, n: int = N) -> DataFrame:
-    """doc_id, v (hash of the word sequence, null without words), keys (a hash for each band)."""
+    """doc_id, _tag (hash of the text), v (hash of the word sequence, null without words), keys (a hash for each band)."""
     bands = bands_for(threshold, rows, recall)
     mult = np.random.default_rng(5).integers(0, 2**63, (bands * rows,), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    words = docs.select("doc_id", F.col("text").alias("_x"), raw_words(F.col("text")).alias("_w"))
-    hashed = words.select("doc_id", F.coalesce(word_hashes(F.col("_x"), F.col("_w")), F.array().cast("array<long>")).alias("_h"))
+    words = docs.select("doc_id", F.xxhash64("text").alias("_tag"), F.col("text").alias("_x"), raw_words(F.col("text")).alias("_w"))
+    hashed = words.select("doc_id", "_tag", F.coalesce(word_hashes(F.col("_x"), F.col("_w")), F.array().cast("array<long>")).alias("_h"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -96,10 +96,10 @@ def signatures(docs: DataFrame, threshold: float, rows: int, recall: float, n: i
                         keys[lo + i] = least[j, :bands].view(np.int64)
                 lo = hi
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(v, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "v", "keys"]
+                [batch.column("doc_id"), batch.column("_tag"), pa.array(v, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "_tag", "v", "keys"]
             )
 
-    return hashed.mapInArrow(run, hashed.select("doc_id", F.lit(None).cast("binary").alias("v"), F.lit(None).cast("array<long>").alias("keys")).schema)
+    return hashed.mapInArrow(run, hashed.select("doc_id", "_tag", F.lit(None).cast("binary").alias("v"), F.lit(None).cast("array<long>").alias("keys")).schema)
 
 
 def _lower(text: str) -> str:
@@ -221,12 +221,12 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array(n, pa.int64()), pa.array(r, pa.binary())], ["v", "links", "root"])
 
 
-def near_copies(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
-    """One row per row of ``docs``: doc_id, copy_id (least id with the same words), class_id (least id
-    of the component), n_links (other rows with a similarity of at least the threshold)."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, _tag, v) and texts (v, copy_id, class_id, n_links, _keep); ``_keep`` is the least
+    (doc_id, _tag) of the class, which also tells texts of one id apart."""
     sig = materialise(signatures(docs, threshold, rows, recall), "signatures")
     held = sig.filter("v IS NOT NULL AND doc_id IS NOT NULL")
-    reps = held.groupBy("v").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.min("keys").alias("keys"))
+    reps = held.groupBy("v").agg(F.min(F.struct("doc_id", "_tag")).alias("rep"), F.count("*").alias("size"), F.min("keys").alias("keys"))
     reps = materialise(reps, "texts")
     each = reps.select("v", F.explode("keys").alias("key"))
     h = F.xxhash64("v")
@@ -234,8 +234,9 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS,
     bucket = bucket.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
     member = each.join(bucket, "key")
     per = member.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("_b"))  # one for each band at most
-    need = per.join(reps.select("v", "rep", "size"), "v").select("v", "rep", "size", "_b")
-    text = docs.select(F.col("doc_id").alias("rep"), "text").join(need, "rep")
+    need = per.join(reps.select("v", "rep.doc_id", "rep._tag", "size"), "v").select("v", "doc_id", "_tag", "size", "_b")
+    once = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_tag"), "text").dropDuplicates(["doc_id", "_tag"])
+    text = once.join(need, ["doc_id", "_tag"])
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
     cut = text.select("v", "size", "text", F.transform("_b", lambda b: b["key"]).alias("keys"), F.inline("_b").alias("key", "_n"))
     cut = cut.select("*", F.pmod(h, blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
@@ -247,18 +248,32 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS,
     links = found.groupBy("v").agg(F.sum("links").alias("_l"))
     known = reps.select("v", "rep", "size").join(links, "v", "left").join(roots, "v", "left")
     known = known.select("v", "rep", (F.coalesce("_l", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "v").alias("root"))
-    least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    by_text = known.join(least, "root").select("v", F.col("rep").alias("copy_id"), "class_id", "n_links")
-    ids = sig.select("doc_id", "v")
+    least = known.groupBy("root").agg(F.min("rep").alias("_keep"))
+    by_text = known.join(least, "root").select("v", F.col("rep.doc_id").alias("copy_id"), F.col("_keep.doc_id").alias("class_id"), "n_links", "_keep")
+    return sig.select("doc_id", "_tag", "v"), by_text
+
+
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
+    """One row per row of ``docs``: doc_id, copy_id (least id with the same words), class_id (least id
+    of the component), n_links (other rows with a similarity of at least the threshold)."""
+    ids, by_text = classes(docs, threshold, rows, recall)
     linked = ids.filter("v IS NOT NULL AND doc_id IS NOT NULL").join(by_text, "v").select("doc_id", "copy_id", "class_id", "n_links")
     alone = ids.filter("v IS NULL OR doc_id IS NULL")
     return linked.unionAll(alone.select("doc_id", "doc_id", "doc_id", F.lit(0).cast("long")))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Documents without those that have a smaller one in their class; repeated rows become one."""
-    gone = near_copies(docs, **options).filter("class_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each class: that with the smallest id, of several texts of this id that with the
+    smallest hash; repeated rows become one. Rows that stand alone stay as they are."""
+    ids, by_text = classes(docs, **options)
+    held = ids.filter("v IS NOT NULL AND doc_id IS NOT NULL")
+    per = held.groupBy("doc_id", "_tag").agg(F.min("v").alias("v"), F.count("*").alias("_n")).join(by_text.select("v", "_keep"), "v")
+    kept = F.col("_keep") == F.struct("doc_id", "_tag")
+    named = [F.col("doc_id").alias("_d"), F.col("_tag").alias("_t")]
+    same = (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+    per = materialise(per.filter(~kept | (F.col("_n") > 1)).select(*named, kept.alias("_kept")), "gone")
+    rest = docs.join(per.select("_d", "_t"), same, "left_anti")
+    return rest.unionByName(docs.join(per.filter("_kept").select("_d", "_t"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 ORACLE = """

@@ -164,6 +164,22 @@ def test_near_copies_null_ids_and_repeats(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(None, None, None, 0), (1, 1, 1, 1), (1, 1, 1, 1)], key=str)
 
 
+def test_repeats_beside_near_copies(spark):
+    rng = random.Random(8)
+    words = lambda: ["w%d" % rng.randrange(300) for _ in range(80)]
+    x, z, other = words(), words(), " ".join(words())
+    change = lambda w, k: " ".join([*w[:k], "other%d" % k, *w[k + 1 :]])
+    x, y, z1, z2 = " ".join(x), change(x, 40), change(z, 20), change(z, 21)
+    # repeated rows and a near copy; an id with two unlike texts; an id whose texts are near copies; null and wordless rows
+    rows = [(1, x), (1, x), (2, y), (3, x.upper()), (2, other), (4, other), (5, z1), (5, z2), (6, z1), (None, x), (None, x), (7, ""), (7, "")]
+    got = sorted(map(tuple, ngram_join.near_copies(listed(spark, rows)).collect()), key=str)
+    want = [(1, 1, 1, 3), (1, 1, 1, 3), (2, 2, 1, 3), (3, 1, 1, 3), (2, 2, 2, 1), (4, 2, 2, 1), (5, 5, 5, 2), (5, 5, 5, 2), (6, 5, 5, 2)]
+    assert got == sorted([*want, *[(None, None, None, 0)] * 2, *[(7, 7, 7, 0)] * 2], key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(listed(spark, rows)).collect()), key=str)
+    assert [r for r in kept if r[0] != 5] == sorted([(1, x), (2, other), (None, x), (None, x), (7, ""), (7, "")], key=str)
+    assert len([r for r in kept if r[0] == 5]) == 1
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r["v"]: r["root"] for r in components.components(edges).collect()}
@@ -435,7 +451,7 @@ def test_pipeline_null_and_repeated_ids(spark, tmp_path):
     rows = [(i, lines(words())) for i in range(60)] + [(i, "\n".join(" | ".join(words(8)) for _ in range(5))) for i in range(60, 80)]
     rows += [(None, lines(words())), (None, lines(words())), (None, leak(1)), (None, None), (None, lines(near))]
     rows += [(200, lines(words())), (200, leak(2)), (201, leak(1)), (202, lines([*words(40), "password:", "hunter2222", *words(38)]))]
-    rows += [(100, lines(base)), (101, lines(near))]
+    rows += [(100, lines(base)), (100, lines(base)), (101, lines(near)), rows[0]]
     d = str(tmp_path)
     listed(spark, rows).select("doc_id", "text", "lang").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
