@@ -72,13 +72,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, mode: str = "
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = Encoder.of(tokenizer), TaskContext.get().partitionId()
         width = 4 if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 32 else 8
-        tail = np.array([end_id], dtype="<u4").tobytes()
         held, n_held, doc_no, at, chunk_no = [], 0, 0, 0, 0
 
         def chunks(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, n_held, chunk_no
             if n_held >= block or last and n_held:
-                ids = np.frombuffer(b"".join(held), "<u4")
+                ids = np.concatenate(held)
                 stop = len(ids) if last else len(ids) - len(ids) % block
                 for lo in range(0, stop, block):
                     part = ids[lo : min(lo + block, stop)]
@@ -87,20 +86,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, mode: str = "
                         "width": width, "mode": mode, "planes": pack(part, mode, width),
                     }], schema=schema)
                     chunk_no += 1
-                held, n_held = [ids[stop:].tobytes()], len(ids) - stop
+                held, n_held = [ids[stop:].copy()], len(ids) - stop
 
         for batch in it:
             for start, texts in batches(batch.column("text").to_pylist()):
-                ids = [x + tail for x in enc.many(texts)]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                first = at + np.concatenate(([0], np.cumsum(n)[:-1]))
-                k = len(ids)
+                plain, start_of = enc.flat(texts)
+                ids = np.insert(plain, start_of[1:], end_id)
+                n = np.diff(start_of) + 1
+                first = at + start_of[:-1] + np.arange(len(texts))
+                k = len(texts)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(["doc"] * k), pa.array([shard] * k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(first), pa.array(n),
                     pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.nulls(k, pa.list_(pa.binary())),
                     pa.array(np.arange(doc_no, doc_no + k)), batch.column("doc_id").slice(start, k),
                 ], schema=schema)
-                held += ids
+                held.append(ids)
                 n_held, at, doc_no = n_held + int(n.sum()), at + int(n.sum()), doc_no + k
                 yield from chunks(False)
         yield from chunks(True)

@@ -1,14 +1,18 @@
 """BPE encoding and decoding by tree concatenation.
 
-Long texts are halved until the pieces are small, pieces are encoded in parallel as rows of their
-own, and neighbours are joined pairwise up the tree: a window of tokens around each join is encoded
-again and grown until its outer tokens agree, in id and span, with those of both sides. The window
-then holds exactly the tokens that the whole text has there; at the latest it spans both sides.
-
-Within a piece each distinct stretch between spaces or line breaks is encoded once by the
-tokenizers library and kept: this vocabulary drops white space before it merges, so no token, added
-token or normalisation reaches across one. ``splits_at_space`` tells whether a tokenizer file does so;
-for others whole pieces are encoded.
+Texts of more than ``LEAF_CHARS`` characters are halved until the pieces are small, pieces are encoded
+in parallel as rows of their own, and neighbours are joined pairwise up the tree: a window of tokens
+around each join is encoded again and doubled until its outer tokens agree, in id and span, with those
+of both sides. The window then holds exactly the tokens that the whole text has there; at the latest
+it spans both sides. A shorter text is one leaf of the tree and is encoded where it stands.
+
+A leaf is encoded a batch at a time: classes of characters cut the texts into runs of letters, digits
+and marks, each distinct run is encoded once by the tokenizers library, and arrays of ids are gathered
+from these, without an object for each word. That is exact where the tokenizer drops white space and
+cuts at those classes before it merges (``splits_words``). Stretches between spaces with anything
+that isn't plain (apostrophes, letters beyond Latin-1, other white space, added tokens) are encoded as
+they are, which is exact where white space alone parts tokens (``splits_at_space``); for other
+tokenizer files whole pieces are encoded.
 
 Cases: null text is empty and has no tokens; repeated rows each get a result row; other columns are
 ignored. Texts of any length are encoded whole.
@@ -19,26 +23,42 @@ from __future__ import annotations
 import hashlib
 import json
 import string
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters below which a piece isn't halved any more.
+#: Characters below which a piece isn't halved any more: pieces that one task encodes in milliseconds.
 LEAF_CHARS = 16_384
-#: Token spans kept on each side of a piece, and the first window's tokens on each side.
-EDGE = 128
+#: The first window's tokens on each side of a join.
 FIRST_WINDOW = 24
 #: Outer tokens of a window that must agree.
 AGREE = 6
-#: Words, and stretches between spaces, whose ids a Python worker keeps.
-CACHE_WORDS, CACHE_STRETCHES = 500_000, 300_000
-#: ASCII marks that the splitter parts from letters; the apostrophe begins contractions.
-MARKS = "".join(c for c in string.punctuation if c != "'")
+#: Words and stretches whose ids a Python worker keeps, and characters encoded at once.
+CACHE_WORDS, PART_CHARS = 500_000, 4_000_000
+#: Fixed: the splitter whose matches are runs of letters, single digits and runs of marks.
+WORD_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """Classes of the characters below U+0100; what isn't plain there is OTHER."""
+    out = np.full(256, OTHER, np.uint8)
+    out[[ord(c) for c in string.ascii_letters]] = LETTER
+    out[0xC0:0x100] = LETTER
+    out[[0xD7, 0xF7]] = OTHER  # the signs for times and divided by
+    out[[ord(c) for c in string.digits]] = DIGIT
+    out[[ord(c) for c in string.punctuation if c != "'"]] = MARK  # an apostrophe may begin a contraction
+    out[[9, 10, 13, 32]] = SPACE
+    return out
+
+
+KINDS = _kinds()
+LOWER = np.frombuffer(bytes(range(256)).decode("latin-1").lower().encode("latin-1"), np.uint8)
 
 
 def load_tokenizer(path: str):
@@ -69,6 +89,16 @@ def splits_at_space(path: str) -> bool:
     return local and drops and rest and added and spec.get("post_processor") is None
 
 
+def splits_words(path: str) -> bool:
+    """Whether runs of letters, digits and marks are always encoded apart and in lower case."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    norms, pres = (spec.get("normalizer") or {}).get("normalizers", []), (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    lower = [n["type"] for n in norms] == ["NFC", "Replace", "Lowercase"]
+    words = len(pres) == 2 and pres[0]["type"] == "Split" and pres[0]["pattern"].get("Regex") == WORD_SPLITTER and pres[1]["type"] == "ByteLevel"
+    return splits_at_space(path) and lower and words
+
+
 def byte_letters() -> str:
     """The letter that byte-level vocabularies write for each byte: printable ones themselves, the rest
     from U+0100 on in order."""
@@ -77,47 +107,48 @@ def byte_letters() -> str:
     return "".join(chr(b if b in plain else next(rest)) for b in range(256))
 
 
-class Stretches(dict):
-    """Ids (bytes) of stretches between spaces; unknown ones are worked out and kept.
-
-    Letters with ASCII marks around them are put together from the word and its marks, which the
-    splitter always parts. Words of Latin letters below U+0130, whose lower case and normal form don't
-    depend on context, go straight to the vocabulary's merges; everything else through the whole tokenizer.
-    """
+class Known:
+    """Ids of words (bytes, in lower case and Latin-1) and stretches (text), numbered as they come up."""
 
     def __init__(self, tok, direct: bool):
-        super().__init__()
-        self.tok, self.direct, self.model = tok, direct, tok.model
-        self.letters = byte_letters()
-        self.kept: dict[str, bytes] = {}
-
-    def _full(self, text: str) -> bytes:
-        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        low = word.lower()
-        ids = self.kept.get(low)
-        if ids is None:
-            if len(self.kept) >= CACHE_WORDS:
-                self.kept.clear()
-            spelled = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-            ids = self.kept[low] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return ids
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_STRETCHES:
-            self.clear()
-        core = key.strip(MARKS)
-        if self.direct and core.isalpha() and max(core) < "\u0130" and "<|" not in key:
-            ids = self._word(core)
-            if len(core) < len(key):
-                at = key.index(core)
-                before, after = key[:at], key[at + len(core) :]
-                ids = (self[before] if before else b"") + ids + (self[after] if after else b"")
-        else:
-            ids = self._full(key) if key else b""
-        self[key] = ids
-        return ids
+        self.tok, self.direct, self.model, self.letters = tok, direct, tok.model, byte_letters()
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes | str, int] = {}
+        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def _encode(self, key: bytes | str) -> list[int]:
+        if isinstance(key, bytes) and self.direct:
+            spelled = key.decode() if key.isascii() else key.decode("latin-1").encode().decode("latin-1").translate(self.letters)
+            return [t.id for t in self.model.tokenize(spelled)]
+        return self.tok.encode(key.decode("latin-1") if isinstance(key, bytes) else key, add_special_tokens=False).ids
+
+    def numbers(self, keys: list) -> np.ndarray:
+        """The number of each of some distinct keys."""
+        got = list(map(self.number.get, keys))
+        new = [i for i, g in enumerate(got) if g is None]
+        if new:
+            each = [self._encode(keys[i]) for i in new]
+            lo, n = len(self.number), np.array([len(e) for e in each])
+            while len(self.first) < lo + len(new):
+                self.first, self.count = np.append(self.first, np.zeros_like(self.first)), np.append(self.count, np.zeros_like(self.count))
+            while len(self.ids) < self.used + n.sum():
+                self.ids = np.append(self.ids, np.zeros_like(self.ids))
+            self.first[lo : lo + len(new)] = self.used + np.cumsum(n) - n
+            self.count[lo : lo + len(new)] = n
+            self.ids[self.used : self.used + n.sum()] = [x for e in each for x in e]
+            self.used += int(n.sum())
+            for at, i in enumerate(new):
+                got[i] = self.number[keys[i]] = lo + at
+        return np.array(got, np.int64)
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a sequence of words, one after the other, and where each word's begin (and the end)."""
+        n = self.count[numbers]
+        at = np.concatenate(([0], np.cumsum(n)))
+        return self.ids[np.repeat(self.first[numbers] - at[:-1], n) + np.arange(at[-1])], at
 
 
 class Encoder:
@@ -127,11 +158,11 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tok = load_tokenizer(path)
-        self.by_word = splits_at_space(path)
+        self.by_space, self.by_word = splits_at_space(path), splits_words(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         direct = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
-        self.stretches = Stretches(self.tok, self.by_word and direct)
+        self.known = Known(self.tok, direct)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -142,12 +173,79 @@ class Encoder:
     def full(self, text: str):
         return self.tok.encode(text, add_special_tokens=False)
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if not self.by_word:
-            return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        get = self.stretches.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin (and the end)."""
+        got, counts = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+        for owner, part in self._parts(texts):
+            if self.by_space:
+                ids, at = self._words(part)
+                np.add.at(counts, owner, np.diff(at))
+            else:
+                each = self.tok.encode_batch_fast(part, add_special_tokens=False)
+                np.add.at(counts, owner, [len(e.ids) for e in each])
+                ids = np.array([x for e in each for x in e.ids], np.uint32)
+            got.append(ids)
+        return np.concatenate(got), np.concatenate(([0], np.cumsum(counts)))
+
+    def _parts(self, texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+        """Lists of about ``PART_CHARS`` characters and whose they are; longer texts are cut at spaces where
+        that changes nothing."""
+        owner, part, size = [], [], 0
+        for i, text in enumerate(texts):
+            while text:
+                cut = len(text)
+                if self.by_space and cut > PART_CHARS:
+                    cut = text.rfind(" ", 1, PART_CHARS)
+                    cut = cut if cut > 0 else text.find(" ", PART_CHARS)
+                    cut = cut if cut > 0 else len(text)
+                owner.append(i), part.append(text[:cut])
+                size, text = size + cut, text[cut:]
+                if size >= PART_CHARS:
+                    yield owner, part
+                    owner, part, size = [], [], 0
+        if part:
+            yield owner, part
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts from those of their words."""
+        if len(self.known.number) > CACHE_WORDS:
+            self.known.clear()
+        joined = "\n".join([*texts, ""])
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+        try:
+            codes = np.frombuffer(joined.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            wide = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+            codes = np.where(wide < 256, wide, 0x80).astype(np.uint8)  # 0x80 is OTHER
+        kind = KINDS[codes]
+        odd = kind == OTHER if self.by_word else kind != SPACE
+        if self.by_word and "<|" in joined:
+            odd[np.flatnonzero((codes[:-1] == ord("<")) & (codes[1:] == ord("|")))] = True
+        # stretches between spaces that hold anything odd are looked up as they are
+        gaps = np.flatnonzero(kind == SPACE)
+        which = np.unique(np.searchsorted(gaps, np.flatnonzero(odd)))
+        lo, hi = np.where(which > 0, gaps[which - 1] + 1, 0), gaps[which]
+        if len(which):
+            edge = np.zeros(len(kind) + 1, np.int8)
+            edge[lo], edge[hi] = 1, -1
+            kind[np.cumsum(edge[:-1], dtype=np.int8) > 0] = SPACE
+        held = kind != SPACE
+        before = np.concatenate(([np.uint8(SPACE)], kind[:-1]))
+        start = np.flatnonzero(held & ((kind != before) | (kind == DIGIT)))
+        off = (np.cumsum(held, dtype=np.int32)[start] - 1).astype(np.int32)
+        data = LOWER[codes[held]]
+        off = np.append(off, np.int32(len(data)))
+        runs = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(data)]).dictionary_encode()
+        number = self.known.numbers(runs.dictionary.to_numpy(zero_copy_only=False).tolist())[runs.indices.to_numpy()]
+        if len(which):
+            odd_texts = [joined[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            code = {t: i for i, t in enumerate(dict.fromkeys(odd_texts))}
+            odd_no = self.known.numbers(list(code))[[code[t] for t in odd_texts]]
+            start = np.concatenate((start, lo))
+            order = np.argsort(start, kind="stable")
+            start, number = start[order], np.concatenate((number, odd_no))[order]
+        ids, at = self.known.gather(number)
+        return ids, at[np.searchsorted(start, begin)]
 
 
 def batches(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -163,32 +261,34 @@ def batches(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, lis
 
 
 class Piece:
-    """Part of a text with its ids and the spans of its outer tokens."""
-
-    __slots__ = ("text", "ids", "head", "tail")
+    """Part of a text with its ids; the spans of its outer tokens are found when a join asks for them."""
 
-    def __init__(self, text: str, ids: list[int], head: list, tail: list):
-        self.text, self.ids, self.head, self.tail = text, ids, head, tail
+    __slots__ = ("text", "ids", "_head", "_tail")
 
+    def __init__(self, text: str, ids: np.ndarray):
+        self.text, self.ids = text, ids
+        self._head, self._tail = [], []
 
-def edges(enc: Encoder, text: str, ids: list[int]) -> tuple[list, list]:
-    """Spans of the first and of the last tokens (up to EDGE), from the text's start.
+    def head(self, enc: Encoder, n: int) -> list[tuple[int, int]]:
+        """Spans of the first n tokens (or all), from the text's start.
 
-    A prefix or suffix cut at a space is encoded when that is known to be the same; else the whole.
-    """
-    if enc.by_word and len(text) > 8 * EDGE:
-        cut = text.find(" ", 4 * EDGE)
-        head = enc.full(text[:cut]) if cut > 0 else None
-        back = text.rfind(" ", 0, len(text) - 4 * EDGE)
-        tail = enc.full(text[back:]) if back > 0 else None
-        if head is not None and tail is not None:
-            return head.offsets[:EDGE], [(a + back, b + back) for a, b in tail.offsets[-EDGE:]]
-    spans = enc.full(text).offsets
-    return spans[:EDGE], spans[-EDGE:]
+        A prefix cut at a space is encoded where that is known to give the same; else the whole text.
+        """
+        n, reach = min(n, len(self.ids)), 8 * n
+        while len(self._head) < n:
+            cut = self.text.find(" ", reach) if enc.by_space else -1
+            self._head = enc.full(self.text[:cut] if cut > 0 else self.text).offsets
+            reach *= 2
+        return self._head[:n]
 
-
-def leaf(enc: Encoder, text: str, ids: list[int]) -> Piece:
-    return Piece(text, ids, *edges(enc, text, ids))
+    def tail(self, enc: Encoder, n: int) -> list[tuple[int, int]]:
+        """Spans of the last n tokens (or all), from the text's start."""
+        n, reach = min(n, len(self.ids)), 8 * n
+        while len(self._tail) < n:
+            cut = max(self.text.rfind(" ", 0, max(len(self.text) - reach, 0)), 0) if enc.by_space else 0
+            self._tail = [(a + cut, b + cut) for a, b in enc.full(self.text[cut:]).offsets]
+            reach *= 2
+        return self._tail[len(self._tail) - n :]
 
 
 def _clean(spans: list, at: int) -> bool:
@@ -196,49 +296,56 @@ def _clean(spans: list, at: int) -> bool:
     return spans[at][0] < spans[at][1] and (at == 0 or spans[at - 1][1] <= spans[at][0])
 
 
+def _left(enc: Encoder, a: Piece, n: int) -> int:
+    """Tokens of the left side in the window: n of them, and more until one can start it."""
+    while n < len(a.ids):
+        spans = a.tail(enc, n + 1)
+        if len(spans) > n and _clean(spans, len(spans) - n):
+            return n
+        n += 1
+    return len(a.ids)
+
+
+def _right(enc: Encoder, b: Piece, n: int) -> int:
+    """Tokens of the right side in the window: the next one can start another."""
+    while n < len(b.ids):
+        spans = b.head(enc, n + 1)
+        if _clean(spans, n):
+            return n
+        n += 1
+    return len(b.ids)
+
+
 def join(enc: Encoder, a: Piece, b: Piece) -> Piece:
     """The piece of both texts."""
     if not a.text or not b.text:
         return b if not a.text else a
-    text, cut, n = a.text + b.text, len(a.text), FIRST_WINDOW
+    text, cut, n, k = a.text + b.text, len(a.text), FIRST_WINDOW, AGREE
     while True:
-        # tokens of each side in the window; all of them when its spans run out
-        x, y = min(n, len(a.tail)), min(n, len(b.head))
-        left_all, right_all = x >= len(a.ids), y >= len(b.ids)
-        if not left_all:
-            while x < len(a.tail) and not _clean(a.tail, len(a.tail) - x):
-                x += 1
-            if x >= len(a.tail):
-                break
-        if not right_all:
-            while y < len(b.head) and not _clean(b.head, y):
-                y += 1
-            if y >= len(b.head):
-                break
-        lo = 0 if left_all else a.tail[-x][0]
-        hi = len(text) if right_all else cut + b.head[y - 1][1]
-        if not right_all and hi > cut + b.head[y][0]:
-            break
+        x, y = _left(enc, a, n), _right(enc, b, n)
+        left_all, right_all = x == len(a.ids), y == len(b.ids)
+        a_spans, b_spans = a.tail(enc, x), b.head(enc, y)
+        lo = 0 if left_all else a_spans[0][0]
+        hi = len(text) if right_all else cut + b_spans[-1][1]
         got = enc.full(text[lo:hi])
-        ids, spans = got.ids, got.offsets
-        k = AGREE
+        ids, spans = np.array(got.ids, np.uint32), got.offsets
+        both = left_all and right_all
         left_ok = left_all or (
-            ids[:k] == a.ids[-x:][:k] and [(s + lo, e + lo) for s, e in spans[:k]] == a.tail[-x:][:k] and x > 2 * k
+            x > 2 * k and (ids[:k] == a.ids[len(a.ids) - x :][:k]).all() and [(s + lo, e + lo) for s, e in spans[:k]] == a_spans[:k]
         )
         right_ok = right_all or (
-            ids[-k:] == b.ids[y - k : y] and [(s + lo - cut, e + lo - cut) for s, e in spans[-k:]] == b.head[y - k : y] and y > 2 * k
+            y > 2 * k and (ids[-k:] == b.ids[y - k : y]).all() and [(s + lo - cut, e + lo - cut) for s, e in spans[-k:]] == b_spans[-k:]
         )
-        if left_ok and right_ok and len(ids) >= 2 * k or left_all and right_all:
-            keep_a, keep_b = a.ids[: len(a.ids) - x] if not left_all else [], b.ids[y:] if not right_all else []
-            both = keep_a + ids + keep_b
-            if len(keep_a) >= EDGE and len(keep_b) >= EDGE:
-                return Piece(text, both, a.head, [(s + cut, e + cut) for s, e in b.tail])
-            return Piece(text, both, *edges(enc, text, both))
-        if left_all and right_all or n >= 2 * EDGE:
-            break
-        n *= 2
-    got = enc.full(text)  # the window has grown to both sides
-    return Piece(text, got.ids, got.offsets[:EDGE], got.offsets[-EDGE:])
+        if both or len(ids) >= 2 * k and left_ok and right_ok:
+            out = Piece(text, np.concatenate((a.ids[: len(a.ids) - x], ids, b.ids[y:])))
+            # what the window left of the outer spans still holds
+            if not left_all:
+                out._head = a._head[: len(a.ids) - x]
+            if not right_all:
+                kept = min(len(b._tail), len(b.ids) - y)
+                out._tail = [(s + cut, e + cut) for s, e in b._tail[len(b._tail) - kept :]]
+            return out
+        n = 2 * max(n, x if not left_all else 0, y if not right_all else 0)
 
 
 def halves(text: str, least: int) -> list[str]:
@@ -249,9 +356,8 @@ def halves(text: str, least: int) -> list[str]:
     return parts
 
 
-def concatenate(enc: Encoder, parts: list[tuple[str, list[int]]]) -> list[int]:
+def concatenate(enc: Encoder, level: list[Piece]) -> np.ndarray:
     """Ids of the whole text from those of its pieces, joined pairwise up the tree."""
-    level = [leaf(enc, t, i) for t, i in parts]
     while len(level) > 1:
         level = [join(enc, level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
     return level[0].ids
@@ -261,7 +367,8 @@ def encode_tree(path: str, text: str, least: int = LEAF_CHARS) -> list[int]:
     """One text by the method, in this process."""
     enc = Encoder.of(path)
     parts = halves(text, least)
-    return concatenate(enc, [(p, np.frombuffer(b, "<u4").tolist()) for p, b in zip(parts, enc.many(parts), strict=True)])
+    ids, at = enc.flat(parts)
+    return concatenate(enc, [Piece(p, ids[a:b]) for p, a, b in zip(parts, at[:-1], at[1:], strict=True)]).tolist()
 
 
 class Decoder:
@@ -276,8 +383,8 @@ class Decoder:
         self.tok = load_tokenizer(path)
         self.plain = self.tok.decoder is None
         size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.texts = np.array([self.tok.id_to_token(i) for i in range(size)], dtype=object) if self.plain else None
-        self.numbers = np.array([str(i) for i in range(size)], dtype=object)
+        self.tokens = pa.array([self.tok.id_to_token(i) or "" for i in range(size)]) if self.plain else None
+        self.numbers = pa.array([str(i) for i in range(size)])
 
     @classmethod
     def of(cls, path: str) -> "Decoder":
@@ -285,36 +392,58 @@ class Decoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def text(self, ids: np.ndarray) -> str:
+    def texts(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        if self.plain:
+            return joined(self.tokens, ids, at)
+        return pa.array([self.tok.decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+
+    def text_hashes(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
         if self.plain:
-            return " ".join(self.texts[ids].tolist())
-        return self.tok.decode(ids.tolist(), skip_special_tokens=False)
+            return hashes(self.tokens, ids, at)
+        return pa.array([hashlib.sha256(t.encode()).hexdigest() for t in self.texts(ids, at).to_pylist()], pa.string())
+
+    def listed(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The ids in decimal."""
+        return joined(self.numbers, ids, at)
+
 
-    def listed(self, ids: np.ndarray) -> str:
-        return " ".join(self.numbers[ids].tolist())
+def joined(table: pa.Array, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """For each text, the entries of its ids with a space between."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), table.take(pa.array(ids))), " ")
 
 
-def raw_ids(path: str, ids: list[bytes]) -> dict[str, pa.Array]:
+def hashes(table: pa.Array, ids: np.ndarray, at: np.ndarray, limit: int = 20_000_000) -> pa.Array:
+    """SHA-256, in hex, of what ``joined`` gives, of ``limit`` ids at once."""
+    if len(ids) <= limit:
+        got = joined(table, ids, at)
+        ends, data = np.frombuffer(got.buffers()[1], np.int32)[: len(got) + 1].tolist(), memoryview(got.buffers()[2] or b"")
+        return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        sha = hashlib.sha256()
+        for lo in range(a, b, limit):
+            part = ids[lo : min(lo + limit, b)]
+            sha.update((" " if lo > a else "").encode() + joined(table, part, np.array([0, len(part)]))[0].as_buffer().to_pybytes())
+        out.append(sha.hexdigest())
+    return pa.array(out, pa.string())
+
+
+def raw_ids(path: str, ids: np.ndarray, at: np.ndarray) -> dict[str, pa.Array]:
     """The ids themselves, little-endian 32-bit."""
-    return {"ids": pa.array(ids, pa.binary())}
+    data = np.ascontiguousarray(ids, "<u4")
+    big = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(4 * at), pa.py_buffer(data)])
+    return {"ids": big.cast(pa.binary())}
 
 
-def digests(path: str, ids: list[bytes]) -> dict[str, pa.Array]:
+def digests(path: str, ids: np.ndarray, at: np.ndarray) -> dict[str, pa.Array]:
     """Number of tokens, and SHA-256 of the ids as text and of the decoded text."""
     dec = Decoder.of(path)
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    each = [np.frombuffer(x, "<u4") for x in ids]
-    return {
-        "n_tokens": pa.array([len(x) for x in each], pa.int64()), "ids_sha256": pa.array([sha(dec.listed(x)) for x in each], pa.string()),
-        "decoded_sha256": pa.array([sha(dec.text(x)) for x in each], pa.string()),
-    }
+    return {"n_tokens": pa.array(np.diff(at)), "ids_sha256": hashes(dec.numbers, ids, at), "decoded_sha256": dec.text_hashes(ids, at)}
 
 
-def decoded(path: str, ids: list[bytes]) -> dict[str, pa.Array]:
+def decoded(path: str, ids: np.ndarray, at: np.ndarray) -> dict[str, pa.Array]:
     """Number of tokens and the decoded text."""
-    dec = Decoder.of(path)
-    each = [np.frombuffer(x, "<u4") for x in ids]
-    return {"n_tokens": pa.array([len(x) for x in each], pa.int64()), "decoded": pa.array([dec.text(x) for x in each], pa.string())}
+    return {"n_tokens": pa.array(np.diff(at)), "decoded": Decoder.of(path).texts(ids, at)}
 
 
 #: What each way to finish a document adds to its row.
@@ -336,8 +465,8 @@ def encode(docs: DataFrame, path: str, least: int = LEAF_CHARS, finish=raw_ids)
     def plain(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.of(path)
         for batch in it:
-            for start, part in batches(batch.column("text").to_pylist(), 1_000_000):
-                got = finish(path, enc.many(part))
+            for start, part in batches(batch.column("text").to_pylist(), PART_CHARS):
+                got = finish(path, *enc.flat(part))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(part)), *got.values()], ["doc_id", *names])
 
     def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,15 +478,14 @@ def encode(docs: DataFrame, path: str, least: int = LEAF_CHARS, finish=raw_ids)
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.of(path)
         for batch in it:
-            for start, part in batches(batch.column("text").to_pylist(), 1_000_000):
+            for start, part in batches(batch.column("text").to_pylist(), PART_CHARS):
                 rest = batch.slice(start, len(part))
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(enc.many(part), pa.binary())], [*rest.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, raw_ids(path, *enc.flat(part))["ids"]], [*rest.schema.names, "ids"])
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_no").drop_duplicates("_no")
-        parts = [(t, np.frombuffer(b, "<u4").tolist()) for t, b in zip(pdf["text"], pdf["ids"], strict=True)]
-        ids = array("I", concatenate(Encoder.of(path), parts)).tobytes()
-        return pd.DataFrame({"_tag": [pdf["_tag"].iloc[0]]} | {k: v.to_pylist() for k, v in finish(path, [ids]).items()})
+        ids = concatenate(Encoder.of(path), [Piece(t, np.frombuffer(b, "<u4")) for t, b in zip(pdf["text"], pdf["ids"], strict=True)])
+        return pd.DataFrame({"_tag": [pdf["_tag"].iloc[0]]} | {k: v.to_pylist() for k, v in finish(path, ids, np.array([0, len(ids)])).items()})
 
     piece_schema = pa.schema([("_tag", pa.string()), ("_no", pa.int32()), ("text", pa.string())])
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -376,7 +504,9 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *decoded(path, batch.column("ids").to_pylist()).values()], ["doc_id", "n_tokens", "decoded"])
+            each = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
+            got = decoded(path, np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([0] + [len(x) for x in each]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *got.values()], ["doc_id", "n_tokens", "decoded"])
 
     key = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {key}, {COLUMNS[decoded]}")

@@ -87,10 +87,17 @@ ALPHABET = ["a", "the", "ing", " ", "\n", "'s", "'ll", "'", "É", "ß", "中", "
 def test_tree_equals_library(parts, least):
     text, enc = "".join(parts), tree_bpe.Encoder.of(PATH)
     want = enc.full(text).ids
-    assert np.frombuffer(enc.many([text])[0], "<u4").tolist() == want
+    other = ["", text[::-1], "x"]
+    ids, at = enc.flat([text, *other])
+    assert ids.tolist() == [i for t in (text, *other) for i in enc.full(t).ids] and at.tolist()[:2] == [0, len(want)] and len(at) == 5
     assert tree_bpe.encode_tree(PATH, text, least) == want
     ids = np.array(want, "<u4")
-    assert tree_bpe.Decoder.of(PATH).text(ids) == enc.tok.decode(want, skip_special_tokens=False)
+    dec, at = tree_bpe.Decoder.of(PATH), np.array([0, len(ids)])
+    assert dec.texts(ids, at).to_pylist() == [enc.tok.decode(want, skip_special_tokens=False)]
+    assert dec.listed(ids, at).to_pylist() == [" ".join(map(str, want))]
+    for limit in (7, 1000):
+        got = tree_bpe.hashes(dec.numbers, np.concatenate((ids, ids)), np.array([0, len(ids), 2 * len(ids)]), limit).to_pylist()
+        assert got == [hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()] * 2
 
 
 def test_tree_without_any_space(spark):
