@@ -248,19 +248,65 @@ def brute_spans(text):
     return ",".join(f"{n}:{s}:{e}" for s, _, n, e in sorted(found))
 
 
+def brute_random(text, model):
+    """Random tokens outside the base spans, character by character."""
+    flat = list(text or "")
+    for s in [x.split(":") for x in brute_spans(text).split(",") if x]:
+        flat[int(s[1]) : int(s[2])] = " " * (int(s[2]) - int(s[1]))
+    k, out = len(secrets.ALPHABET), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", "".join(flat)):
+        at = [secrets.ALPHABET.index(c) for c in m[0]]
+        ratio = model.first[at[0]] + sum(model.moves[a * k + b] for a, b in zip(at, at[1:]))
+        if len(set(m[0])) >= 8 and ratio >= model.threshold:
+            out.append((m.start(), 3, "random", m.end()))
+    return out
+
+
+def all_spans(text, model):
+    base = [(int(a), secrets.KINDS.index(n), n, int(b)) for n, a, b in (x.split(":") for x in brute_spans(text).split(",") if x)]
+    return sorted(base + brute_random(text, model))
+
+
 def test_secrets(spark):
-    hexes = hashlib.sha256(b"x").hexdigest()
+    hexes, rng = hashlib.sha256(b"x").hexdigest(), random.Random(6)
+    odd = lambda n: "".join(rng.choice(secrets.ALPHABET) for _ in range(n))
     texts = dict(enumerate([
         None, "", "😀 password: hunter2222 and TOKEN=\"" + hexes[:40] + "\"", "token: secret: abcdefgh1234", "secret=token=abcdefghij", "AKIA" + "A1" * 8 + " AKIAAKIAB", "api_key 'x'", "apikey = 12345678",
         hexes + "g" + hexes[:31], "x" * 5000, "key Zk3Qx9vLw2Rt8Yb5Nc7Mf4Hj1Pd6Gs0 here", "internationalisation_of_identifiers", "pass" + "word:" + "a" * 8,
+        "=-" * 40 + " " + "_" * 30, "Zk3Qx9vLw2Rt8Yb5Nc7Mf4Hj" + hexes[:32] + "Qx9vLw2Rt8Yb5Nc7Mf4", "É ".join(odd(n) for n in (15, 16, 17, 30, 64)),
+        " ".join(hexes[: 32 + i % 9] + "é" for i in range(700)), " ".join("a" * (i % 4) + odd(20) for i in range(600)), "the quick brown foxes jump_over_lazy_dogs " * 3,
     ]))
-    ratios = secrets.train(secrets.labelled_samples(docs(spark, {i: "the quick brown fox jumps over lazy dogs %d and identifiers follow" % i for i in range(200)})))
-    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(docs(spark, texts), ratios)).collect()}
-    for i, t in texts.items():
-        assert got[i]["base_sha256"] == hashlib.sha256(brute_spans(t).encode()).hexdigest(), t
-    assert got[10]["spans"] == "random:4:35" and got[11]["spans"] == "" and got[9]["n_random"] == 0
-    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs(spark, texts), ratios).collect()}
-    assert clean[0] is None and clean[7] == "[SECRET]" and clean[10] == "key [SECRET] here"
+    plain = docs(spark, {i: "the quick brown fox jumps over lazy dogs %d and identifiers follow" % i for i in range(200)})
+    model = secrets.train(secrets.labelled_samples(plain))
+    rows = [*texts.items(), (None, texts[10]), (10, texts[10]), (10, texts[10])]
+    got = secrets.digest(secrets.scan(listed(spark, rows), model)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = texts[r["doc_id"] if r["doc_id"] is not None else 10]
+        want = all_spans(t, model)
+        line = lambda spans: ",".join(f"{n}:{a}:{b}" for a, _, n, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(brute_spans(t).encode()).hexdigest() and r["spans"] == line(want), t
+        assert [r["n_assign"], r["n_access"], r["n_hex"], r["n_random"]] == [sum(k == n for _, k, _, _ in want) for n in range(4)]
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[10]["spans"] == "random:4:35" and by_id[14]["n_random"] == 2
+    assert [by_id[i]["n_random"] for i in (9, 11, 13, 18)] == [0] * 4
+    wide = docs(spark, texts).withColumn("base", F.lit(1)).withColumn("spans", F.lit(2))
+    clean = {r["doc_id"]: r for r in secrets.redacted(wide, model).collect()}
+    assert clean[0]["text"] is None and clean[7]["text"] == "[SECRET]" and clean[10]["text"] == "key [SECRET] here" and clean[10]["base"] == 1
+
+
+def test_markov_models_are_counts(spark):
+    rows = [("abab", 0, 2), ("Q1Q", 1, 3), ("a", 0, 5), ("aé", 1, 1)]
+    samples = spark.createDataFrame(rows, "token string, label int, n long").filter(~((F.pmod(F.xxhash64("token"), F.lit(secrets.HELD_OUT)) == 0)))
+    kept = [tuple(r) for r in samples.collect()]
+    m, k = secrets.train(samples), len(secrets.ALPHABET)
+    count = lambda label, a, b: secrets.PRIOR + sum(n * sum(x == a and y == b for x, y in zip(" " + t, t)) for t, c, n in kept if c == label and len(t) > 1 and "é" not in (a, b))
+    prob = lambda label, a, b: count(label, a, b) / sum(count(label, a, c) for c in secrets.ALPHABET)
+    for a, b in ((" ", "a"), (" ", "Q"), ("a", "b"), ("Q", "1"), ("1", "Q"), ("b", "a")):
+        want = np.log(prob(1, a, b) / prob(0, a, b))
+        at = secrets.ALPHABET.index(b)
+        assert (m.first[at] if a == " " else m.moves[secrets.ALPHABET.index(a) * k + at]) == pytest.approx(want)
+    assert m.threshold == secrets.RATIO_LEAST
 
 
 # -- 5 -----------------------------------------------------------------------------------------------
@@ -437,8 +483,8 @@ def brute_pipeline(rows, items, m):
     hits = brute_hits({n: t for n, (_, t) in enumerate(rows)}, items)
     out, tok = [], tree_bpe.load_tokenizer(PATH)
     for i, t in (r for n, r in enumerate(rows) if hits[n][1] == 0):
-        for span in reversed([s.split(":") for s in brute_spans(t).split(",") if s]):
-            t = t[: int(span[1])] + "[SECRET]" + t[int(span[2]) :]
+        for lo, _, _, hi in reversed(all_spans(t, model)):
+            t = t[:lo] + "[SECRET]" + t[hi:]
         ids = tok.encode(t, add_special_tokens=False).ids
         out.append((i, len(ids), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     return sorted(out, key=str)
