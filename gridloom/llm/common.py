@@ -77,6 +77,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Parts into which a hot key is dealt.
+SALTS = 32
+
+
+def join_spread(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join many rows with few, one for each key, where a key may hold a large share of the many: these are
+    dealt by a hash of the columns ``by`` too, and each of the few goes to every part."""
+    (salt,) = fresh(many, "salt")
+    many = many.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    few = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.join(few, [*keys, salt], how).drop(salt)
+
+
 def same_keys(left: list[str], right: list[str]) -> Column:
     """Null-safe equality of columns of two sides named differently."""
     cond = F.lit(True)

@@ -35,7 +35,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.calls_from_conversations(table(spark, sf_dir, "conversations"))
     schemas = spark.createDataFrame(tool_calls.SCHEMAS, "name string, arg string, type string, required boolean")
-    return tool_calls.link(calls, results, schemas)
+    return tool_calls.report(calls, results, schemas)
 
 
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,9 @@ call ids the first (by turn, then arguments) counts; of repeated results the fir
 and all are counted; results without a call are left out (``orphans`` lists them); arguments that
 aren't a JSON object, or unknown tools, are invalid; calls in or behind a dependency cycle have no
 level and come last; dependencies that name no call are ignored. Other columns are ignored.
+
+A conversation may hold any share of the calls: it is dealt by call id in joins, and calls are numbered
+by counts for each level and block of turns plus a rank within these.
 """
 
 from __future__ import annotations
@@ -17,7 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise
+from gridloom.llm.common import join_spread, materialise
+
+#: Turns of a conversation that are numbered in one task.
+BLOCK = 4096
 
 #: Fixed JSON type names and what ``schema_of_variant`` says of such values.
 JSON_TYPES = {
@@ -67,6 +73,18 @@ def out_of_order(calls: DataFrame) -> DataFrame:
     return deps.join(target, ["conv_id", "dep"]).filter("_dep >= _at").select("conv_id").distinct()
 
 
+def numbered(calls: DataFrame) -> DataFrame:
+    """``position`` from 1 within a conversation, by level (none comes last), turn and call id."""
+    group = ["conv_id", "_level", "_block"]
+    placed = calls.withColumns({"_level": F.coalesce("level", F.lit(2**31 - 1)), "_block": F.floor(F.col("turn") / BLOCK)})
+    count = placed.groupBy(*group).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("conv_id").orderBy("_level", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    offset = count.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("turn", "call_id"))
+    ranked = placed.withColumn("_rank", rank).join(offset, group)
+    return ranked.withColumn("position", (F.col("_before") + F.col("_rank")).cast("long")).drop("_level", "_block", "_rank", "_before")
+
+
 def argument_errors(args: Column, schema: Column) -> Column:
     """What is wrong with a map of variants; schema: array of (arg, type, required), null if none."""
     held = F.map_keys(args)
@@ -101,17 +119,17 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     both = tools.join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     # where every dependency stands earlier, the order of turns is one; only the rest needs levels
     mixed = materialise(out_of_order(first), "mixed")
-    level = levels(first.join(mixed, "conv_id", "left_semi"))
-    both = both.join(level, ["conv_id", "call_id"], "left").join(mixed.withColumn("_mixed", F.lit(True)), "conv_id", "left")
+    level = levels(join_spread(first, mixed, ["conv_id"], ["call_id"]))
+    both = both.join(level, ["conv_id", "call_id"], "left")
+    both = join_spread(both, mixed.withColumn("_mixed", F.lit(True)), ["conv_id"], ["call_id"], "left")
     both = both.withColumn("level", F.when(F.col("_mixed").isNull(), 0).otherwise(F.col("level")))
     object_ = F.col("arguments").rlike(r"^\s*\{")
     args = F.when(object_ & F.try_parse_json("arguments").isNotNull(), F.from_json("arguments", "map<string,variant>"))
     errors = argument_errors(args, F.col("_schema"))
-    w = Window.partitionBy("conv_id").orderBy(F.col("level").asc_nulls_last(), "turn", "call_id")
-    ready = both.select(
+    ready = numbered(both).select(
         "conv_id", "call_id", "turn", "name", "level", errors.alias("errors"), F.col("_res.content").alias("content"),
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
-        F.when(object_, F.to_json(F.try_parse_json("arguments"))).alias("_args"), F.row_number().over(w).cast("long").alias("position"),
+        F.when(object_, F.to_json(F.try_parse_json("arguments"))).alias("_args"), "position",
     )
     status = (
         F.when(F.col("level").isNull(), "cycle").when(F.size("errors") > 0, "invalid")
@@ -140,24 +158,42 @@ def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def calls_from_conversations(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """User turns as calls that depend on the user turn before, assistant turns as results of the
-    last user turn; arguments are counts and pieces of the text, some of them of a wrong type."""
-    conv = conv.select("conv_id", "turn", "role", "text")
-    call_id = F.concat(F.lit("c"), F.col("turn").cast("string"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    user = conv.filter("role = 'user'")
+    """User turns as calls, assistant turns as results of the call one turn before, since the table at hand
+    has no tool calls.
+
+    Arguments are counts and texts, some of a wrong type. By the remainder of conv_id calls depend on
+    earlier turns, on later ones, on the first and last of four (also later), on each other in a circle, or on nothing;
+    some ids are missing and some repeated.
+    """
+    conv_id, turn = F.col("conv_id"), F.col("turn")
+    ref = lambda at: F.concat(F.lit("c"), at.cast("string"))
+    repeated, missing = conv_id % 11 == 7, (conv_id % 11 == 5) & (turn % 4 == 0)
+    call_id = F.when(~F.coalesce(missing, F.lit(False)), F.when(repeated, ref(F.floor(turn / 4))).otherwise(ref(turn)))
     n = F.length(F.coalesce("text", F.lit("")))
     name = F.element_at(F.array(F.lit("search"), F.lit("count"), F.lit("other")), (F.pmod(n, F.lit(3)) + 1).cast("int"))
     sized = F.when(F.pmod(n, F.lit(7)) == 0, F.to_json(F.struct(F.col("text").alias("query"), n.cast("string").alias("limit"))))
     args = sized.otherwise(F.to_json(F.struct(n.alias("limit"), F.col("text").alias("query"))))
-    before = F.lag(call_id).over(w)
-    calls = user.select(
-        "conv_id", "turn", call_id.alias("call_id"), name.alias("name"), args.alias("arguments"),
-        F.when(before.isNull(), F.array().cast("array<string>")).otherwise(F.array(before)).alias("depends"),
+    none, four = F.array().cast("array<string>"), turn - turn % 4
+    depends = (
+        F.when(conv_id % 4 == 0, F.array(ref(turn - 1), ref(turn - 2)))
+        .when(conv_id % 4 == 1, F.when(turn % 8 < 6, F.array(ref(turn + 2), ref(turn + 1))).otherwise(none))
+        .when(conv_id % 4 == 2, F.when(turn % 4 == 0, none).when(turn % 4 == 3, F.array(ref(four))).otherwise(F.array(ref(four), ref(four + 3))))
+        .when(conv_id % 8 == 3, F.array(F.when(turn % 4 == 0, ref(turn + 1)).otherwise(ref(turn - 1))))
     )
-    last = F.last(F.when(F.col("role") == "user", call_id), ignorenulls=True).over(w)
-    answers = conv.select("conv_id", "turn", last.alias("call_id"), "role", F.col("text").alias("content"))
-    return calls, answers.filter("role = 'assistant' AND call_id IS NOT NULL").drop("role")
+    calls = conv.filter("role = 'user'").select(
+        "conv_id", "turn", call_id.alias("call_id"), name.alias("name"), args.alias("arguments"), depends.alias("depends")
+    )
+    asked = F.when(repeated, ref(F.floor((turn + 3) / 4) - 1)).otherwise(ref(turn - 1))
+    results = conv.filter("role = 'assistant'").select("conv_id", "turn", asked.alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+def report(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+    """The registered query: rows of ``link``, and results without a call with status ``orphan``."""
+    lost = orphans(calls, results).select(
+        "conv_id", "call_id", F.lit(None).cast("long"), F.lit("orphan"), F.lit(""), F.lit(1).cast("long"), F.lit(None).cast("string")
+    )
+    return link(calls, results, schemas).unionAll(lost)
 
 
 #: Fixed tool schemas of the registered query: name, argument, type, required.
@@ -167,19 +203,35 @@ SCHEMAS = [
 ]
 
 
-#: The registered query in SQL, where its calls stand in order by construction.
+#: The registered query in SQL; a chain of 40 calls would be a cycle.
 ORACLE = """
-WITH c AS (SELECT conv_id, turn, role, text,
-    max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS call_turn FROM conversations),
-u AS (SELECT conv_id, turn, length(text) AS n, text, ['search', 'count', 'other'][length(text) % 3 + 1] AS name,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM c WHERE role = 'user'),
-r AS (SELECT conv_id, call_turn AS turn, count(*) AS n_results, arg_min(text, turn) AS content FROM c
-    WHERE role = 'assistant' AND call_turn IS NOT NULL GROUP BY 1, 2),
-x AS (SELECT u.*, coalesce(n_results, 0) AS n_results, content,
-    CASE WHEN name = 'other' THEN 'tool' WHEN n % 7 = 0 THEN 'type:limit' ELSE '' END AS errors FROM u LEFT JOIN r USING (conv_id, turn))
-SELECT conv_id, 'c' || turn AS call_id, position, CASE WHEN errors <> '' THEN 'invalid' WHEN n_results = 0 THEN 'unanswered' ELSE 'linked' END AS status,
+WITH RECURSIVE u AS (SELECT conv_id, turn, length(text) AS n, text, ['search', 'count', 'other'][length(text) % 3 + 1] AS name,
+    CASE WHEN conv_id % 11 = 5 AND turn % 4 = 0 THEN NULL WHEN conv_id % 11 = 7 THEN 'c' || (turn // 4) ELSE 'c' || turn END AS call_id,
+    CASE WHEN conv_id % 4 = 0 THEN ['c' || (turn - 1), 'c' || (turn - 2)]
+        WHEN conv_id % 4 = 1 THEN CASE WHEN turn % 8 < 6 THEN ['c' || (turn + 2), 'c' || (turn + 1)] END
+        WHEN conv_id % 4 = 2 THEN CASE turn % 4 WHEN 0 THEN NULL WHEN 3 THEN ['c' || (turn - 3)]
+            ELSE ['c' || (turn - turn % 4), 'c' || (turn - turn % 4 + 3)] END
+        WHEN conv_id % 8 = 3 THEN [CASE WHEN turn % 4 = 0 THEN 'c' || (turn + 1) ELSE 'c' || (turn - 1) END] END AS depends
+    FROM conversations WHERE role = 'user'),
+f AS (SELECT * FROM u WHERE call_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn) = 1),
+d AS (SELECT e.conv_id, e.call_id, e.dep, (f.turn, f.call_id) >= (e.turn, e.call_id) AS later
+    FROM (SELECT conv_id, turn, call_id, unnest(depends) AS dep FROM f) e JOIN f ON f.conv_id = e.conv_id AND f.call_id = e.dep),
+mixed AS (SELECT DISTINCT conv_id FROM d WHERE later),
+reach AS (SELECT conv_id, call_id, 0 AS l FROM f SEMI JOIN mixed USING (conv_id)
+    UNION SELECT d.conv_id, d.call_id, l + 1 FROM reach JOIN d ON d.conv_id = reach.conv_id AND d.dep = reach.call_id WHERE l < 40),
+lv AS (SELECT conv_id, call_id, CASE WHEN max(l) < 40 THEN max(l) END AS level FROM reach GROUP BY 1, 2),
+r AS (SELECT conv_id, CASE WHEN conv_id % 11 = 7 THEN 'c' || ((turn + 3) // 4 - 1) ELSE 'c' || (turn - 1) END AS call_id, turn, text
+    FROM conversations WHERE role = 'assistant'),
+a AS (SELECT conv_id, call_id, count(*) AS n_results, arg_min(text, turn) AS content FROM r GROUP BY 1, 2),
+x AS (SELECT f.*, coalesce(n_results, 0) AS n_results, content, CASE WHEN mixed.conv_id IS NULL THEN 0 ELSE level END AS level,
+    CASE WHEN name = 'other' THEN 'tool' WHEN n % 7 = 0 THEN 'type:limit' ELSE '' END AS errors
+    FROM f LEFT JOIN a USING (conv_id, call_id) LEFT JOIN lv USING (conv_id, call_id) LEFT JOIN mixed ON mixed.conv_id = f.conv_id)
+SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, turn, call_id) AS position,
+    CASE WHEN level IS NULL THEN 'cycle' WHEN errors <> '' THEN 'invalid' WHEN n_results = 0 THEN 'unanswered' ELSE 'linked' END AS status,
     errors, cast(n_results AS BIGINT) AS n_results,
-    '{"arguments":{"limit":' || CASE WHEN n % 7 = 0 THEN '"' || n || '"' ELSE n::VARCHAR END || ',"query":' || to_json(text)::VARCHAR || '},"id":"c' || turn
+    '{"arguments":{"limit":' || CASE WHEN n % 7 = 0 THEN '"' || n || '"' ELSE n::VARCHAR END || ',"query":' || to_json(text)::VARCHAR || '},"id":"' || call_id
     || '","name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS record
 FROM x
+UNION ALL SELECT conv_id, NULL, NULL, 'no_id', '', 0, NULL FROM u WHERE call_id IS NULL
+UNION ALL SELECT conv_id, call_id, NULL, 'orphan', '', 1, NULL FROM r ANTI JOIN f USING (conv_id, call_id)
 """

@@ -1,12 +1,14 @@
 """URL filters: pattern rules found through their rarest literal token.
 
 Every rule is a regular expression over ``host`` + ``path`` with the literal tokens that any match
-must hold. Token frequencies are counted over all urls, each rule is indexed by its rarest token,
+must hold. Token frequencies are counted over all different urls, each rule is indexed by its rarest token,
 url tokens fetch candidate rules by a join, and only those run their expression. Of the prefix
-rules that fit, the longest wins; pattern rules decide only where no prefix rule fits.
+rules that fit, the longest wins; pattern rules decide only where no prefix rule fits. A pattern of several
+alternatives is written as a rule for each, so that every one has a literal token.
 
 Cases: a url that is null or has no ``://`` has empty host and path, fits no rule and is allowed;
-repeated rows each get a result row; a rule without literal tokens is tried on every url.
+repeated rows each get a result row; a rule without literal tokens (none of the fixed ones) is tried on
+every url; of pattern rules that fit, the last in the list decides. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +32,15 @@ PATTERN_RULES = [
     ("block", r"^(?:[^/]*\.)?cheap-pills\.", ["cheap", "pills"]),
     ("block", r"^(?:[^/]*\.)?casino-win\.", ["casino", "win"]),
     ("block", r"^(?:[^/]*\.)?adult-[^/.]*\.", ["adult"]),
-    ("block", r"/(?:login|signup)/", []),
-    ("block", r"\.(?:exe|zip|iso)\z", []),
+    ("block", r"/login/", ["login"]),
+    ("block", r"/signup/", ["signup"]),
+    ("block", r"\.exe\z", ["exe"]),
+    ("block", r"\.zip\z", ["zip"]),
+    ("block", r"\.iso\z", ["iso"]),
 ]
 TOKEN_BREAK = "[^a-z0-9]+"
-#: Rules that are still sent to every executor; a longer list is shuffled by token.
-BROADCAST_RULES = 100_000
+#: Rules, and bytes of their patterns, that are still sent to every executor; a longer list is shuffled by token.
+BROADCAST_RULES, BROADCAST_BYTES = 100_000, 16_000_000
 
 
 def _rest(url: Column) -> Column:
@@ -72,7 +77,7 @@ def _tokens(col: Column) -> Column:
 
 
 def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules with ``token``: of their literals the one in the fewest urls (null without any)."""
+    """Rules with ``token``: of their literals the one in the fewest different urls (null without any)."""
     wanted = rules.select(F.explode("tokens").alias("token")).distinct()
     seen = urls.select(F.explode(_tokens(F.concat("host", "path"))).alias("token"))
     freq = seen.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("_n"))
@@ -85,15 +90,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """page_id, host, path, rule, verdict, n_tried (rules whose expression ran) for each row."""
     spark = pages.sparkSession
     urls = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    small = rules.count() <= BROADCAST_RULES
-    index = rule_index(urls, rules).select(
+    # equal host and path are judged once and joined back, so a hot url costs one row; empty ones need no judging
+    empty = (F.col("host") == "") & (F.col("path") == "")
+    distinct = urls.filter(~empty).select("host", "path").distinct()
+    size = rules.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)).alias("bytes")).first()
+    small = size["n"] <= BROADCAST_RULES and size["bytes"] <= BROADCAST_BYTES
+    index = rule_index(distinct, rules).select(
         "token", F.struct("weight", "rule_no", "rule", "verdict", "pattern").alias("_r")
     )
     by_token = index.filter("token IS NOT NULL").groupBy("token").agg(F.collect_list("_r").alias("_rs"))
     always = index.filter("token IS NULL").groupBy().agg(F.collect_list("_r").alias("_rs")).collect()[0]["_rs"]
 
-    # equal host and path are judged once and joined back, so a hot url costs one row
-    distinct = urls.select("host", "path").distinct()
     text = F.concat("host", "path")
     toks = distinct.select("host", "path", F.explode_outer(_tokens(text)).alias("token"))
     cand = toks.join(F.broadcast(by_token) if small else by_token, "token", "left")
@@ -116,7 +123,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
             "host", "path", F.greatest("_best", F.array_max(extra)).alias("_best"),
             (F.col("n_tried") + len(always)).alias("n_tried"),
         )
-    out = urls.join(per, ["host", "path"], "left")
+    none = urls.filter(empty).select("*", *[F.lit(None).cast(per.schema[c].dataType).alias(c) for c in ("_best", "n_tried")])
+    out = urls.filter(~empty).join(per, ["host", "path"], "left").unionByName(none)
     fit = F.col("_best")
     return out.select(
         "page_id", "host", "path", fit["rule"].alias("rule"),

@@ -333,6 +333,33 @@ def test_tool_calls(spark):
     assert [r["conv_id"] for r in tool_calls.orphans(calls, results).collect()] == [9]
 
 
+def test_tool_calls_edges(spark):
+    calls = "conv_id long, turn long, call_id string, name string, arguments string, depends array<string>, level string, _mixed string"
+    results = "conv_id long, turn long, call_id string, content string, name string"
+    schemas = spark.createDataFrame(tool_calls.SCHEMAS, "name string, arg string, type string, required boolean")
+    none = tool_calls.report(spark.createDataFrame([], calls), spark.createDataFrame([], results), schemas)
+    assert none.isEmpty()
+    # a chain backwards through more turns than a block, and a very long argument
+    long_ = json.dumps({"query": "é\"\\" * 300_000})
+    rows = [(1, t, "k%d" % t, "search", long_ if t == 5 else '{"query": ""}', ["k%d" % (t + 1)] if t < 9 else None, "x", "y") for t in range(10)]
+    rows += [(2, t, "k%05d" % t, "search", "null", [], "x", "y") for t in range(9000)]
+    got = tool_calls.report(spark.createDataFrame(rows, calls), spark.createDataFrame([(1, 20, "k5", "r", "n"), (3, 0, None, "r", "n")], results), schemas).collect()
+    assert {r["call_id"]: r["position"] for r in got if r["conv_id"] == 1} == {"k%d" % t: 10 - t for t in range(10)}
+    assert [r["position"] for r in sorted((r for r in got if r["conv_id"] == 2), key=lambda r: r["call_id"])] == list(range(1, 9001))
+    assert {r["errors"] for r in got if r["conv_id"] == 2} == {"json"}
+    assert json.loads(next(r["record"] for r in got if r["call_id"] == "k5"))["arguments"] == json.loads(long_)
+    assert [(r["call_id"], r["status"]) for r in got if r["conv_id"] == 3] == [(None, "orphan")]
+
+
+def test_tool_call_query_meets_every_status(spark):
+    calls, results = tool_calls.calls_from_conversations(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    schemas = spark.createDataFrame(tool_calls.SCHEMAS, "name string, arg string, type string, required boolean")
+    got = {r["status"] for r in tool_calls.report(calls, results, schemas).select("status").distinct().collect()}
+    assert got == {"linked", "invalid", "unanswered", "cycle", "no_id", "orphan"}
+    first = tool_calls.first_calls(calls)
+    assert tool_calls.levels(first).agg(F.max("level")).first()[0] >= 3 and not tool_calls.out_of_order(first).isEmpty()
+
+
 # -- 7 and 8 -----------------------------------------------------------------------------------------
 
 
@@ -402,28 +429,44 @@ def test_quality_learns_and_scores_edges(spark):
 # -- 9 -----------------------------------------------------------------------------------------------
 
 
-def test_urls(spark):
+def want_url(u):
+    rest = u.split("://", 1)[1] if u and "://" in u else ""
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host) :])[0]
+    host = host.translate(ngram_join.ASCII_LOWER)
+    fit = [(len(h + p), h + p, v) for v, h, p in url_rules.PREFIX_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    own = [v for v, p, _ in url_rules.PATTERN_RULES if re.search(p.replace(r"\z", r"\Z"), host + path)] if host else []
+    return (host, path, max(fit)[1] if fit else None, max(fit)[2] if fit else own[0] if own else "allow")
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_urls(spark, monkeypatch, limit):
+    monkeypatch.setattr(url_rules, "BROADCAST_RULES", limit)
     urls = [
         None, "", "no scheme", "http://EXAMPLE.com/en/77?x=http://a.com/en/", "http://a.com/en/x", "http://acom/en/x", "https://example.net/de/81", "https://b.example.net/de/9", "http://x.org/es/", "http://x.org/es",
-        "http://spam-farm.example.org/en/1", "http://h?u=://y/en/", "://com/en/", "http://www.a.com/file.zip", "http://a.com#/en/",
+        "http://spam-farm.example.org/en/1", "http://h?u=://y/en/", "://com/en/", "http://www.a.com/file.zip", "http://a.com#/en/", "http://a.b/login/x", "http://a.b/signup/", "http://a.b/signups/", "http://a.b/x.exe?q",
+        "http://a.b/x.exe/", "http://a.b/c.ISO", "http://a.b/c.iso", "http://a.b/" + "long-path/" * 20_000 + "c.zip", "http:///", "http://a.b/login/x", None, "http://www.adult-x.net/de/login/",
     ]
-    pages = spark.createDataFrame([(i, u, "<html>", "host") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
-
-    def want(u):
-        rest = u.split("://", 1)[1] if u and "://" in u else ""
-        host = re.match("[^/?#]*", rest)[0]
-        path = re.match("[^?#]*", rest[len(host) :])[0]
-        host = host.translate(ngram_join.ASCII_LOWER)
-        fit = [(len(h + p), h + p, v) for v, h, p in url_rules.PREFIX_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        own = [v for v, p, _ in url_rules.PATTERN_RULES if re.search(p.replace(r"\z", r"\Z"), host + path)] if host else []
-        return (host, path, max(fit)[1] if fit else None, max(fit)[2] if fit else own[0] if own else "allow")
-
-    got = {r["page_id"]: tuple(r)[1:] for r in url_rules.digest(url_rules.judge(pages, url_rules.rules_table(spark))).collect()}
-    assert got == {i: want(u) for i, u in enumerate(urls)}
+    pages = spark.createDataFrame([(i, u, "<html>", "host", "p", "t") for i, u in enumerate(urls)] + [(None, urls[3], "", "", "", ""), (4, urls[4], "", "", "", "")], "page_id long, url string, html string, host string, path string, token string")
+    got = url_rules.digest(url_rules.judge(pages, url_rules.rules_table(spark))).collect()
+    want = [(i, *want_url(u)) for i, u in enumerate(urls)] + [(None, *want_url(urls[3])), (4, *want_url(urls[4]))]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     tried = url_rules.judge(pages, url_rules.rules_table(spark)).agg(F.max("n_tried")).first()[0]
     assert tried < url_rules.rules_table(spark).count()
 
 
+def test_url_rules_all_have_a_token(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/login/x"), (2, "http://c.d/e")], "page_id long, url string")
+    urls = pages.select(url_rules.host(F.col("url")).alias("host"), url_rules.path(F.col("url")).alias("path"))
+    index = url_rules.rule_index(urls, url_rules.rules_table(spark))
+    assert index.filter("token IS NULL").isEmpty()
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert url_rules.judge(none, url_rules.rules_table(spark)).isEmpty()
+    free = url_rules.rules_table(spark, patterns=[("block", "e", [])])  # a rule of one's own without a literal
+    got = {r["page_id"]: (r["verdict"], r["n_tried"]) for r in url_rules.judge(pages, free).collect()}
+    assert got == {1: ("allow", 1), 2: ("block", 1)}
+
+
 # -- 10 ----------------------------------------------------------------------------------------------
 
 
