@@ -90,6 +90,16 @@ def join_spread(many: DataFrame, few: DataFrame, keys: list[str], by: list[str],
     return many.join(few, [*keys, salt], how).drop(salt)
 
 
+def join_hot(many: DataFrame, few: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """Inner join in which the rows of ``few`` that ``hot`` names are broadcast, so that no task gets all the
+    rows of ``many`` with such a key; the caller bounds how many they are. The rest is shuffled."""
+    (mark,) = fresh(many, "hot")
+    met = many.join(F.broadcast(few.filter(hot).withColumn(mark, F.lit(True))), keys, "left")
+    rest = met.filter(F.col(mark).isNull()).select(*many.columns).join(few.filter(~F.coalesce(hot, F.lit(False))), keys)
+    met = met.filter(mark).drop(mark)
+    return met.unionByName(rest.select(*met.columns))
+
+
 def same_keys(left: list[str], right: list[str]) -> Column:
     """Null-safe equality of columns of two sides named differently."""
     cond = F.lit(True)

@@ -1,4 +1,4 @@
-"""Bounded labelled samples for the classifiers."""
+"""Bounded labelled samples for the classifiers: in rows and in bytes."""
 
 from __future__ import annotations
 
@@ -11,12 +11,15 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(of)).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, expected: int) -> DataFrame:
-    """Documents with ``_y`` (0 or 1): about ``expected`` labelled rows that aren't held out, chosen by
-    hash. Rows with a null label are left out; of repeated labels the greatest counts."""
+#: Bytes of the longest text that is learnt from, so that a sample of n rows holds n times as many at most.
+SAMPLE_BYTES = 65_536
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, rows: int) -> DataFrame:
+    """Columns of documents with ``_y`` (0 or 1): at most ``rows`` labelled ids that aren't held out, those with
+    the least hashes, and their texts of at most ``SAMPLE_BYTES``. Rows with a null label are left out; of
+    repeated labels the greatest counts."""
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
-    n = known.count()
-    share = int(min(1.0, expected / max(n, 1)) * 1_000_000)
-    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) <= share)
-    known = known.withColumnRenamed("doc_id", "_id")
-    return docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).drop("_id")  # at most the sample
+    known = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows).withColumnRenamed("doc_id", "_id")
+    short = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    return short.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).drop("_id")  # at most ``rows`` rows

@@ -1,44 +1,51 @@
 """Media columns by content-defined chunking of payloads.
 
 A rolling gear hash cuts each payload where its bits vanish, so equal stretches get equal chunks
-wherever they stand. Chunks are deduplicated by joins on their digests: the row with the lowest key
-owns a chunk, every other row refers to it. The store below a path is::
+wherever they stand. Equal payloads are stored once. Their chunks are deduplicated by joins on the
+digests: of the payloads that hold a chunk the one with the lowest id owns it, every other refers to
+it. The store below a path is::
 
     dictionary/  the zstandard dictionary of all frames, from a bounded sample of texts
-    recipes/   key, tag, chunks: array of (digest, size, owner) in order, data: zstandard frame of the
-               owned chunks one after the other, but for those that other rows refer to too, which are
-               frames of their own in shared
-
-A payload is read back from its own row's data; only chunks owned elsewhere are fetched by a join.
-Each rebuilt chunk is held against its digest.
-
-The stored form of a payload, the same for equal payloads, is its manifest: the ordered chunk list
-as text lines ``digest size``; ``media_bytes`` and ``media_sha256`` describe it.
-
-Cases: null text is an empty payload; equal keys are told apart by the payload's hash, and repeated rows
-share one stored row and each get a result row; other columns are ignored.
+    rows/      key, payload (its id, the SHA-256 of the text), n_bytes: one for each row
+    recipes/   payload, manifest, refs: array of (no, owner), data: zstandard frame of the owned chunks
+               one after the other, but for those that others refer to too, which are frames of their
+               own in shared; copies: rows with this payload
+
+The stored form of a payload is its manifest: the ordered chunk list, 16 bytes of digest and 4 of
+size (little-endian) for each chunk. ``media_bytes`` and ``media_sha256`` are those of the manifest as
+read back. A payload is rebuilt from its manifest, each chunk held against its digest; chunks owned
+elsewhere are fetched by a join.
+
+Cases: null text is an empty payload; repeated rows and equal keys keep a row each; null keys are
+kept; a chunk that fails its digest raises; an empty table gives an empty store; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import same_keys
+from gridloom.llm.common import join_hot, materialise
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 1024, 12, 32_768
 REACH = 32  # bytes that a 32-bit gear hash sees
 LEVEL = 6
 UNIT = 64
-#: The compression dictionary's size, and the texts, in expectation, that it is trained on.
-DICTIONARY, SAMPLE = 112_640, 1_500
+#: The compression dictionary's size, and the most texts and bytes of a text that it is trained on.
+DICTIONARY, SAMPLE, SAMPLE_BYTES = 112_640, 1_500, 16_384
+#: A key with more than one in so many rows is hot: there are at most that many of them, so they are broadcast
+#: (of chunks 32 MB at most).
+HOT_SHARE = 1_024
+PLACE = struct.Struct("<16sI")
 
 
 def _gears() -> np.ndarray:
@@ -93,17 +100,19 @@ def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def manifest(digests: list[bytes], sizes: list[int]) -> bytes:
-    return "".join(f"{d.hex()} {n}\n" for d, n in zip(digests, sizes, strict=True)).encode()
+def manifest(parts: list[tuple[bytes, bytes]]) -> bytes:
+    """The ordered list of (digest, size) of chunks."""
+    return b"".join(PLACE.pack(d, len(p)) for d, p in parts)
 
 
 def train_dictionary(rows: DataFrame) -> bytes:
-    """A zstandard dictionary from about ``SAMPLE`` texts chosen by hash; empty if they are too few."""
-    share = int(min(1.0, SAMPLE / max(rows.count(), 1)) * 1_000_000)
-    chosen = rows.filter((F.pmod(F.xxhash64("tag"), F.lit(1_000_000)) <= share) & (F.octet_length("text") > 8))
-    texts = sorted({payload(r["text"]) for r in chosen.select("text").collect()})
+    """A zstandard dictionary from at most ``SAMPLE`` different texts of at most ``SAMPLE_BYTES`` bytes, those with
+    the least ids of about four times as many chosen by hash; empty if they are too few."""
+    share = int(min(1.0, 4 * SAMPLE / max(rows.count(), 1)) * 1_000_000)
+    fit = F.octet_length("text").between(9, SAMPLE_BYTES) & (F.pmod(F.xxhash64("payload"), F.lit(1_000_000)) <= share)
+    chosen = rows.filter(fit).dropDuplicates(["payload"]).orderBy("payload").limit(SAMPLE).select("text").collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY, texts, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY, [payload(r["text"]) for r in chosen], level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
@@ -116,85 +125,76 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"), F.col(text).alias("text"))
+OWNER = pa.struct([("payload", pa.binary()), ("no", pa.int32())])
+RECIPE = pa.schema([
+    ("payload", pa.binary()), ("manifest", pa.binary()), ("refs", pa.list_(pa.struct([("no", pa.int32()), ("owner", OWNER)]))), ("data", pa.binary()),
+    ("shared", pa.list_(pa.struct([("no", pa.int32()), ("data", pa.binary())]))), ("copies", pa.int64()),
+])
+RECIPE_DDL = (
+    "payload binary, manifest binary, refs array<struct<no:int,owner:struct<payload:binary,no:int>>>, data binary,"
+    " shared array<struct<no:int,data:binary>>, copies long"
+)
+
 
+def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks' digests of each text, in order."""
+    for batch in it:
+        found = [[d for d, _ in chunks(payload(x))] for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("payload"), pa.array(found, pa.list_(pa.binary()))], ["payload", "digests"])
 
-def _row() -> Column:
-    """The key of a stored row; equal structs meet in a join even where a field is null."""
-    return F.struct("key", "tag").alias("_row")
+
+def _pack(dictionary: bytes):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comp = _compressor(dictionary)
+        for batch in it:
+            frames = [comp.compress(payload(x)) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("payload"), pa.array(frames, pa.binary())], ["payload", "frame"])
+
+    return run
 
 
 def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
     """Store payloads of a text column below ``path``."""
-    rows = _keyed(docs, key, text)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), F.unhex(F.sha2(whole, 256)).alias("payload"), whole.alias("text"))
     dictionary = train_dictionary(rows)
     docs.sparkSession.createDataFrame([(dictionary,)], "data binary").write.parquet(f"{path}/dictionary")
-    key_type = rows.schema["key"].dataType.simpleString()
-
-    def digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            keys, tags, no, found = [], [], [], []
-            for k, t, x in zip(*(batch.column(c).to_pylist() for c in ("key", "tag", "text")), strict=True):
-                for i, (d, _) in enumerate(chunks(payload(x))):
-                    keys.append(k), tags.append(t), no.append(i), found.append(d)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(keys, batch.column("key").type), pa.array(tags, pa.int64()), pa.array(no, pa.int32()), pa.array(found, pa.binary()),
-            ], ["key", "tag", "no", "digest"])
-
-    # the owner of each digest that occurs more than once; a struct's minimum is merged within tasks first
-    each = rows.mapInArrow(digests, f"key {key_type}, tag long, no int, digest binary")
-    place = F.struct("key", "tag", "no")
-    owned = each.groupBy("digest").agg(F.min(place).alias("owner"), F.max(place).alias("_last")).filter("owner != _last")
-    owned = owned.select("digest", "owner")
-    moved = each.join(owned, "digest").select(
-        _row(), F.struct("no", F.when(place != F.col("owner"), F.col("owner")).alias("owner")).alias("_c")
-    )
-    per_row = moved.groupBy("_row").agg(F.collect_set("_c").alias("_moved"))
-
-    schema = (
-        f"key {key_type}, tag long, chunks array<struct<digest:binary,size:int,owner:struct<key:{key_type},tag:bigint,no:int>>>,"
-        " data binary, shared array<struct<no:int,data:binary>>"
-    )
-    packed = rows.mapInArrow(_pack(rows.schema["key"].dataType, dictionary), f"key {key_type}, tag long, frame binary")
-    packed = packed.select(_row(), "frame").dropDuplicates(["_row"])  # one exchange serves this and the join
-    both = packed.join(per_row, "_row", "left").select("_row.key", "_row.tag", "frame", "_moved")
+    rows.select("key", "payload", F.octet_length("text").cast("long").alias("n_bytes")).write.parquet(f"{path}/rows")
+
+    # 16 bytes for each chunk of each payload; copies are reduced within tasks first
+    listed = rows.select("payload", "text").mapInArrow(_digests, "payload binary, digests array<binary>").dropDuplicates(["payload"])
+    each = materialise(listed.select("payload", F.posexplode("digests").alias("no", "digest")), "chunks")
+    place = F.struct("payload", "no")
+    owned = each.groupBy("digest").agg(F.min(place).alias("owner"), F.count("*").alias("_n")).filter("_n > 1")
+    limit = max(each.count() // HOT_SHARE, 1)
+    moved = join_hot(each, owned, ["digest"], F.col("_n") > limit)
+    moved = moved.select("payload", F.struct("no", F.when(place != F.col("owner"), F.col("owner")).alias("owner")).alias("_c"))
+    per = moved.groupBy("payload").agg(F.collect_list("_c").alias("_moved"))
+
+    packed = rows.select("payload", "text").mapInArrow(_pack(dictionary), "payload binary, frame binary")
+    once = packed.groupBy("payload").agg(F.first("frame").alias("frame"), F.count("*").alias("copies"))
+    both = once.join(per, "payload", "left").select("payload", "frame", "copies", "_moved")
 
     def store(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comp, dec = _compressor(dictionary), _decompressor(dictionary)
+        comp, dec, out, size = _compressor(dictionary), _decompressor(dictionary), [], 0
         for batch in it:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 where = {m["no"]: m["owner"] for m in row["_moved"] or []}
                 parts = chunks(dec.decompress(row["frame"]))
                 own = b"".join(p for i, (_, p) in enumerate(parts) if i not in where)
-                yield pa.RecordBatch.from_pylist([{
-                    "key": row["key"], "tag": row["tag"],
-                    "chunks": [{"digest": d, "size": len(p), "owner": where.get(i)} for i, (d, p) in enumerate(parts)],
-                    "data": comp.compress(own) if where else row["frame"],
+                out.append({
+                    "payload": row["payload"], "manifest": manifest(parts), "refs": [{"no": i, "owner": o} for i, o in sorted(where.items()) if o],
+                    "data": comp.compress(own) if where else row["frame"], "copies": row["copies"],
                     "shared": [{"no": i, "data": comp.compress(parts[i][1])} for i in sorted(where) if where[i] is None],
-                }], schema=arrow)
+                })
+                size += len(row["frame"])
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_pylist(out, schema=RECIPE)
+                    out, size = [], 0
+        yield pa.RecordBatch.from_pylist(out, schema=RECIPE)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    both.mapInArrow(store, schema).write.option("compression", "uncompressed").parquet(f"{path}/recipes")
-
-
-def _pack(key_type, dictionary: bytes):
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(key_type)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comp = _compressor(dictionary)
-        for batch in it:
-            frames = [comp.compress(payload(x)) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").cast(kind), batch.column("tag"), pa.array(frames, pa.binary())], ["key", "tag", "frame"]
-            )
-
-    return run
+    both.mapInArrow(store, RECIPE_DDL).write.option("compression", "uncompressed").parquet(f"{path}/recipes")
 
 
 def read_dictionary(spark: SparkSession, path: str) -> bytes:
@@ -202,71 +202,66 @@ def read_dictionary(spark: SparkSession, path: str) -> bytes:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Stored rows with ``_fetched``: their chunks that other rows own, by place."""
-    rows = spark.read.parquet(f"{path}/recipes")
-    wanted = rows.select(F.col("key").alias("_k"), F.col("tag").alias("_t"), F.posexplode("chunks").alias("_at", "_c"))
-    wanted = wanted.filter("_c.owner IS NOT NULL").select("_k", "_t", "_at", "_c.owner")
-    shared = rows.select("key", "tag", F.inline("shared")).select(F.struct("key", "tag", "no").alias("owner"), "data")
-    got = wanted.join(shared, "owner").select(F.struct(F.col("_k").alias("key"), F.col("_t").alias("tag")).alias("_row"), "_at", "data")
-    per = got.groupBy("_row").agg(F.collect_list(F.struct("_at", "data")).alias("_fetched"))
-    far = F.exists("chunks", lambda c: c["owner"].isNotNull())
-    kept = rows.select(_row(), "key", "tag", "chunks", "data", "shared")
-    whole = kept.filter(~far).select("*", F.lit(None).cast(per.schema["_fetched"].dataType).alias("_fetched"))
-    return whole.unionByName(kept.filter(far).join(per, "_row")).drop("_row")
+    """Recipes with ``_fetched``: their chunks that other payloads own, by place."""
+    recipes = spark.read.schema(RECIPE_DDL).parquet(f"{path}/recipes")
+    wanted = recipes.select("payload", F.inline("refs").alias("_at", "owner"))
+    uses = wanted.groupBy("owner").agg(F.count("*").alias("_n"))
+    limit = max((uses.agg(F.sum("_n")).first()[0] or 0) // HOT_SHARE, 1)
+    shared = recipes.select(F.col("payload").alias("_p"), F.inline("shared").alias("no", "data"))
+    shared = shared.select(F.struct(F.col("_p").alias("payload"), "no").alias("owner"), "data").join(uses, "owner")
+    got = join_hot(wanted, shared, ["owner"], F.col("_n") > limit)
+    per = got.groupBy("payload").agg(F.collect_list(F.struct("_at", "data")).alias("_fetched"))
+    far = F.size("refs") > 0
+    alone = recipes.filter(~far).select("*", F.lit(None).cast(per.schema["_fetched"].dataType).alias("_fetched"))
+    return alone.unionByName(recipes.filter(far).join(per, "payload").select(*alone.columns))
 
 
 def rebuild(row: dict, dec: zstandard.ZstdDecompressor) -> bytes:
     """The payload of a row of ``read``, every chunk verified."""
     own, at, parts = dec.decompress(row["data"]), 0, []
     apart = {f["_at"]: f["data"] for f in row["_fetched"] or []} | {s["no"]: s["data"] for s in row["shared"]}
-    for i, c in enumerate(row["chunks"]):
+    for i, (digest_, size) in enumerate(PLACE.iter_unpack(row["manifest"])):
         if i in apart:
             part = dec.decompress(apart[i])
         else:
-            part = own[at : at + c["size"]]
-            at += c["size"]
-        if hashlib.blake2b(part, digest_size=16).digest() != c["digest"]:
-            raise ValueError(f"chunk {i} of {row['key']} is damaged")
+            part = own[at : at + size]
+            at += size
+        if hashlib.blake2b(part, digest_size=16).digest() != digest_:
+            raise ValueError(f"chunk {i} of payload {row['payload'].hex()} is damaged")
         parts.append(part)
     return b"".join(parts)
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """The registered query's columns, from payloads read back from the store."""
-    spark = docs.sparkSession
-    stored, dictionary = read(spark, path), read_dictionary(spark, path)
-    key_type = stored.schema["key"].dataType.simpleString()
-    out = (
-        f"_k {key_type}, _t long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
-        " media_sha256 string, mean double, std double, zero double"
-    )
+def features(data: bytes) -> str:
+    """Mean and deviation of the samples and the share of zeros."""
+    x = np.frombuffer(data, np.uint8)
+    return f"mean={x.mean():.4f};std={x.std():.4f};zero={(x == 0).mean():.4f}"
+
+
+BACK = (
+    "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, copies long"
+)
+
+
+def digest(spark: SparkSession, path: str) -> DataFrame:
+    """The registered query's columns for each stored row, from payloads read back from the store, each once."""
+    dictionary = read_dictionary(spark, path)
+    kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    names = [f.split()[0] for f in BACK.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = _decompressor(dictionary)
         for batch in it:
-            cols: list[list] = [[] for _ in range(10)]
+            out = []
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                data = rebuild(row, dec)
-                form = manifest([c["digest"] for c in row["chunks"]], [c["size"] for c in row["chunks"]])
-                x = np.frombuffer(data, np.uint8)
-                for col, v in zip(cols, (
-                    row["key"], row["tag"], len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(form),
-                    hashlib.sha256(form).hexdigest(), float(x.mean()), float(x.std()), float((x == 0).mean()),
-                ), strict=True):
-                    col.append(v)
-            names = [f.split()[0] for f in out.split(", ")]
-            kinds = [batch.column("key").type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [n.strip() for n in names])
-
-    back = stored.mapInArrow(run, out)
-    keys = docs.select(
-        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tag"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
-    )
-    text = F.concat_ws(
-        ";", F.concat(F.lit("mean="), F.round("mean", 4)), F.concat(F.lit("std="), F.round("std", 4)),
-        F.concat(F.lit("zero="), F.round("zero", 4)),
-    )
-    return keys.join(back, same_keys(["doc_id", "_tag"], ["_k", "_t"]), "left").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", text.alias("feature")
-    )
+                data, form = rebuild(row, dec), row["manifest"]
+                sha = hashlib.sha256(data).hexdigest()
+                out.append((row["payload"], len(data), sha, zlib.crc32(data[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), features(data), row["copies"]))
+            cols = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    rows = spark.read.parquet(f"{path}/rows")
+    back = materialise(read(spark, path).mapInArrow(run, BACK), "payloads")
+    limit = max(rows.count() // HOT_SHARE, 1)
+    return join_hot(rows, back, ["payload"], F.col("copies") > limit).select(F.col("key").alias("doc_id"), "n_bytes", *names[1:-1])

@@ -1,12 +1,15 @@
 """Quality by a linear-chain conditional random field over the lines of a text.
 
 Each line gets features of its bytes and words and those of its neighbours; the field labels every
-line good or bad. Lines of a labelled document carry its label in training. The marginals of the
-forward-backward pass, weighted by line length, aggregate into a document share, which a logistic
+line good or bad. Only documents have labels, so those of lines are found by hard expectation-maximisation:
+at first a line carries its document's label, then the one that the field gives it, but for the lines
+that lean most towards their document's label, which keep it up to half of its length. The marginals of
+the forward-backward pass, weighted by line length, aggregate into a document share, which a logistic
 curve fitted on the same sample turns into the score.
 
-Cases: null and empty texts have no lines and score 0; repeated rows each get a result row; with
-labels of one class only the score is their share; other columns are ignored.
+Cases: null and empty texts have one line without bytes and score 0; repeated rows each get a result
+row; with labels of one class only the score is their share, without labels 0.5; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.labelled import remainder, sample
 
-#: Labelled documents, in expectation, that training gathers.
+#: Labelled documents, at most, that training gathers.
 SAMPLE = 4_000
+#: Steps of each round of training; lines are labelled anew before all but the first.
+STEPS = (150, 60, 60)
 #: Fixed classes of bytes whose shares are features.
 CLASSES = [
     b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?'\"-()", b"!", b"|",
@@ -184,29 +189,46 @@ def _logit(s: np.ndarray) -> np.ndarray:
     return np.log(s / (1 - s))
 
 
-def fit(texts: list[str], y: np.ndarray, steps: int = 150) -> Model:
-    """Maximum conditional likelihood by Adam over whole texts, then the logistic curve."""
+def line_labels(p: np.ndarray, size: np.ndarray, begin: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A label for each line: that which its marginal leans to, but the lines that lean most towards their
+    document's label carry it until they make up half of the document's bytes."""
+    n = len(p)
+    text_of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
+    want = y[text_of].astype(int)
+    order = np.lexsort((-np.where(want == 1, p, 1 - p), text_of))
+    before = np.concatenate(([0], np.cumsum(size[order])[:-1]))
+    before -= before[begin][text_of]
+    must = np.zeros(n, bool)
+    must[order] = 2 * before < np.maximum(np.add.reduceat(size, begin), 1)[text_of]
+    return np.where(must, want, (p >= 0.5).astype(int))
+
+
+def fit(texts: list[str], y: np.ndarray, steps: tuple = STEPS) -> Model:
+    """Maximum conditional likelihood of the line labels by Adam over whole texts, then the logistic curve."""
     mean = float(y.mean()) if len(y) else 0.5
     if len(y) == 0 or mean in (0.0, 1.0):
         return Model(np.zeros(1), np.zeros((2, 2)), 0.0, 0.0, mean)
     x, size, begin = batched_features(texts)
     x = with_neighbours(x, begin)
     n = len(x)
-    text_of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
-    t = y[text_of].astype(float)
     inner = np.ones(n, bool)
     inner[begin] = False
-    seen = np.array([[(inner & (t == 0)).sum(), 0], [0, (inner & (t == 1)).sum()]], float)
+    inner = np.flatnonzero(inner)
+    t = np.repeat(y, np.diff(np.append(begin, n))).astype(int)
     w, moves = np.zeros(x.shape[1]), np.zeros((2, 2))
-    mom = [np.zeros_like(w), np.zeros_like(moves)]
-    var = [np.zeros_like(w), np.zeros_like(moves)]
     per = 1 / len(begin)
-    for k in range(1, steps + 1):
-        p, both = marginals(x @ w, begin, moves, True)
-        grads = [x.T @ (p - t) * per + 1e-3 * w, (both - seen) * per + 3e-2 * moves]
-        for q, (par, g) in enumerate(zip((w, moves), grads, strict=True)):
-            mom[q], var[q] = 0.9 * mom[q] + 0.1 * g, 0.99 * var[q] + 0.01 * g * g
-            par -= 0.15 * (mom[q] / (1 - 0.9**k)) / (np.sqrt(var[q] / (1 - 0.99**k)) + 1e-8)
+    for k_round, n_steps in enumerate(steps):
+        if k_round:
+            t = line_labels(marginals(x @ w, begin, moves), size, begin, y)
+        seen = np.bincount(2 * t[inner - 1] + t[inner], minlength=4).reshape(2, 2).astype(float)
+        mom = [np.zeros_like(w), np.zeros_like(moves)]
+        var = [np.zeros_like(w), np.zeros_like(moves)]
+        for k in range(1, n_steps + 1):
+            p, both = marginals(x @ w, begin, moves, True)
+            grads = [x.T @ (p - t) * per + 1e-3 * w, (both - seen) * per + 3e-2 * moves]
+            for q, (par, g) in enumerate(zip((w, moves), grads, strict=True)):
+                mom[q], var[q] = 0.9 * mom[q] + 0.1 * g, 0.99 * var[q] + 0.01 * g * g
+                par -= 0.15 * (mom[q] / (1 - 0.9**k)) / (np.sqrt(var[q] / (1 - 0.99**k)) + 1e-8)
     z = _logit(share(marginals(x @ w, begin, moves), size, begin))
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps with a weak prior
@@ -230,12 +252,12 @@ def predict(m: Model, texts: list[str]) -> np.ndarray:
     return np.where(np.add.reduceat(size, begin) > 0, p, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, expected: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, rows: int = SAMPLE) -> Model:
     """Fit on labelled rows outside the held-out fold."""
     out = remainder(F.col("doc_id"), folds) == held
-    rows = sample(docs.select("doc_id", "text"), labels, "quality", out, expected).toArrow().combine_chunks()
-    rows = rows.sort_by("doc_id")
-    return fit(rows.column("text").to_pylist(), np.array(rows.column("_y").to_pylist(), dtype=float))
+    got = sample(docs.select("doc_id", "text"), labels, "quality", out, rows).toArrow().combine_chunks()
+    got = got.sort_by("doc_id")
+    return fit(got.column("text").to_pylist(), np.array(got.column("_y").to_pylist(), dtype=float))
 
 
 def _scores(m: Model, texts: list) -> np.ndarray:
@@ -266,6 +288,30 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
     return rows.mapInArrow(run, rows.select("doc_id", F.lit(0.0).alias("score")).schema)
 
 
+def label_lines(docs: DataFrame, m: Model) -> DataFrame:
+    """doc_id, line (from 0), n_bytes, good (the line's marginal) and label of every line of every row."""
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts = batch.column("text").to_pylist()
+            for a, b in _slices(texts):
+                x, size, begin = line_features(texts[a:b])
+                n = np.diff(np.append(begin, len(x)))
+                whose = np.repeat(np.arange(a, b), n)
+                if m.constant is None:
+                    p = marginals(with_neighbours(x, begin) @ m.weights, begin, m.moves)
+                else:
+                    p = np.full(len(x), m.constant)
+                no = np.arange(len(x)) - np.repeat(begin, n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(whose)), pa.array(no), pa.array(size), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
+                    ["doc_id", "line", "n_bytes", "good", "label"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, line long, n_bytes long, good double, label int")
+
+
 def digest(docs: DataFrame, m: Model, folds: int = 4, held: int = 2) -> DataFrame:
     """The registered query's columns."""
     return score(docs, m).select(

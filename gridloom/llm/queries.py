@@ -58,9 +58,9 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = table(spark, sf_dir, "documents"), scratch(spark, "media")
-    media.write(docs, path)
-    return media.digest(docs, path)
+    path = scratch(spark, "media")
+    media.write(table(spark, sf_dir, "documents"), path)
+    return media.digest(spark, path)
 
 
 QUERIES = {

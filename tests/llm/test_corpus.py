@@ -72,7 +72,7 @@ def test_empty_tables(spark, tmp_path):
     assert token_store.read_digests(spark, str(tmp_path / "e")).count() == 0
     assert tree_bpe.digest(none, PATH).count() == 0
     media.write(none, str(tmp_path / "m"))
-    assert media.digest(none, str(tmp_path / "m")).count() == 0
+    assert media.digest(spark, str(tmp_path / "m")).count() == 0
     assert ngram_join.near_copies(none).count() == 0
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(none, bench).count() == 0
@@ -381,6 +381,30 @@ def test_toxicity_learns_and_scores_edges(spark):
     assert all(got[i]["held_out"] == (i in set(held)) for i in texts)
     assert np.mean([got[i]["predicted"] == y for i, y in labels if i in set(held)]) > 0.95
     assert got[900]["score"] == got[901]["score"] and all(0 <= r["score"] <= 1 for r in got.values())
+    # a plain forward pass, position by position
+    rows = {r["doc_id"]: r for r in toxicity.ids(docs(spark, texts), "doc_id").filter("doc_id < 20").collect()}
+    for i, r in rows.items():
+        vec = [m.emb[a] + m.emb[b] for a, b in zip(r["_word"], r["_prefix"])] + [m.emb[toxicity.PAD]] * 3
+        z, col = m.out_bias, 0
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(m.filters):
+                at = [sum(vec[t + o] @ m.conv[:, col + o * m.filters + f] for o in range(width) if t + o < len(vec)) for t in range(len(vec))]
+                z += max(max(at) + m.bias[k * m.filters + f], 0) * m.out[k * m.filters + f]
+            col += width * m.filters
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_toxicity_edges(spark):
+    lab = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, toxic int")
+    plain = spark.createDataFrame([(i, "some text %d" % i, 1, 2) for i in range(50)], "doc_id long, text string, _y int, _id int")
+    m = toxicity.train(plain, lab)  # one class, no lang, clashing names
+    got = toxicity.digest(plain, m).collect()
+    assert len(got) == 50 and len({r["score"] for r in got}) == 1 and got[0]["score"] > 0.9 and m.thresholds == {}
+    none = toxicity.train(plain.limit(0), lab.limit(0))
+    assert toxicity.digest(plain.limit(0), none).isEmpty() and toxicity.digest(plain, none).first()["score"] == pytest.approx(0.5)
+    assert toxicity.calibrate(np.array([0.9, 0.9, 0.2, 0.1]), np.array([1, 1, 0, 0]), ["en"] * 4)["en"] == pytest.approx(0.55)
+    ties = toxicity.calibrate(np.array([0.7, 0.7, 0.7, 0.1]), np.array([1, 0, 1, 0]), ["en", "en", "en", "en"])["en"]
+    assert ties == pytest.approx(0.4)  # equal scores fall on one side
 
 
 def test_line_features_and_marginals():
@@ -405,7 +429,7 @@ def test_line_features_and_marginals():
     np.testing.assert_allclose(pairs, both)
 
 
-def test_quality_learns_and_scores_edges(spark):
+def quality_rows():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     texts, labels = {}, []
@@ -416,16 +440,45 @@ def test_quality_learns_and_scores_edges(spark):
             lines = ["The start is fine."] + [" | ".join(x.split(" ")) for x in lines]
         texts[i] = "\n".join(lines)
         labels.append((i, int(not bad)))
-    m = quality.train(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int"))
-    got = {r["doc_id"]: r for r in quality.digest(listed(spark, [*texts.items(), (900, None), (901, ""), (902, "x " * 50_000)]), m).collect()}
+    return texts, labels
+
+
+def test_quality_learns_and_scores_edges(spark):
+    texts, labels = quality_rows()
+    m = quality.train(docs(spark, texts).withColumn("_y", F.lit(1)), spark.createDataFrame(labels, "doc_id long, quality int"))
+    rows = [*texts.items(), (900, None), (901, ""), (902, "x " * 50_000), (None, texts[0]), (0, texts[0]), (0, texts[0])]
+    all_rows = quality.digest(listed(spark, rows), m).collect()
+    assert len(all_rows) == len(rows) and len({r["score"] for r in all_rows if r["doc_id"] in (0, None)}) == 1
+    got = {r["doc_id"]: r for r in all_rows}
     held = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2}
     assert all(got[i]["held_out"] == (i in held) for i in texts)
     assert np.mean([got[i]["predicted"] == y for i, y in labels if i in held]) > 0.95
     assert got[900]["score"] == got[901]["score"] == 0 and 0 <= got[902]["score"] <= 1
+    assert quality.digest(docs(spark, []), m).isEmpty()
     none = quality.train(docs(spark, texts), spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.score(docs(spark, {1: "x"}), none).first()["score"] == 0.5
 
 
+def test_lines_are_labelled_apart(spark):
+    texts, labels = quality_rows()
+    m = quality.fit([texts[i] for i, _ in labels], np.array([y for _, y in labels], float))
+    assert m.moves[0, 1] != 0 and m.moves[1, 0] != 0
+    mixed = {1: texts[0] + "\n" + texts[1], 2: None, 3: "", 4: texts[1]}
+    got = sorted(tuple(r) for r in quality.label_lines(docs(spark, mixed), m).collect())
+    assert [r[:2] for r in got] == [(i, n) for i, t in mixed.items() for n in range((t or "").count("\n") + 1)]
+    # the same by trying every labelling of the lines of a text
+    x, size, begin = quality.line_features([mixed[4]])
+    u = quality.with_neighbours(x, begin) @ m.weights
+    n = len(u)
+    paths = np.array([[(k >> j) & 1 for j in range(n)] for k in range(2**n)])
+    w = np.exp((paths * u).sum(1) + np.array([sum(m.moves[p[j], p[j + 1]] for j in range(n - 1)) for p in paths]))
+    p = (w / w.sum()) @ paths
+    np.testing.assert_allclose([r[3] for r in got if r[0] == 4], p, atol=1e-9)
+    share = (p * size).sum() / size.sum()
+    want = 1 / (1 + np.exp(-(m.slope * np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4))) + m.shift)))
+    assert quality.score(docs(spark, mixed), m).filter("doc_id = 4").first()["score"] == pytest.approx(want)
+
+
 # -- 9 -----------------------------------------------------------------------------------------------
 
 
@@ -479,25 +532,50 @@ def test_gear_hash_equals_the_recurrence():
     assert media.gear_hash(data).tolist() == want
 
 
-def test_media(spark, tmp_path):
+def brute_media(t):
+    """Payload, chunk list and features by the plain definitions."""
+    raw = (t or "").encode()
+    p = raw + bytes((-len(raw)) % 64 if raw else 64)
+    h, cuts, last = 0, [], 0
+    for i, b in enumerate(p):
+        h = (2 * h + int(media.GEARS[b])) % 2**32
+        size = i + 1 - last
+        if len(p) - last > media.MIN_CHUNK and (size >= media.MIN_CHUNK and h >> (32 - media.MEAN_BITS) == 0 or size == media.MAX_CHUNK):
+            cuts.append(i + 1)
+            last = i + 1
+    cuts += [len(p)] if last < len(p) else []
+    form = b"".join(hashlib.blake2b(p[a:b], digest_size=16).digest() + (b - a).to_bytes(4, "little") for a, b in zip([0, *cuts], cuts))
+    mean = sum(p) / len(p)
+    std = (sum((b - mean) ** 2 for b in p) / len(p)) ** 0.5
+    feature = f"mean={mean:.4f};std={std:.4f};zero={p.count(0) / len(p):.4f}"
+    return (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(form), hashlib.sha256(form).hexdigest(), feature)
+
+
+@pytest.mark.parametrize("share", [1_024, 4])
+def test_media(spark, tmp_path, monkeypatch, share):
+    monkeypatch.setattr(media, "HOT_SHARE", share)
     rng = random.Random(4)
     body = "".join(rng.choice("abcdefgh \n") for _ in range(60_000))
-    pairs = [*enumerate(EDGES), (20, body), (21, body), (22, "front " + body), (22, "other text of the same id"), (20, body), (None, body), (None, None)]
-    df = listed(spark, pairs)
+    pairs = [*enumerate(EDGES), (20, body), (21, body), (22, "front " + body), (22, "other text of the same id"), (20, body), (None, body), (None, None), (23, body[:30_000] + "x" + body[30_000:])]
+    df = listed(spark, pairs).withColumn("payload", F.lit(1)).withColumn("hot", F.lit(1))
     media.write(df, str(tmp_path / "s"))
-    got = media.digest(df, str(tmp_path / "s")).collect()
-    assert len(got) == len(pairs)
+    got = media.digest(spark, str(tmp_path / "s")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, *brute_media(t)) for i, t in pairs), key=str)
+    rows = spark.read.parquet(str(tmp_path / "s/recipes"))
+    assert rows.count() == len({t or "" for _, t in pairs})
+    moved = rows.agg(F.sum(F.size("refs")), F.sum(F.length("manifest") / 20)).first()
+    assert moved[0] > 0.4 * moved[1]  # most chunks of the near copies are stored once
 
-    def want(t):
-        raw = (t or "").encode()
-        p = media.payload(t)
-        return (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
 
-    assert sorted(((r["doc_id"], *tuple(r)[1:5]) for r in got), key=str) == sorted(((i, *want(t)) for i, t in pairs), key=str)
-    assert len({tuple(r)[5:] for r in got if r["n_bytes"] == len(body)}) == 1
-    rows = spark.read.parquet(str(tmp_path / "s/recipes"))
-    moved = rows.select(F.inline("chunks")).agg(F.count_if(F.col("owner").isNotNull()), F.count("*")).first()
-    assert moved[0] > 0.5 * moved[1]  # most chunks of the copies are stored once
+def test_damaged_chunk_raises(spark, tmp_path):
+    import zstandard
+
+    data = bytes(random.Random(1).randrange(256) for _ in range(5000))
+    row = {"payload": b"p", "manifest": media.manifest(media.chunks(data)), "data": zstandard.compress(data), "shared": [], "_fetched": None}
+    assert media.rebuild(row, zstandard.ZstdDecompressor()) == data
+    row["data"] = zstandard.compress(data[:2500] + b"?" + data[2501:])
+    with pytest.raises(ValueError, match="damaged"):
+        media.rebuild(row, zstandard.ZstdDecompressor())
 
 
 def test_pipeline_stages_keep_columns(spark):
