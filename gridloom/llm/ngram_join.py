@@ -6,8 +6,8 @@ meet in a bucket, and each pair of a bucket is verified on its full sets.
 
 What keeps groups of copies from blowing up: equal word sequences are one vertex with a weight;
 buckets with the same members are one bucket; large buckets are cut into blocks and each pair of
-blocks is one unit of work in which pairs are counted, not emitted; a pair that meets in several
-buckets counts in the one with the smallest key. A unit gives each text its number of links and one
+blocks is one unit of work, to which the texts' hashed n-gram sets are sent and in which pairs are
+counted, not emitted; a pair that meets in several buckets counts in the one with the smallest key. A unit gives each text its number of links and one
 edge to a root, so rows grow with the texts, and the components of these edges are the classes.
 
 Cases: texts of fewer than five words are one run; texts without words, null and empty ones included,
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NOT_WORD, materialise, raw_words, word_hashes
+from gridloom.llm.common import fresh, join_hot, materialise, raw_words, word_hashes
 from gridloom.llm.components import components
 
 N, THRESHOLD, ROWS, RECALL = 5, 0.8, 4, 0.9995
-#: Texts in a block of a bucket.
-BLOCK = 512
+#: Texts in a block of a bucket. A bucket of n texts sends n * n / BLOCK sets; a unit holds 2 * BLOCK at most.
+BLOCK = 256
+#: A class or text with more than one in so many rows is hot; there are at most that many, so they are broadcast.
+HOT_SHARE = 1_024
 #: Members from which a unit is verified by matrix products.
 MANY = 24
-SPLIT = re.compile(NOT_WORD)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -102,11 +102,27 @@ def signatures(docs: DataFrame, threshold: float, rows: int, recall: float, n: i
     return hashed.mapInArrow(run, hashed.select("doc_id", "_tag", F.lit(None).cast("binary").alias("v"), F.lit(None).cast("array<long>").alias("keys")).schema)
 
 
-def _lower(text: str) -> str:
-    return text.translate(ASCII_LOWER)
+def gram_sets(texts: DataFrame) -> DataFrame:
+    """``grams`` (sorted different hashes of the runs of words) instead of ``text``."""
+    keep = [c for c in texts.columns if c != "text"]
+    words = texts.select(*keep, F.col("text").alias("_x"), raw_words(F.col("text")).alias("_w"))
+    hashed = words.select(*keep, F.coalesce(word_hashes(F.col("_x"), F.col("_w")), F.array().cast("array<long>")).alias("_h"))
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets = [np.unique(runs(w)) for w in _arrays(batch.column("_h"))]
+            off = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], [*keep, "grams"]
+            )
 
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+    return hashed.mapInArrow(run, hashed.select(*keep, F.col("_h").alias("grams")).schema)
+
+
+def _arrays(col: pa.ListArray) -> list[np.ndarray]:
+    flat, off = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64), col.offsets.to_numpy()
+    return [flat[a - off[0] : b - off[0]] for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
 class Unit:
@@ -120,13 +136,12 @@ class Unit:
         self.earlier: list[frozenset] = []
         self.sets: list[np.ndarray] = []
 
-    def add(self, v: bytes, size: int, block: int, keys: list[int], text: str, words: dict) -> None:
+    def add(self, v: bytes, size: int, block: int, keys: list[int], grams: np.ndarray) -> None:
         self.v.append(v)
         self.size.append(size)
         self.block.append(block)
         self.earlier.append(frozenset(k for k in keys if k < self.key))
-        ids = [words.setdefault(w, len(words) + 1) for w in SPLIT.split(_lower(text)) if w]
-        self.sets.append(np.unique(runs(_shuffled(np.array(ids, np.uint64) * MIX[0]))))
+        self.sets.append(grams)
 
     def wanted(self) -> np.ndarray:
         """Pairs to verify here: across the two blocks, or within one; not met in an earlier bucket."""
@@ -194,18 +209,18 @@ class Unit:
 
 
 def verified(units: DataFrame, threshold: float) -> DataFrame:
-    """v, links, root from rows (key, low, high, block, v, size, keys, text) sorted by unit."""
+    """v, links, root from rows (key, low, high, block, v, size, keys, grams) sorted by unit."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, words, out = None, {}, []
+        unit, out = None, []
         for batch in it:
-            cols = [batch.column(c).to_pylist() for c in ("key", "low", "high", "block", "v", "size", "keys", "text")]
-            for key, low, high, block, v, size, keys, text in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("key", "low", "high", "block", "v", "size", "keys")]
+            for key, low, high, block, v, size, keys, grams in zip(*cols, _arrays(batch.column("grams")), strict=True):
                 if unit is None or (unit.key, unit.low, unit.high) != (key, low, high):
                     if unit:
                         out += unit.links(threshold)
-                    unit, words = Unit(key, low, high), {}
-                unit.add(v, size, block, keys, text or "", words)
+                    unit = Unit(key, low, high)
+                unit.add(v, size, block, keys, grams)
             if len(out) > 10_000:
                 yield _batch(out)
                 out = []
@@ -222,7 +237,7 @@ def _batch(rows: list) -> pa.RecordBatch:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, _tag, v) and texts (v, copy_id, class_id, n_links, _keep); ``_keep`` is the least
+    """Rows (doc_id, _tag, v) and texts (v, copy_id, class_id, n_links, _keep, size); ``_keep`` is the least
     (doc_id, _tag) of the class, which also tells texts of one id apart."""
     sig = materialise(signatures(docs, threshold, rows, recall), "signatures")
     held = sig.filter("v IS NOT NULL AND doc_id IS NOT NULL")
@@ -238,26 +253,35 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, rec
     once = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_tag"), "text").dropDuplicates(["doc_id", "_tag"])
     text = once.join(need, ["doc_id", "_tag"])
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    cut = text.select("v", "size", "text", F.transform("_b", lambda b: b["key"]).alias("keys"), F.inline("_b").alias("key", "_n"))
+    cut = gram_sets(text).select("v", "size", "grams", F.transform("_b", lambda b: b["key"]).alias("keys"), F.inline("_b").alias("key", "_n"))
     cut = cut.select("*", F.pmod(h, blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
-    units = cut.select("key", F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"), "block", "v", "size", "keys", "text")
+    units = cut.select("key", F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"), "block", "v", "size", "keys", "grams")
     dealt = units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     found = materialise(verified(dealt, threshold), "links")
 
     roots = components(found.select(F.col("v").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("v").agg(F.sum("links").alias("_l"))
     known = reps.select("v", "rep", "size").join(links, "v", "left").join(roots, "v", "left")
-    known = known.select("v", "rep", (F.coalesce("_l", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "v").alias("root"))
-    least = known.groupBy("root").agg(F.min("rep").alias("_keep"))
-    by_text = known.join(least, "root").select("v", F.col("rep.doc_id").alias("copy_id"), F.col("_keep.doc_id").alias("class_id"), "n_links", "_keep")
-    return sig.select("doc_id", "_tag", "v"), by_text
+    known = known.select("v", "rep", "size", (F.coalesce("_l", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "v").alias("root"))
+    known = materialise(known, "known")
+    least = known.groupBy("root").agg(F.min("rep").alias("_keep"), F.count("*").alias("_n"))
+    limit = max(known.count() // HOT_SHARE, 1)
+    by_text = join_hot(known, least, ["root"], F.col("_n") > limit)
+    by_text = by_text.select("v", F.col("rep.doc_id").alias("copy_id"), F.col("_keep.doc_id").alias("class_id"), "n_links", "_keep", "size")
+    return sig.select("doc_id", "_tag", "v"), materialise(by_text, "classes")
+
+
+def _of_text(rows: DataFrame, by_text: DataFrame) -> DataFrame:
+    """Rows with the columns of their text."""
+    limit = max((by_text.agg(F.sum("size")).first()[0] or 0) // HOT_SHARE, 1)
+    return join_hot(rows, by_text, ["v"], F.col("size") > limit)
 
 
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """One row per row of ``docs``: doc_id, copy_id (least id with the same words), class_id (least id
     of the component), n_links (other rows with a similarity of at least the threshold)."""
     ids, by_text = classes(docs, threshold, rows, recall)
-    linked = ids.filter("v IS NOT NULL AND doc_id IS NOT NULL").join(by_text, "v").select("doc_id", "copy_id", "class_id", "n_links")
+    linked = _of_text(ids.filter("v IS NOT NULL AND doc_id IS NOT NULL"), by_text).select("doc_id", "copy_id", "class_id", "n_links")
     alone = ids.filter("v IS NULL OR doc_id IS NULL")
     return linked.unionAll(alone.select("doc_id", "doc_id", "doc_id", F.lit(0).cast("long")))
 
@@ -266,14 +290,16 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One document of each class: that with the smallest id, of several texts of this id that with the
     smallest hash; repeated rows become one. Rows that stand alone stay as they are."""
     ids, by_text = classes(docs, **options)
+    d, t = fresh(docs, "d", "t")
     held = ids.filter("v IS NOT NULL AND doc_id IS NOT NULL")
-    per = held.groupBy("doc_id", "_tag").agg(F.min("v").alias("v"), F.count("*").alias("_n")).join(by_text.select("v", "_keep"), "v")
+    texts = held.groupBy("doc_id", "_tag").agg(F.min("v").alias("v"), F.count("*").alias("_n"))
+    per = _of_text(texts, by_text)
     kept = F.col("_keep") == F.struct("doc_id", "_tag")
-    named = [F.col("doc_id").alias("_d"), F.col("_tag").alias("_t")]
-    same = (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
-    per = materialise(per.filter(~kept | (F.col("_n") > 1)).select(*named, kept.alias("_kept")), "gone")
-    rest = docs.join(per.select("_d", "_t"), same, "left_anti")
-    return rest.unionByName(docs.join(per.filter("_kept").select("_d", "_t"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    same = (F.col("doc_id") == F.col(d)) & (F.xxhash64("text") == F.col(t))
+    per = per.filter(~kept | (F.col("_n") > 1)).select(F.col("doc_id").alias(d), F.col("_tag").alias(t), kept.alias("_kept"))
+    per = materialise(per, "gone")
+    rest = docs.join(per.select(d, t), same, "left_anti")
+    return rest.unionByName(docs.join(per.filter("_kept").select(d, t), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 ORACLE = """

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import components, decontaminate, media, ngram_join, quality, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
 
+from gridloom.llm.common import NOT_WORD
+
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, key string, tag string, start string, score string, words string, _w string, lang string"
 
@@ -121,10 +124,10 @@ def test_bands_reach_recall():
 
 
 def brute(texts):
-    word = re.compile(ngram_join.NOT_WORD)
+    word = re.compile(NOT_WORD)
     sets = {}
     for i, t in texts.items():
-        w = [x for x in word.split((t or "").translate(ngram_join.ASCII_LOWER)) if x]
+        w = [x for x in word.split((t or "").translate(ASCII_LOWER)) if x]
         k = min(5, len(w))
         sets[i] = (tuple(w), {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set())
     links = {i: 0 for i in texts}
@@ -159,6 +162,7 @@ def test_near_copies_with_a_large_group(spark, monkeypatch):
         texts[i] = " ".join(rng.choice(vocab) for _ in range(rng.choice([3, 40, 80])))
     texts |= {200: None, 201: "", 202: texts[120], 203: texts[120].upper() + "!", 204: "a b", 205: "a  b", 206: "?!", 207: "?!"}
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 8)
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_copies(docs(spark, texts)).collect()}
     assert got == brute(texts)
     kept = ngram_join.one_of_each(docs(spark, texts))
@@ -198,7 +202,7 @@ def test_components_of_a_long_chain(spark):
 
 def brute_hits(texts, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    words = lambda t: word.findall((t or "").translate(ngram_join.ASCII_LOWER))
+    words = lambda t: word.findall((t or "").translate(ASCII_LOWER))
     out = {}
     for d, t in texts.items():
         w, hit, ids = words(t), set(), set()
@@ -486,7 +490,7 @@ def want_url(u):
     rest = u.split("://", 1)[1] if u and "://" in u else ""
     host = re.match("[^/?#]*", rest)[0]
     path = re.match("[^?#]*", rest[len(host) :])[0]
-    host = host.translate(ngram_join.ASCII_LOWER)
+    host = host.translate(ASCII_LOWER)
     fit = [(len(h + p), h + p, v) for v, h, p in url_rules.PREFIX_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     own = [v for v, p, _ in url_rules.PATTERN_RULES if re.search(p.replace(r"\z", r"\Z"), host + path)] if host else []
     return (host, path, max(fit)[1] if fit else None, max(fit)[2] if fit else own[0] if own else "allow")
@@ -593,7 +597,7 @@ def test_pipeline_stages_keep_columns(spark):
 
 
 
-def brute_pipeline(rows, items, m):
+def brute_pipeline(spark, rows, items, m):
     """All stages over a list of (doc_id, text): id, tokens and digest of the text of each row that is left."""
     rows = [r for r in rows if quality.predict(m, [r[1]])[0] >= 0.7]
     classes = brute(dict(enumerate(t if i is not None else None for i, t in rows)))
@@ -602,8 +606,13 @@ def brute_pipeline(rows, items, m):
         least[root] = min(least.get(root, (rows[n][0] or 0, n)), (rows[n][0] or 0, n))
     rows = [r for n, r in enumerate(rows) if r[0] is None or least[classes[n][0]][1] == n]
     hits = brute_hits({n: t for n, (_, t) in enumerate(rows)}, items)
+    rows = [r for n, r in enumerate(rows) if hits[n][1] == 0]
+    model = secrets.train(secrets.labelled_samples(listed(spark, rows)))
     out, tok = [], tree_bpe.load_tokenizer(PATH)
-    for i, t in (r for n, r in enumerate(rows) if hits[n][1] == 0):
+    for i, t in rows:
+        if t is None:
+            out.append((i, 0, hashlib.sha256(b"").hexdigest()))
+            continue
         for lo, _, _, hi in reversed(all_spans(t, model)):
             t = t[:lo] + "[SECRET]" + t[hi:]
         ids = tok.encode(t, add_special_tokens=False).ids
@@ -627,11 +636,17 @@ def test_pipeline_null_and_repeated_ids(spark, tmp_path):
     rows += [(200, lines(words())), (200, leak(2)), (201, leak(1)), (202, lines([*words(40), "password:", "hunter2222", *words(38)]))]
     rows += [(100, lines(base)), (100, lines(base)), (101, lines(near)), rows[0]]
     d = str(tmp_path)
-    listed(spark, rows).select("doc_id", "text", "lang").write.parquet(f"{d}/documents.parquet")
+    working = ["_quality", "quality", "_base", "_spans", "base", "spans", "_bad", "_text", "bad", "d", "t", "_d", "_t", "_tag", "salt", "hot"]
+    source = listed(spark, rows).select("doc_id", "text", "lang").withColumns({c: F.lit("own " + c) for c in working})
+    source.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(i, int(i < 60)) for i in range(80)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
     m = quality.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
-    want = brute_pipeline(rows, items, m)
+    want = brute_pipeline(spark, rows, items, m)
+    staged = source
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        staged = stage(spark, staged, d)
+        assert staged.columns == source.columns and staged.filter(" OR ".join(f"{c} <> 'own {c}'" for c in working)).isEmpty()
     got = [(r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, d).collect()]
     assert sorted(got, key=str) == want
     assert [i for i, *_ in want].count(None) == 3 and [i for i, *_ in want].count(200) == 1 and 60 <= len(want) < 80
