@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, ngram_join, quality, queries, secrets, tree_bpe
-from gridloom.llm.common import materialise, table
+from gridloom.llm.common import fresh, materialise, table
 
 #: Share of a document's words in benchmark windows from which it goes.
 MOST_HIT = 0.0
@@ -21,7 +21,8 @@ LEAST_QUALITY = 0.7
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least ``LEAST_QUALITY``."""
     m = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, m, "_quality").filter(F.col("_quality") >= LEAST_QUALITY).drop("_quality")
+    (score,) = fresh(docs, "score")
+    return quality.with_score(docs, m, score).filter(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +32,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item; rows are told apart by id and text."""
-    found = decontaminate.tagged(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.filter(F.col("n_hit") > MOST_HIT * F.col("n_words")).select(F.col("doc_id").alias("_bad"), F.col("_tag").alias("_text")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
+    of, tag = fresh(docs, "of", "tag")
+    found = decontaminate.tagged(docs, table(spark, sf_dir, "benchmark")).filter(F.col("n_hit") > MOST_HIT * F.col("n_words"))
+    bad = found.select(F.col("doc_id").alias(of), F.col("_tag").alias(tag)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(tag)), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret's span replaced by a mark; ``n_chars`` follows the text."""
-    ratios = secrets.train(secrets.labelled_samples(docs))
-    clean = secrets.redacted(docs, ratios)
+    clean = secrets.redacted(docs, secrets.train(secrets.labelled_samples(docs)))
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
