@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise
+from gridloom.llm.common import join_hot, materialise
+
+HOT_SHARE = 1_024
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,17 +20,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs the larger neighbours of every vertex on its smallest one, then the smaller
     ones; the number of rounds grows with the logarithm of the vertices. Neighbours are never
-    gathered: a vertex's smallest neighbour is an aggregate that is joined back to its edges.
+    gathered: a vertex's smallest neighbour is an aggregate that is joined back to its edges; vertices
+    with more than one in ``HOT_SHARE`` of them, as many at most, are broadcast for this.
     """
     e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = materialise(e, "edges")
     state = _state(e)
     while state[0]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        hot = F.col("_n") > max(2 * state[0] // HOT_SHARE, 1)
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+        large = join_hot(both.filter("v > u"), least, ["u"], hot).filter("v <> m")
+        large = materialise(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        small = join_hot(large, low, ["u"], hot)
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         e = materialise(small, "edges")
