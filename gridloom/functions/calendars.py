@@ -68,16 +68,20 @@ def season(ts: Column) -> Column:
 
 
 def easter(year: Column) -> Column:
-    """Date of Easter Sunday in the Gregorian calendar, from the golden number, the century's
-    corrections and the weekday of the full moon."""
-    div = lambda a, b: F.floor(a / F.lit(b)).cast("int")
-    golden, century, rest = year % 19, div(year, 100), year % 100
-    moon_shift = div(century - div(century + 8, 25) + 1, 3)
-    epact = (golden * 19 + century - div(century, 4) - moon_shift + 15) % 30
-    weekday = (F.lit(32) + (century % 4) * 2 + div(rest, 4) * 2 - epact - rest % 4) % 7
-    late = div(golden + epact * 11 + weekday * 22, 451)
-    day = epact + weekday - late * 7 + 114
-    return F.make_date(year, div(day, 31), day % 31 + 1)
+    """Date of Easter Sunday in the Gregorian calendar: the anonymous algorithm as published (Nature, 1876;
+    Meeus), with its letters."""
+    div = lambda x, y: F.floor(x / F.lit(y)).cast("int")
+    a = year % 19
+    b, c = div(year, 100), year % 100
+    d, e = div(b, 4), b % 4
+    f = div(b + 8, 25)
+    g = div(b - f + 1, 3)
+    h = (19 * a + b - d - g + 15) % 30
+    i, k = div(c, 4), c % 4
+    l = (32 + 2 * e + 2 * i - h - k) % 7  # noqa: E741
+    m = div(a + 11 * h + 22 * l, 451)
+    n = h + l - 7 * m + 114
+    return F.make_date(year, div(n, 31), n % 31 + 1)
 
 
 def years_between(spark: SparkSession, first: int, last: int) -> DataFrame:

@@ -13,11 +13,11 @@ WINSOR_BOUNDS = {
 }
 #: Magnus formula, least dew point, standard pressure.
 MAGNUS_B, MAGNUS_C, DEW_POINT_LEAST, STANDARD_PRESSURE = 17.62, 243.12, -80.0, 1013.25
-#: Coefficients of the heat index by powers of (degrees Fahrenheit, humidity).
-HEAT_INDEX = {
-    (0, 0): -42.379, (1, 0): 2.04901523, (0, 1): 10.14333127, (1, 1): -0.22475541, (2, 0): -0.00683783,
-    (0, 2): -0.05481717, (2, 1): 0.00122874, (1, 2): 0.00085282, (2, 2): -0.00000199,
-}
+#: The regression of the heat index in degrees Fahrenheit and per cent, as the US National Weather
+#: Service publishes it (Rothfusz).
+HEAT_INDEX = [-42.379, 2.04901523, 10.14333127, -0.22475541, -0.00683783, -0.05481717, 0.00122874, 0.00085282, -0.00000199]
+#: The wind chill formula of 2001 of the US and Canadian weather services, in degrees Celsius and km/h.
+WIND_CHILL = [13.12, 0.6215, -11.37, 0.3965]
 
 
 def clip(col: Column, lo: float | Column | None, hi: float | Column | None) -> Column:
@@ -36,34 +36,36 @@ def winsorize(df: DataFrame, bounds: dict[str, tuple[float, float]] = WINSOR_BOU
 
 
 def dew_point(temp: Column, humidity: Column) -> Column:
-    gamma = F.ln(clip(humidity, 1.0, 100.0) / 100.0) + temp * MAGNUS_B / (temp + MAGNUS_C)
-    raw = gamma * MAGNUS_C / (F.lit(MAGNUS_B) - gamma)
-    low = F.when(raw < DEW_POINT_LEAST, F.lit(DEW_POINT_LEAST)).otherwise(raw)
-    return F.when(low > temp, temp).otherwise(low)
+    """The Magnus formula: c g / (b - g) with g = ln(RH / 100) + b T / (c + T)."""
+    gamma = F.ln(clip(humidity, 1.0, 100.0) / 100.0) + (F.lit(MAGNUS_B) * temp) / (F.lit(MAGNUS_C) + temp)
+    dew = (F.lit(MAGNUS_C) * gamma) / (F.lit(MAGNUS_B) - gamma)
+    return clip(clip(dew, DEW_POINT_LEAST, None), None, temp)
 
 
 def heat_index(temp: Column, humidity: Column) -> Column:
-    f = temp * 9.0 / 5.0 + 32.0
-    power = lambda c, n: F.lit(1.0) if n == 0 else c if n == 1 else c * c
-    total = None
-    for (a, b), k in HEAT_INDEX.items():
-        term = F.lit(k) * power(f, a) * power(humidity, b)
-        total = term if total is None else total + term
-    return (total - 32.0) * 5.0 / 9.0
+    """HI = c1 + c2 T + c3 R + c4 T R + c5 T^2 + c6 R^2 + c7 T^2 R + c8 T R^2 + c9 T^2 R^2, T in Fahrenheit."""
+    c1, c2, c3, c4, c5, c6, c7, c8, c9 = map(F.lit, HEAT_INDEX)
+    t, r = temp * 9.0 / 5.0 + 32.0, humidity
+    hi = c1 + c2 * t + c3 * r + c4 * t * r + c5 * t * t + c6 * r * r + c7 * t * t * r + c8 * t * r * r + c9 * t * t * r * r
+    return (hi - 32.0) * 5.0 / 9.0
 
 
 def comfort_columns(temp: Column, humidity: Column) -> dict[str, Column]:
+    """Thom's discomfort index, T - 0.55 (1 - 0.01 RH) (T - 14.5); Missenard's effective temperature,
+    T - 0.4 (T - 10) (1 - RH / 100); and their ratio."""
     return {
-        "comfort_index": temp - (F.lit(0.55) - humidity * 0.0055) * (temp - 14.5),
-        "effective_temperature": temp - (temp - 10.0) * 0.4 * (F.lit(1.0) - humidity / 100.0),
+        "comfort_index": temp - 0.55 * (1 - 0.01 * humidity) * (temp - 14.5),
+        "effective_temperature": temp - 0.4 * (temp - 10) * (1 - humidity / 100),
         "temp_humidity_ratio": F.try_divide(temp, humidity + 1.0),
     }
 
 
 def wind_chill(temp: Column, wind: Column, to_kmh: float = 1.0) -> Column:
-    """Wind in km/h; ``to_kmh`` = 3.6 for metres per second. Negative wind has no value."""
+    """13.12 + 0.6215 T - 11.37 V^0.16 + 0.3965 T V^0.16. Wind in km/h; ``to_kmh`` = 3.6 for metres per second.
+    Negative wind has no value."""
+    a, b, c, d = map(F.lit, WIND_CHILL)
     v = F.when(wind >= 0, F.pow(wind * to_kmh, F.lit(0.16)))
-    return temp * 0.6215 + 13.12 - v * 11.37 + temp * v * 0.3965
+    return a + b * temp + c * v + d * temp * v
 
 
 def weather_columns(columns: list[str]) -> dict[str, Column]:
@@ -80,7 +82,7 @@ def weather_columns(columns: list[str]) -> dict[str, Column]:
     if "cloud_cover" in have:
         out["solar_proxy"] = F.lit(100.0) - F.col("cloud_cover")
     if {"temperature", "precipitation"} <= have:
-        out["precip_temp_index"] = F.col("precipitation") * (t / 100.0 + 1.0)
+        out["precip_temp_index"] = F.col("precipitation") * (1 + t / 100)
     return out
 
 

@@ -89,11 +89,12 @@ def mutual_information(df: DataFrame, columns: list[str], target: str = TARGET,
 def acf(df: DataFrame, lags: int = 72, col: str = TARGET, key: str = "region", ts: str = "timestamp") -> DataFrame:
     """key, lag, r for lags from 0. A row meets its ``lags`` successors by row index, so a long series
     spreads over as many tasks as it has index blocks."""
-    mean = df.groupBy(key).agg(F.avg(col).alias("_m"))
-    rows = row_index(df.select(key, ts, col), "_i", ts, key).join(mean, key)
-    rows = rows.withColumns({"_d": F.col(col) - F.col("_m"), "_b": F.floor(F.col("_i") / 4096).cast("long")})
+    block = max(4096, lags)
+    mean = df.groupBy(F.col(key).alias("_of")).agg(F.avg(col).alias("_m"))
+    rows = row_index(df.select(key, ts, col), "_i", ts, key).join(mean, F.col(key).eqNullSafe(F.col("_of"))).drop("_of")
+    rows = rows.withColumns({"_d": F.col(col) - F.col("_m"), "_b": F.floor(F.col("_i") / block).cast("long")})
     home = F.array(F.struct(F.col("_b").alias("c"), F.lit(True).alias("own")))
-    near = F.col("_i") % 4096 >= 4096 - lags
+    near = F.col("_i") % block >= block - lags
     halo = F.array(F.struct((F.col("_b") + 1).alias("c"), F.lit(False).alias("own")))
     placed = rows.select(key, "_i", "_d", F.inline(F.concat(home, F.when(near, halo).otherwise(F.array().cast("array<struct<c:bigint,own:boolean>>")))))
     w = Window.partitionBy(key, "c").orderBy("_i")

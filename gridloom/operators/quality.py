@@ -39,7 +39,7 @@ def outside(col: Column, lo: float | None, hi: float | None) -> Column:
 
 
 def _counts(df: DataFrame, rules: dict, samples: int) -> DataFrame:
-    """One pass: for each rule its count and the smallest distinct offending values."""
+    """One pass: for each rule its count and, with samples, the least and the greatest offending value."""
     rules = {c: r for c, r in rules.items() if c in df.columns}
     aggs = []
     for c, (lo, hi) in rules.items():

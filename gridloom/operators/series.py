@@ -7,8 +7,11 @@ rows before them, so that frames of bounded length run in as many tasks as there
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,45 +107,58 @@ def trend_features(df: DataFrame) -> DataFrame:
     return df.withColumns(trend_columns(df.columns))
 
 
+def ewma_block(spans: list[int], block: int) -> int:
+    """The block size, smaller where a power of the fastest decay would leave the range of a double."""
+    fastest = 1 - 2 / (min(spans) + 1)
+    if not 0 < fastest < 1:
+        raise ValueError("spans are whole numbers above 1")
+    return max(1, min(block, int(600 / -math.log(fastest))))
+
+
 def ewma_features(df: DataFrame, spans: list[int] = SPANS, target: str = TARGET, block: int = 256) -> DataFrame:
     """Exponentially weighted means of all rows before the current one, weights (1-a)^i normalised.
 
-    Two-level scan: within blocks of rows weighted sums are taken relative to the block's first row,
-    block totals are carried to the next blocks, and both are put together. Numerators and
-    weights of present values go through the same scan, so gaps keep decaying. Each span is a few
-    window sums in one sorting; there is no Python and no power that grows with the series.
+    Two-level scan: within blocks of rows weighted sums are taken relative to the block's first row, and
+    each block's start state follows from the totals of the blocks before it. Numerators and weights of
+    present values go through the same scan, so gaps keep decaying, over any distance. No power grows
+    with the series; a series is one group only as a row for each block of it.
     """
-    df = row_index(df, "_i")
-    w = Window.partitionBy(KEY, "_b").orderBy("_i")
-    lagged = F.lag(target).over(Window.partitionBy(KEY).orderBy("_i"))
-    out = df.withColumns({"_x": lagged, "_b": F.floor(F.col("_i") / block).cast("long"), "_j": (F.col("_i") % block).cast("double")})
+    block = ewma_block(spans, block)
+    rows = row_index(df, "_i")
+    w = Window.partitionBy(KEY, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({"_b": F.floor(F.col("_i") / block).cast("long"), "_j": (F.col("_i") % block).cast("double")})
+    x, seen = F.coalesce(F.col(target).cast("double"), F.lit(0.0)), F.col(target).isNotNull().cast("double")
     inner, totals = {}, []
     for s in spans:
-        q = 1 - 2 / (s + 1)
-        up = F.pow(F.lit(q), -F.col("_j"))
-        frame = w.rowsBetween(Window.unboundedPreceding, 0)
-        x, seen = F.coalesce("_x", F.lit(0.0)), F.col("_x").isNotNull().cast("double")
-        inner[f"_n{s}"] = F.sum(x * up).over(frame) * F.pow(F.lit(q), F.col("_j"))
-        inner[f"_d{s}"] = F.sum(seen * up).over(frame) * F.pow(F.lit(q), F.col("_j"))
-        last = F.max_by(F.struct(F.col(f"_n{s}").alias("n"), F.col(f"_d{s}").alias("d")), "_i")
-        totals.append(last.alias(f"_t{s}"))
-    out = out.withColumns(inner)
-    ends = out.groupBy(KEY, "_b").agg(*totals)
-    before = Window.partitionBy(KEY).orderBy("_b")  # a row for each block
-    for s in spans:
-        q = (1 - 2 / (s + 1)) ** block
-        seq = F.collect_list(f"_t{s}").over(before.rowsBetween(max(-8192 // block, -64), -1))
-        fold = lambda f, seq=seq, q=q: F.aggregate(seq, F.lit(0.0), lambda acc, t: acc * q + t[f])
-        # what is more than 64 blocks back weighs less than the last bit of a double
-        ends = ends.withColumns({f"_cn{s}": fold("n"), f"_cd{s}": fold("d")})
-    carry = ends.select(KEY, "_b", *[f"_c{k}{s}" for s in spans for k in "nd"])
-    both = out.join(carry, [KEY, "_b"])
+        q = F.lit(1 - 2 / (s + 1))
+        up = F.pow(q, -F.col("_j"))
+        for k, v in (("n", x), ("d", seen)):
+            inner[f"_{k}{s}"] = F.coalesce(F.sum(v * up).over(w), F.lit(0.0)) * F.pow(q, F.col("_j") - 1)
+            totals.append((F.sum(v * up) * F.pow(q, F.lit(block - 1.0))).alias(f"_c{k}{s}"))
+    carried = [f"_c{k}{s}" for s in spans for k in "nd"]
+    ends = out.groupBy(F.col(KEY).alias("_of"), "_b").agg(*totals)
+    decay = np.array([(1 - 2 / (s + 1)) ** block for s in spans for _ in "nd"])
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_b")
+        total, state = pdf[carried].to_numpy(float), np.zeros(len(carried))
+        for i in range(len(total)):
+            total[i], state = state, state * decay + total[i]
+            # after a long gap the mean stays while its weight would vanish; this one is still next to nothing
+            faint = (state[1::2] > 0) & (state[1::2] < 1e-100)
+            if faint.any():
+                state *= np.repeat(np.where(faint, 1e-100 / np.where(faint, state[1::2], 1), 1), 2)
+        pdf[carried] = total
+        return pdf
+
+    starts = ends.groupBy("_of").applyInPandas(carry, ends.schema).withColumnRenamed("_b", "_at")
+    both = out.join(starts, F.col(KEY).eqNullSafe(F.col("_of")) & (F.col("_b") == F.col("_at"))).withColumns(inner)
     final = {}
     for s in spans:
-        decay = F.pow(F.lit(1 - 2 / (s + 1)), F.col("_j") + 1)
-        num, den = F.col(f"_n{s}") + F.col(f"_cn{s}") * decay, F.col(f"_d{s}") + F.col(f"_cd{s}") * decay
+        past = F.pow(F.lit(1 - 2 / (s + 1)), F.col("_j"))
+        num, den = F.col(f"_n{s}") + F.col(f"_cn{s}") * past, F.col(f"_d{s}") + F.col(f"_cd{s}") * past
         final[f"{target}_ewma_{s}"] = F.when(den > 0, num / den)
-    return both.withColumns(final).select(*[c for c in df.columns if c != "_i"], *final)
+    return both.withColumns(final).select(*df.columns, *final)
 
 
 def horizon_targets(df: DataFrame, horizons: list[int] = HORIZONS, target: str = TARGET) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,17 +15,19 @@ def row_index(df: DataFrame, name: str, ts: str = "timestamp", key: str | None =
     """Position from 0 on time order, within ``key`` or (None) over all rows.
 
     Rows are counted by day first; running sums of these small counts give each day's offset, and
-    the rank within a day is added. Ties are ordered by ``ties`` (the region, over all rows).
+    the rank within a day is added. Ties are ordered by ``ties`` (the region, over all rows). Rows without
+    a timestamp come last, rows without a key are a group of their own.
     """
     keys = [key] if key else []
     ties = ties or (() if key else ("region",))
-    part = F.date_trunc(BUCKET, ts)
-    df = df.withColumn("_part", part)
+    df = df.withColumn("_part", F.date_trunc(BUCKET, ts))
     counts = df.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(ts, *ties)) - 1
-    return df.withColumn("_rank", rank).join(offset, [*keys, "_part"]).withColumn(name, F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
+    order = Window.partitionBy(*keys).orderBy(F.col("_part").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    offset = counts.select(*[F.col(k).alias(f"_of_{k}") for k in (*keys, "_part")], F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.col(ts).asc_nulls_last(), *ties)) - 1
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "_part")])
+    ranked = df.withColumn("_rank", rank).join(offset, same)
+    return ranked.withColumn(name, F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before", *[f"_of_{k}" for k in (*keys, "_part")])
 
 
 def temporal_split(df: DataFrame, train: float = 0.70, val: float = 0.15, ts: str = "timestamp") -> DataFrame:

@@ -119,26 +119,25 @@ def correlation_filter(df: DataFrame, features: list[str], threshold: float = 0.
 
 
 def permutation_importance(fitted: Fitted, df: DataFrame, repeats: int = 10, seed: int = 42, label: str = TARGET) -> DataFrame:
-    """feature, importance (mean rise of the squared error), std: each feature in turn gets the values
-    of other rows, by a join of row numbers with numbers in random order."""
-    rows = row_index(df.select("timestamp", "region", label, *fitted.features), "_i", key=None).cache()
-    base = fitted.predict(rows).agg(F.avg((F.col(label) - F.col("prediction")) ** 2)).first()[0]
-    parts = []
-    for f in fitted.features:
-        for r in range(repeats):
-            order = row_index(rows.select("timestamp", "region", F.col(f).alias("_v"), "_i"), "_j", key=None, ties=("region", "_i"))
-            # numbers in an order by hash: the n-th row gets the value of the n-th smallest hash
-            mixed = order.select("_v", F.xxhash64(F.lit(seed), F.lit(r), F.lit(f), "_i").alias("_h"))
-            mixed = mixed.withColumn("_b", F.shiftright("_h", 52))
-            counts = mixed.groupBy("_b").agg(F.count("*").alias("_n"))  # 4096 buckets
-            before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-            place = mixed.join(F.broadcast(before), "_b").select("_v", (F.col("_o") + F.row_number().over(Window.partitionBy("_b").orderBy("_h")) - 1).alias("_i"))
-            swapped = rows.drop(f).join(place, "_i").withColumnRenamed("_v", f)
-            mse = fitted.predict(swapped).agg(F.avg((F.col(label) - F.col("prediction")) ** 2).alias("mse"))
-            parts.append((f, mse.first()["mse"] - base))
-    rows.unpersist()
-    out = df.sparkSession.createDataFrame(parts, "feature string, rise double")
-    return out.groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"))
+    """feature, importance (mean rise of the squared error), std: each feature in turn gets the values of
+    other rows. All features and repeats are one job: every row's number meets the number that it has in
+    an order by hash, ranked within buckets of the hash and put together with the buckets' counts."""
+    rows = row_index(df.select("timestamp", "region", label, *fitted.features), "_i", key=None)
+    trials = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.col(f).cast("double").alias("_v")) for f in fitted.features for r in range(repeats)])
+    each = rows.select("_i", F.inline(trials)).withColumn("_h", F.xxhash64(F.lit(seed), "repeat", "feature", "_i"))
+    key, bucket = ["feature", "repeat"], F.shiftright("_h", 52)  # 4096 buckets of each trial
+    mixed = each.withColumn("_b", bucket)
+    counts = mixed.groupBy(*key, "_b").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*key, "_b", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_o"))
+    rank = F.row_number().over(Window.partitionBy(*key, "_b").orderBy("_h", "_i")) - 1
+    place = mixed.withColumn("_rank", rank).join(before, [*key, "_b"]).select(*key, (F.col("_o") + F.col("_rank")).alias("_i"), "_v")
+    swapped = rows.join(place, "_i")
+    swapped = swapped.withColumns({f: F.when(F.col("feature") == f, F.col("_v")).otherwise(F.col(f)) for f in fitted.features})
+    error = F.avg((F.col(label) - F.col("prediction")) ** 2)
+    base = fitted.predict(rows).agg(error).first()[0]
+    mse = fitted.predict(swapped).groupBy(*key).agg((error - F.lit(base)).alias("rise"))
+    return mse.groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"))
 
 
 def select_features(train: DataFrame, val: DataFrame, features: list[str], most: int = 20, kind: str = "linear", repeats: int = 2, threshold: float = 0.95) -> tuple[list[str], DataFrame]:
@@ -149,22 +148,35 @@ def select_features(train: DataFrame, val: DataFrame, features: list[str], most:
     return top, scores
 
 
-def train_variant(df: DataFrame, features: list[str], kind: str = "linear", folds: int = 3, alpha: float = 0.1) -> dict[str, DataFrame | Fitted]:
-    """Split, baselines, folds, fit, calibration on the later half of validation, refit, test report."""
+def train_variant(
+    df: DataFrame, features: list[str], kind: str = "linear", folds: int = 3, alpha: float = 0.1, trials: int = 4, most: int = 20, repeats: int = 10
+) -> dict:
+    """One variant from features to report: split, baselines, folds, tuning on the training rows, selection
+    of features, fit, calibration on the later half of validation, refit, test report, feature statistics.
+
+    ``trials`` or ``most`` of 0 leave out tuning or selection.
+    """
+    from gridloom.operators.drift import feature_stats
+
     split = temporal_split(df).cache()
     train, val, test = (split.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
     cv = time_series_cv(train, features, (kind,), folds)
-    first = fit_regressor(kind, train, val, features)
+    params, tuning = tune(train, kind, features, trials, folds) if trials else ({}, None)
+    importances = None
+    if most:
+        features, importances = select_features(train, val, features, most, kind, repeats)
+    first = fit_regressor(kind, train, val, features, params)
     late = row_index(val, "_i", key=None)
     late = late.filter(F.col("_i") >= val.count() // 2).drop("_i")
     q = conformal_quantile(first.predict(late), TARGET, "prediction", alpha)
-    params = {"maxIter": first.model.getNumTrees} if kind == "gbt" else None
+    if kind == "gbt":  # as many trees as validation left
+        params = params | {"maxIter": first.model.getNumTrees}
     final = fit_regressor(kind, train.unionByName(val), None, features, params)
     scored = final.predict(test)
     return {
-        "model": final, "cv": cv, "conformal": q, "metrics": overall_and_regions(scored, TARGET, "prediction"),
-        "mase": mase(scored, train, TARGET, "prediction"),
-        "baselines": evaluate_baselines(split, F.col("split") == "test"),
+        "model": final, "cv": cv, "params": params, "tuning": tuning, "features": features, "importances": importances, "conformal": q,
+        "metrics": overall_and_regions(scored, TARGET, "prediction"), "mase": mase(scored, train, TARGET, "prediction"),
+        "baselines": evaluate_baselines(split, F.col("split") == "test"), "stats": feature_stats(train, features),
     }
 
 
@@ -201,18 +213,19 @@ def predict_per_region(df: DataFrame, models: DataFrame, features: list[str]) ->
     return df.join(m, "region").withColumn("prediction", total).drop("intercept", "coefficients")
 
 
-def train_multistep(df: DataFrame, features: list[str], horizons: tuple = (1, 6, 12, 24), kind: str = "linear") -> DataFrame:
-    """horizon, rmse, mae, q90 of one model for each horizon; q90 comes from validation, errors from test."""
+def train_multistep(df: DataFrame, features: list[str], horizons: tuple = (1, 6, 12, 24), kinds: tuple = ("linear", "forest", "gbt")) -> DataFrame:
+    """horizon, model, rmse, mae, q90 of the best of several models for each horizon; choice and q90 come from
+    validation, errors from test."""
     rows = temporal_split(horizon_targets(df, list(horizons))).cache()
     out = []
     for h in horizons:
         label = f"target_{h}h"
-        got = fit_regressor(kind, rows.filter("split = 'train'"), None, features, label=label)
+        got, _ = train_and_select(rows.filter("split = 'train'"), rows.filter("split = 'val'"), features, kinds, label)
         q = conformal_quantile(got.predict(rows.filter("split = 'val'")), label, "prediction").first()["q"]
         m = regression_metrics(got.predict(rows.filter("split = 'test'")), label, "prediction").first()
-        out.append((h, float(m["rmse"]), float(m["mae"]), float(q)))
+        out.append((h, got.kind, float(m["rmse"]), float(m["mae"]), float(q)))
     rows.unpersist()
-    return df.sparkSession.createDataFrame(out, "horizon int, rmse double, mae double, q90 double")
+    return df.sparkSession.createDataFrame(out, "horizon int, model string, rmse double, mae double, q90 double")
 
 
 def _walk(df: DataFrame, part: Column, least: int, fit_predict: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame | None:
@@ -247,14 +260,16 @@ def backtest_seasonal(df: DataFrame, features: list[str], kind: str = "linear",
 
     rows = df.withColumn("season", season(F.col("timestamp")))
     at = row_index(rows, "_i", key="season", ties=("region",)).cache()
-    out = None
+    out = []
     for r in at.groupBy("season").agg(F.count("*").alias("n")).orderBy("season").collect():
         own = at.filter(F.col("season") == r["season"])
         cut = int(r["n"] * share)
         got = fit_regressor(kind, own.filter(F.col("_i") < cut), None, features)
         m = regression_metrics(got.predict(own.filter(F.col("_i") >= cut)), TARGET, "prediction").withColumns({"season": F.lit(r["season"]), "n_train": F.lit(cut)})
-        out = m if out is None else out.unionByName(m)
-    return out
+        out += m.collect()  # a row for each season
+        schema = m.schema
+    at.unpersist()
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def seed_stability(train: DataFrame, test: DataFrame, features: list[str], seeds: list[int], kind: str = "forest", params: dict | None = None) -> DataFrame:
@@ -283,42 +298,54 @@ def predict_sequential(
 
     ``step`` maps a dictionary of a future row's columns and of lag features to a number. A series is
     one group: it carries its last rows and the sums of its exponential means, not features of
-    its whole history, so a step costs the same at any length.
+    its whole history, so a step costs the same at any length. Regions with more than ``most`` future
+    rows or fewer than ``least`` rows of history are rejected with an error.
     """
     need = 49
+    ahead_n = future.groupBy(F.col("region").alias("_of")).agg(F.count("*").alias("_ahead"))
+    behind_n = history.groupBy("region").agg(F.count("*").alias("_past"))
+    sizes = ahead_n.join(behind_n, F.col("region").eqNullSafe(F.col("_of")), "left").select("_of", "_ahead", F.coalesce("_past", F.lit(0)).alias("_past"))
+    wrong = sizes.filter((F.col("_ahead") > most) | (F.col("_past") < least) | F.col("_of").isNull()).limit(5).collect()
+    if wrong:
+        listed = "; ".join(f"{r['_of']}: {r['_ahead']} rows ahead, {r['_past']} behind" for r in wrong)
+        raise ValueError(f"a forecast takes {most} rows ahead at most and {least} behind at least: {listed}")
     back = F.row_number().over(Window.partitionBy("region").orderBy(F.col("timestamp").desc()))
     from gridloom.operators.series import ewma_features
 
     # exponential means after the last row, from the same scan as in training: a row is added behind it
     tail = history.select("region", "timestamp", target)
-    nxt = tail.groupBy("region").agg(F.max("timestamp").alias("timestamp"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    nxt = tail.groupBy("region").agg(F.max("timestamp").alias("timestamp"), F.count("*").alias("_n"))
     kind = history.schema["timestamp"].dataType
     probe = nxt.select("region", (F.col("timestamp") + F.expr("interval 1 hour")).cast(kind).alias("timestamp"), F.lit(None).cast("double").alias(target))
     means = ewma_features(tail.unionByName(probe)).join(probe.select("region", "timestamp"), ["region", "timestamp"], "left_semi")
-    state = means.join(nxt.select("region", "_n"), "region").select("region", "_n", *[f"{target}_ewma_{s}" for s in SPANS])
+    # the means' weights: of the rows that have a value, by their distance from the end
+    back_of = F.row_number().over(Window.partitionBy("region").orderBy(F.col("timestamp").desc())) - 1
+    held = tail.withColumn("_k", back_of).filter(F.col(target).isNotNull())
+    weights = held.groupBy("region").agg(*[F.sum(F.pow(F.lit(1 - 2 / (s + 1)), F.col("_k"))).alias(f"_d{s}") for s in SPANS])
+    state = means.join(weights, "region").select("region", *[f"_d{s}" for s in SPANS], *[f"{target}_ewma_{s}" for s in SPANS])
     last = tail.withColumn("_r", back).filter(F.col("_r") <= need)
     series = last.groupBy("region").agg(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("o"), F.col(target).alias("y")))).alias("_h"))
-    ahead = F.row_number().over(Window.partitionBy("region").orderBy("timestamp"))
-    steps = future.withColumn("_k", ahead).filter(F.col("_k") <= most)
-    rows = steps.join(series, "region").join(state, "region")
+    rows = future.join(series, "region").join(state, "region")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("timestamp")
         one = pdf.iloc[0]
-        y = [h["y"] for h in one["_h"]]
-        n = int(one["_n"])
-        den = {s: (1 - (1 - 2 / (s + 1)) ** n) / (2 / (s + 1)) for s in SPANS}
+        y = [h["y"] if pd.notna(h["y"]) else None for h in one["_h"]]
+        den = {s: one[f"_d{s}"] for s in SPANS}
         num = {s: one[f"{target}_ewma_{s}"] * den[s] for s in SPANS}
         out = []
-        for row in pdf.drop(columns=["_h", "_n", *[f"{target}_ewma_{s}" for s in SPANS]]).to_dict("records"):
+        for row in pdf.drop(columns=["_h", *[f"_d{s}" for s in SPANS], *[f"{target}_ewma_{s}" for s in SPANS]]).to_dict("records"):
             feats = dict(row)
             feats |= {f"{target}_lag_{k}": y[-k] for k in (1, 2, 3, 6, 12, 24, 48) if k <= len(y)}
             for k in (3, 6, 12, 24, 48):
-                part = np.array(y[-k:], float)
-                feats |= {f"{target}_rolling_mean_{k}": part.mean(), f"{target}_rolling_min_{k}": part.min(), f"{target}_rolling_max_{k}": part.max()}
+                part = np.array([v for v in y[-k:] if v is not None], float)  # gaps are left out, as in the windows
+                for name, f in (("mean", np.mean), ("min", np.min), ("max", np.max)):
+                    feats[f"{target}_rolling_{name}_{k}"] = f(part) if len(part) else None
                 feats[f"{target}_rolling_std_{k}"] = part.std(ddof=1) if len(part) > 1 else None
             feats |= {f"{target}_ewma_{s}": num[s] / den[s] for s in SPANS}
-            feats |= {f"{target}_diff_1": y[-1] - y[-2], f"{target}_diff_24": y[-1] - y[-25] if len(y) >= 25 else None, f"{target}_range_24": max(y[-24:]) - min(y[-24:])}
+            less = lambda k: y[-1] - y[-k] if len(y) >= k and y[-1] is not None and y[-k] is not None else None
+            day = [v for v in y[-24:] if v is not None]
+            feats |= {f"{target}_diff_1": less(2), f"{target}_diff_24": less(25), f"{target}_range_24": max(day) - min(day) if day else None}
             value = float(step(feats))
             out.append((row["region"], row["timestamp"], value))
             y = [*y[-(need - 1) :], value]

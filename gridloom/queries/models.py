@@ -30,24 +30,24 @@ def _parts(spark, d):
 @query("m1_m2_fit")
 def m2(spark, d):
     train, val, test = _parts(spark, d)
-    got = modeling.fit_regressor("gbt", train, val, FEATURES, {"maxIter": 5, "maxDepth": 3})
+    got = modeling.fit_regressor("gbt", train, val, FEATURES)
     return metrics.regression_metrics(got.predict(test), "consumption_mw", "prediction")
 
 
 @query("m3_train_and_select")
 def m3(spark, d):
     train, val, _ = _parts(spark, d)
-    return modeling.train_and_select(train, val, FEATURES, ("linear", "forest"))[1]
+    return modeling.train_and_select(train, val, FEATURES)[1]
 
 
 @query("m4_time_series_cv")
 def m4(spark, d):
-    return modeling.time_series_cv(_rows(spark, d), FEATURES, ("linear",), 3)
+    return modeling.time_series_cv(_rows(spark, d), FEATURES)
 
 
 @query("m5_tune")
 def m5(spark, d):
-    return modeling.tune(_rows(spark, d), "linear", FEATURES, 2, 2)[1]
+    return modeling.tune(_rows(spark, d), "linear", FEATURES)[1]
 
 
 @query("m6_correlation_filter")
@@ -60,18 +60,18 @@ def m6(spark, d):
 @query("m7_permutation_importance")
 def m7(spark, d):
     train, val, _ = _parts(spark, d)
-    return modeling.permutation_importance(modeling.fit_regressor("linear", train, None, FEATURES[2:]), val, 1)
+    return modeling.permutation_importance(modeling.fit_regressor("linear", train, None, FEATURES), val)
 
 
 @query("m8_select_features")
 def m8(spark, d):
     train, val, _ = _parts(spark, d)
-    return modeling.select_features(train, val, FEATURES[2:], 2, repeats=1)[1]
+    return modeling.select_features(train, val, FEATURES)[1]
 
 
 @query("m9_train_variant")
 def m9(spark, d):
-    return modeling.train_variant(_rows(spark, d), FEATURES, folds=2)["metrics"]
+    return modeling.train_variant(_rows(spark, d), FEATURES)["metrics"]
 
 
 @query("m10_train_per_region")
@@ -82,7 +82,7 @@ def m10(spark, d):
 
 @query("m11_train_multistep")
 def m11(spark, d):
-    return modeling.train_multistep(_rows(spark, d), FEATURES, (1, 6))
+    return modeling.train_multistep(_rows(spark, d), FEATURES, kinds=("linear", "forest"))
 
 
 @query("m12_backtest_monthly")
@@ -100,7 +100,7 @@ def m13(spark, d):
 @query("m14_seed_stability")
 def m14(spark, d):
     train, _, test = _parts(spark, d)
-    return modeling.seed_stability(train, test, FEATURES, [1, 2], params={"numTrees": 5, "maxDepth": 3})
+    return modeling.seed_stability(train, test, FEATURES, list(range(10)))
 
 
 @query("m15_predict_batch")

@@ -219,3 +219,63 @@ def test_feature_stats_file(spark, tmp_path):
     (tmp_path / "e.json").write_text("{}")
     with pytest.raises(ValueError):
         tables.read_feature_stats(spark, str(tmp_path / "e.json"))
+
+
+def test_row_index_keeps_rows_without_key_or_time(spark):
+    t = lambda h: T0 + dt.timedelta(hours=h)
+    rows = [("a", t(1), 1.0), ("a", None, 2.0), (None, t(0), 3.0), (None, t(30), 4.0), ("a", t(0), 5.0), (None, None, 6.0)]
+    df = spark.createDataFrame(rows, "region string, timestamp timestamp_ntz, consumption_mw double")
+    got = {r["consumption_mw"]: r["_i"] for r in splits.row_index(df, "_i").collect()}
+    assert got == {5.0: 0, 1.0: 1, 2.0: 2, 3.0: 0, 4.0: 1, 6.0: 2}
+    parts = splits.temporal_split(df, 0.5, 0.25).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in parts} == {"train": 3, "val": 1, "test": 2}
+    ewma = {r["consumption_mw"]: r["consumption_mw_ewma_6"] for r in series.ewma_features(df).collect()}
+    assert len(ewma) == 6 and ewma[1.0] == 5.0 and ewma[4.0] == 3.0 and ewma[3.0] is None
+
+
+def test_ewma_of_long_and_short_spans(spark):
+    vals = np.random.default_rng(9).normal(100, 20, 12_000)
+    vals[:3] = [np.nan, 5000.0, np.nan]
+    vals[7000:9000] = np.nan
+    got = series.ewma_features(hourly(spark, [None if np.isnan(v) else float(v) for v in vals]), [2, 8760]).orderBy("timestamp").toPandas()
+    want = pd.Series(vals).shift(1)
+    for k in (2, 8760):
+        np.testing.assert_allclose(got[f"consumption_mw_ewma_{k}"].astype(float), want.ewm(span=k, min_periods=1).mean(), rtol=1e-9)
+    with pytest.raises(ValueError):
+        series.ewma_features(hourly(spark, [1.0]), [1])
+
+
+def test_sequential_rejects_and_continues_over_gaps(spark):
+    vals = [float(i % 7) for i in range(60)]
+    vals[-5] = vals[20] = None
+    hist = hourly(spark, vals)
+    fut = lambda n: hourly(spark, [0.0] * n).select("region", (F.col("timestamp") + F.expr("interval 60 hours")).alias("timestamp"))
+    with pytest.raises(ValueError):
+        modeling.predict_sequential(hist, fut(169), lambda f: 0.0)
+    with pytest.raises(ValueError):
+        modeling.predict_sequential(hist.limit(20), fut(2), lambda f: 0.0)
+    got = modeling.predict_sequential(hist, fut(3), lambda f: f["consumption_mw_ewma_24"] + 1).orderBy("timestamp").toPandas()["y_pred"].tolist()
+    seen = [np.nan if v is None else v for v in vals]
+    for y in got:
+        assert y == pytest.approx(pd.Series(seen).ewm(span=24).mean().iloc[-1] + 1)
+        seen.append(y)
+
+
+def test_permutation_importance_finds_the_feature_that_counts(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", T0 + dt.timedelta(hours=i), float(x), float(z), float(3 * x + 0.01 * z)) for i, (x, z) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "region string, timestamp timestamp_ntz, x double, z double, consumption_mw double")
+    fitted = modeling.fit_regressor("linear", df, None, ["x", "z"])
+    got = {r["feature"]: (r["importance"], r["std"]) for r in modeling.permutation_importance(fitted, df, 5).collect()}
+    # a permuted column adds twice its variance times the squared coefficient, in expectation
+    assert got["x"][0] == pytest.approx(2 * 9 * np.var([r[2] for r in rows]), rel=0.15) and got["z"][0] < 0.01 < got["x"][1]
+
+
+def test_metrics_properties(spark):
+    rng = np.random.default_rng(4)
+    for scale in (0.1, 10.0, 1e6):
+        y, p = rng.normal(size=(2, 50)) * scale
+        df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, p)], "y double, p double")
+        m = metrics.regression_metrics(df, "y", "p").first()
+        assert m["rmse"] >= m["mae"] >= 0 and m["r2"] <= 1
+        assert m["rmse"] == pytest.approx(np.sqrt(np.mean((y - p) ** 2))) and m["mae"] == pytest.approx(np.mean(np.abs(y - p)))
