@@ -51,10 +51,10 @@ def heat_index(temp: Column, humidity: Column) -> Column:
 
 
 def comfort_columns(temp: Column, humidity: Column) -> dict[str, Column]:
-    """Thom's discomfort index, T - 0.55 (1 - 0.01 RH) (T - 14.5); Missenard's effective temperature,
+    """Thom's discomfort index, T - (0.55 - 0.0055 RH) (T - 14.5); Missenard's effective temperature,
     T - 0.4 (T - 10) (1 - RH / 100); and their ratio."""
     return {
-        "comfort_index": temp - 0.55 * (1 - 0.01 * humidity) * (temp - 14.5),
+        "comfort_index": temp - (0.55 - 0.0055 * humidity) * (temp - 14.5),
         "effective_temperature": temp - 0.4 * (temp - 10) * (1 - humidity / 100),
         "temp_humidity_ratio": F.try_divide(temp, humidity + 1.0),
     }

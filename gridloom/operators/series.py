@@ -133,7 +133,7 @@ def ewma_features(df: DataFrame, spans: list[int] = SPANS, target: str = TARGET,
         q = F.lit(1 - 2 / (s + 1))
         up = F.pow(q, -F.col("_j"))
         for k, v in (("n", x), ("d", seen)):
-            inner[f"_{k}{s}"] = F.coalesce(F.sum(v * up).over(w), F.lit(0.0)) * F.pow(q, F.col("_j") - 1)
+            inner[f"_{k}{s}"] = F.coalesce(F.sum(v * up).over(w), F.lit(0.0))
             totals.append((F.sum(v * up) * F.pow(q, F.lit(block - 1.0))).alias(f"_c{k}{s}"))
     carried = [f"_c{k}{s}" for s in spans for k in "nd"]
     ends = out.groupBy(F.col(KEY).alias("_of"), "_b").agg(*totals)
@@ -155,8 +155,9 @@ def ewma_features(df: DataFrame, spans: list[int] = SPANS, target: str = TARGET,
     both = out.join(starts, F.col(KEY).eqNullSafe(F.col("_of")) & (F.col("_b") == F.col("_at"))).withColumns(inner)
     final = {}
     for s in spans:
-        past = F.pow(F.lit(1 - 2 / (s + 1)), F.col("_j"))
-        num, den = F.col(f"_n{s}") + F.col(f"_cn{s}") * past, F.col(f"_d{s}") + F.col(f"_cd{s}") * past
+        # both parts stand relative to the block's first row, so their common factor falls out of the quotient
+        q = 1 - 2 / (s + 1)
+        num, den = F.col(f"_n{s}") + F.col(f"_cn{s}") * q, F.col(f"_d{s}") + F.col(f"_cd{s}") * q
         final[f"{target}_ewma_{s}"] = F.when(den > 0, num / den)
     return both.withColumns(final).select(*df.columns, *final)
 

@@ -173,7 +173,8 @@ def f12(spark, d):
 
 
 _TF, _RH = "(temperature * 9.0 / 5.0 + 32.0)", "humidity"
-_HEAT = " + ".join(f"({k}::DOUBLE) * power({_TF}, {a}) * power({_RH}, {b})" for (a, b), k in wx.HEAT_INDEX.items())
+_POWERS = [(0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2), (2, 2)]  # of temperature and humidity, in the order of the coefficients
+_HEAT = " + ".join(f"({k}::DOUBLE) * power({_TF}, {a}) * power({_RH}, {b})" for (a, b), k in zip(_POWERS, wx.HEAT_INDEX, strict=True))
 
 
 @query("f13_heat_index", "weather", _wx_sql({"heat_index": f"(({_HEAT}) - 32.0) * 5.0 / 9.0"}), "heat_index", "h", 4)
@@ -283,7 +284,7 @@ def _ewma_sql(k: int) -> str:
     "w3_ewma", "ehourly",
     "WITH n AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY timestamp) AS i FROM ehourly) SELECT a.timestamp, a.region, a.consumption_mw, "
     + ", ".join(_ewma_sql(k) for k in s.SPANS) + " FROM n a LEFT JOIN n b ON a.region = b.region AND b.i < a.i GROUP BY 1, 2, 3",
-    "consumption_mw " + " ".join(f"consumption_mw_ewma_{k}" for k in s.SPANS),
+    "consumption_mw " + " ".join(f"consumption_mw_ewma_{k}" for k in s.SPANS), digits=7,  # means of two values may end in a 5 behind six digits
 )
 def w3(spark, d):
     return s.ewma_features(base.event_hourly(spark, d)).select("timestamp", "region", "consumption_mw", *[f"consumption_mw_ewma_{k}" for k in s.SPANS])
