@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import fresh, join_hot, materialise, raw_words, word_hashes
@@ -290,16 +290,18 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One document of each class: that with the smallest id, of several texts of this id that with the
     smallest hash; repeated rows become one. Rows that stand alone stay as they are."""
     ids, by_text = classes(docs, **options)
-    d, t = fresh(docs, "d", "t")
+    d, t, flag, tag, nth = fresh(docs, "d", "t", "kept", "tag", "nth")
     held = ids.filter("v IS NOT NULL AND doc_id IS NOT NULL")
     texts = held.groupBy("doc_id", "_tag").agg(F.min("v").alias("v"), F.count("*").alias("_n"))
     per = _of_text(texts, by_text)
     kept = F.col("_keep") == F.struct("doc_id", "_tag")
-    same = (F.col("doc_id") == F.col(d)) & (F.xxhash64("text") == F.col(t))
-    per = per.filter(~kept | (F.col("_n") > 1)).select(F.col("doc_id").alias(d), F.col("_tag").alias(t), kept.alias("_kept"))
-    per = materialise(per, "gone")
-    rest = docs.join(per.select(d, t), same, "left_anti")
-    return rest.unionByName(docs.join(per.filter("_kept").select(d, t), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    per = per.filter(~kept | (F.col("_n") > 1)).select(F.col("doc_id").alias(d), F.col("_tag").alias(t), kept.alias(flag))
+    # documents are shuffled once, at every size alike: rows that aren't named stay, of kept repeats the first
+    named = docs.withColumn(tag, F.xxhash64("text"))
+    both = named.join(materialise(per, "gone").hint("merge"), (F.col("doc_id") == F.col(d)) & (F.col(tag) == F.col(t)), "left")
+    first = F.row_number().over(Window.partitionBy("doc_id", tag).orderBy(tag)) == 1
+    held = both.withColumn(nth, first).filter(F.col(flag).isNull() | F.col(flag) & F.col(nth))
+    return held.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = """

@@ -39,7 +39,7 @@ FIRST_WINDOW = 24
 #: Outer tokens of a window that must agree.
 AGREE = 6
 #: Words and stretches whose ids a Python worker keeps, and characters encoded at once.
-CACHE_WORDS, PART_CHARS = 500_000, 4_000_000
+CACHE_WORDS, PART_CHARS = 250_000, 1_500_000
 #: Fixed: the splitter whose matches are runs of letters, single digits and runs of marks.
 WORD_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
@@ -468,6 +468,7 @@ def encode(docs: DataFrame, path: str, least: int = LEAF_CHARS, finish=raw_ids)
             for start, part in batches(batch.column("text").to_pylist(), PART_CHARS):
                 got = finish(path, *enc.flat(part))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(part)), *got.values()], ["doc_id", *names])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
