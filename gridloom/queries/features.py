@@ -269,7 +269,7 @@ def w2(spark, d):
     return s.rolling_features(base.series(spark, d))
 
 
-@query("w2_rolling_chunked", "series", "SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in _ROLL.items()) + " FROM series", " ".join(_ROLL))
+@query("w2_rolling_chunked", "series", "SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in _ROLL.items()) + " FROM series", " ".join(_ROLL), digits=7)
 def w2c(spark, d):
     return s.chunked(base.series(spark, d), lambda w: s.rolling_columns(w=w), max(s.WINDOWS), 256)
 
