@@ -79,14 +79,15 @@ def _psi(ref: Column, cur: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
 
-def psi_report(current: DataFrame, columns: list[str], reference: DataFrame | None = None, stats: DataFrame | None = None, threshold: float = HIGH) -> DataFrame:
+def psi_report(current: DataFrame, columns: list[str], reference: DataFrame | None = None, stats: DataFrame | None = None, threshold: float = HIGH, approx: bool = False) -> DataFrame:
     """feature, psi, drift_detected, severity, current_mean, reference_mean, pct_change, missing.
 
     Edges come from a reference table or, without one, from its statistics. Features that the
-    current rows lack, or have no values of, are reported without a psi.
+    current rows lack, or have no values of, are reported without a psi. ``approx`` takes edges of a
+    reference whose distinct values don't fit one task.
     """
     if reference is not None:
-        edges = quantile_edges(reference, columns)
+        edges = quantile_edges(reference, columns, approx=approx)
         ref = _counts(reference, columns, edges.select("feature", "edges")).select("feature", F.col("counts").alias("_ref"))
         edges = edges.join(ref, "feature", "left")
     else:

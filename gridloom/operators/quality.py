@@ -38,16 +38,20 @@ def outside(col: Column, lo: float | None, hi: float | None) -> Column:
     return F.coalesce(low | high, F.lit(False))
 
 
-def _counts(df: DataFrame, rules: dict, samples: int) -> DataFrame:
-    """One pass: for each rule its count and, with samples, the least and the greatest offending value."""
-    rules = {c: r for c, r in rules.items() if c in df.columns}
+def _count_columns(rules: dict, samples: int) -> list[Column]:
     aggs = []
     for c, (lo, hi) in rules.items():
         bad = outside(F.col(c), lo, hi)
         aggs.append(F.count_if(bad).alias(f"{c}_n"))
         if samples:  # extremes stand for samples: a list of all offenders would not be bounded
             aggs += [F.min(F.when(bad, F.col(c))).alias(f"{c}_lo"), F.max(F.when(bad, F.col(c))).alias(f"{c}_hi")]
-    one = df.agg(*aggs)
+    return aggs
+
+
+def _counts(df: DataFrame, rules: dict, samples: int) -> DataFrame:
+    """One pass: for each rule its count and, with samples, the least and the greatest offending value."""
+    rules = {c: r for c, r in rules.items() if c in df.columns}
+    one = df.agg(*_count_columns(rules, samples))
     rows = [
         F.struct(F.lit(c).alias("rule"), F.col(f"{c}_n").alias("n_bad"), *([F.col(f"{c}_lo").alias("least"), F.col(f"{c}_hi").alias("greatest")] if samples else []))
         for c in rules
@@ -67,12 +71,21 @@ def sample_violations(df: DataFrame, column: str, n: int = 5) -> DataFrame:
 
 def assert_weather(df: DataFrame) -> DataFrame:
     """The input, or an error that names the broken bounds."""
-    bad = [r for r in weather_violations(df).collect() if r["n_bad"]]  # a row for each rule
-    if bad:
-        raise ValueError("; ".join(f"{r['rule']}: {r['n_bad']} value(s) outside {HARD[r['rule']]}, from {r['least']} to {r['greatest']}" for r in bad))
+    checked_weather(df)
     return df
 
 
+def checked_weather(df: DataFrame, **more: Column) -> dict:
+    """An error that names the broken bounds, else the given aggregates' values, all from one pass."""
+    rules = {c: r for c, r in HARD.items() if c in df.columns}
+    columns = _count_columns(rules, 1) + [c.alias(n) for n, c in more.items()]
+    got = df.agg(*columns).first().asDict() if columns else {}
+    bad = [c for c in rules if got[f"{c}_n"]]
+    if bad:
+        raise ValueError("; ".join(f"{c}: {got[f'{c}_n']} value(s) outside {HARD[c]}, from {got[f'{c}_lo']} to {got[f'{c}_hi']}" for c in bad))
+    return {n: got[n] for n in more}
+
+
 def weather_warnings(df: DataFrame) -> DataFrame:
     return _counts(df, SOFT, 0)
 

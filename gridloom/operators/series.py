@@ -66,16 +66,40 @@ def diff_features(df: DataFrame, target: str = TARGET) -> DataFrame:
     return df.withColumns(diff_columns(target))
 
 
-def pct_change(col: str, k: int, w) -> tuple[Column, Column]:
+def filled_forward(col: str, k: int, w, filled: dict[str, str] | None = None) -> Column:
+    """The last value at or before the row k rows back; from a lag where ``filled`` names a column that
+    ``fill_forward`` has made, so that no frame is unbounded."""
+    if filled:
+        return F.lag(filled[col], k).over(w) if k else F.col(filled[col])
+    return F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -k))
+
+
+def pct_change(col: str, k: int, w, filled: dict[str, str] | None = None) -> tuple[Column, Column]:
     """Change over k rows in per cent, gaps filled forward, and whether it is 0/0. A change from 0 is
     null here (infinite in theory), so callers that must tell the two apart use the second column."""
-    filled = F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # the filled value k rows ago is the last value at or before that row
-    old = F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -k))
-    return (F.try_divide(filled, old) - 1) * 100, (old == 0) & (filled == 0)
+    now, old = filled_forward(col, 0, w, filled), filled_forward(col, k, w, filled)
+    return (F.try_divide(now, old) - 1) * 100, (old == 0) & (now == 0)
 
 
-def trend_columns(columns: list[str], w=None) -> dict[str, Column]:
+def fill_forward(df: DataFrame, columns: dict[str, str], block: int = 4_096, indexed: bool = False) -> DataFrame:
+    """The last value so far of each column, under the given names, over gaps of any length: within blocks
+    of rows, and for blocks that start with a gap from the last values of the blocks before.
+
+    ``indexed`` rows have their position ``_i`` already and keep it.
+    """
+    rows = df if indexed else row_index(df, "_i")
+    rows = rows.withColumn("_fb", F.floor(F.col("_i") / block).cast("long"))
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct("_i", F.col(c).alias("v"))))["v"].alias(f"_e_{c}") for c in columns]
+    ends = rows.groupBy(F.col(KEY).alias("_of"), F.col("_fb").alias("_at")).agg(*last)  # a row for each block
+    before = Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_of", "_at", *[F.last(f"_e_{c}", ignorenulls=True).over(before).alias(f"_e_{c}") for c in columns])
+    both = rows.join(carried, F.col(KEY).eqNullSafe(F.col("_of")) & (F.col("_fb") == F.col("_at")))
+    so_far = Window.partitionBy(KEY, "_fb").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    new = {name: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(f"_e_{c}")) for c, name in columns.items()}
+    return both.withColumns(new).select(*(rows if indexed else df).drop("_fb").columns, *columns.values())
+
+
+def trend_columns(columns: list[str], w=None, filled: dict[str, str] | None = None) -> dict[str, Column]:
     """Differences, momentum, deviation and volatility of weather, the current row included."""
     w = w if w is not None else over()
     diff = lambda c, k=1: F.col(c) - F.lag(c, k).over(w)
@@ -85,7 +109,7 @@ def trend_columns(columns: list[str], w=None) -> dict[str, Column]:
             continue
         out[f"{short}_diff_1h"] = diff(c)
         if c in ("temperature", "wind_speed"):
-            out[f"{short}_momentum"] = pct_change(c, 3, w)[0]
+            out[f"{short}_momentum"] = pct_change(c, 3, w, filled)[0]
             out[f"{short}_volatility_12h"] = F.stddev_samp(c).over(w.rowsBetween(-11, 0))
         if c == "temperature":
             out["temp_diff2_1h"] = diff(c) - (F.lag(c, 1).over(w) - F.lag(c, 2).over(w))
@@ -93,10 +117,10 @@ def trend_columns(columns: list[str], w=None) -> dict[str, Column]:
     return out
 
 
-def undefined_momentum(columns: list[str], w=None) -> Column:
+def undefined_momentum(columns: list[str], w=None, filled: dict[str, str] | None = None) -> Column:
     """Whether a momentum of the row is 0/0, which drops the row from the full feature set."""
     w = w if w is not None else over()
-    flags = [F.coalesce(pct_change(c, 3, w)[1], F.lit(False)) for c in ("temperature", "wind_speed") if c in columns]
+    flags = [F.coalesce(pct_change(c, 3, w, filled)[1], F.lit(False)) for c in ("temperature", "wind_speed") if c in columns]
     out = F.lit(False)
     for f in flags:
         out = out | f
@@ -115,16 +139,17 @@ def ewma_block(spans: list[int], block: int) -> int:
     return max(1, min(block, int(600 / -math.log(fastest))))
 
 
-def ewma_features(df: DataFrame, spans: list[int] = SPANS, target: str = TARGET, block: int = 256) -> DataFrame:
+def ewma_features(df: DataFrame, spans: list[int] = SPANS, target: str = TARGET, block: int = 256, indexed: bool = False) -> DataFrame:
     """Exponentially weighted means of all rows before the current one, weights (1-a)^i normalised.
 
     Two-level scan: within blocks of rows weighted sums are taken relative to the block's first row, and
     each block's start state follows from the totals of the blocks before it. Numerators and weights of
     present values go through the same scan, so gaps keep decaying, over any distance. No power grows
-    with the series; a series is one group only as a row for each block of it.
+    with the series; a series is one group only as a row for each block of it. ``indexed`` rows have their
+    position ``_i`` already and keep it.
     """
     block = ewma_block(spans, block)
-    rows = row_index(df, "_i")
+    rows = df if indexed else row_index(df, "_i")
     w = Window.partitionBy(KEY, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumns({"_b": F.floor(F.col("_i") / block).cast("long"), "_j": (F.col("_i") % block).cast("double")})
     x, seen = F.coalesce(F.col(target).cast("double"), F.lit(0.0)), F.col(target).isNotNull().cast("double")
@@ -215,14 +240,16 @@ def explained_variance(parts: DataFrame, target: str = TARGET) -> DataFrame:
     return rows.groupBy(KEY).agg((F.lit(1.0) - F.try_divide(F.var_pop("residual"), F.var_pop(target))).alias("explained"))
 
 
-def chunked(df: DataFrame, columns: Callable[[object], dict[str, Column]], reach: int, size: int = 100_000) -> DataFrame:
+def chunked(df: DataFrame, columns: Callable[[object], dict[str, Column]], reach: int, size: int = 100_000, indexed: bool = False) -> DataFrame:
     """Window columns of frames that look back ``reach`` rows at most, in chunks of ``size`` rows.
 
     ``columns`` gets the window to build on. The last ``reach`` rows of a chunk are copied into the
-    next one and dropped after the windows have run.
+    next one and dropped after the windows have run. ``indexed`` rows have their position ``_i`` already
+    and keep it.
     """
-    assert size >= reach
-    rows = row_index(df, "_i")
+    if size < reach:
+        raise ValueError(f"chunks of {size} rows are shorter than their reach of {reach}")
+    rows = df if indexed else row_index(df, "_i")
     at = F.floor(F.col("_i") / size).cast("long")
     home = F.struct(at.alias("chunk"), F.lit(True).alias("own"))
     halo = F.struct((at + 1).alias("chunk"), F.lit(False).alias("own"))
@@ -230,4 +257,4 @@ def chunked(df: DataFrame, columns: Callable[[object], dict[str, Column]], reach
     copies = rows.withColumn("_c", F.explode(F.when(near_end, F.array(home, halo)).otherwise(F.array(home))))
     placed = copies.select("*", "_c.chunk", "_c.own").drop("_c")
     w = Window.partitionBy(KEY, "chunk").orderBy("_i")
-    return placed.withColumns(columns(w)).filter("own").drop("_i", "chunk", "own")
+    return placed.withColumns(columns(w)).filter("own").drop("chunk", "own", *([] if indexed else ["_i"]))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from gridloom.functions.calendars import add_aliases, day_parts, holiday_features, temporal_features
 from gridloom.functions.regions import add_region_coords, one_hot_region
 from gridloom.functions.weather import inject_weather_defaults, weather_derived, winsorize
-from gridloom.operators.quality import assert_weather, numeric_columns, validate_features
-from gridloom.operators.series import TARGET, diff_columns, ewma_features, lag_columns, over, rolling_columns, trend_columns, undefined_momentum
+from gridloom.operators.quality import checked_weather, numeric_columns, validate_features
+from gridloom.operators.series import (
+    LAGS, TARGET, WINDOWS, chunked, diff_columns, ewma_features, fill_forward, filled_forward, lag_columns, over, rolling_columns, trend_columns, undefined_momentum,
+)
+from gridloom.operators.splits import row_index
 
 #: Fixed names: columns that are no features, besides the target.
 NOT_FEATURES = ["timestamp", "region", "year", "split", "fold", "role"]
@@ -39,43 +45,58 @@ def drop_warmup(df: DataFrame) -> DataFrame:
     return df.na.drop(subset=numeric_columns(df))
 
 
-def _base(df: DataFrame, winsor: bool, check: bool) -> DataFrame:
-    df = assert_weather(df) if check else df
+def _base(df: DataFrame, winsor: bool, check: bool, years: tuple[int, int] | None) -> DataFrame:
+    """Checked and completed weather with calendar and holidays. Bounds and years come from one pass, which
+    a caller who knows both leaves out."""
+    if check:
+        year = F.year("timestamp")
+        span = checked_weather(df, **({} if years else {"first": F.min(year), "last": F.max(year)}))
+        if not years and span["first"] is not None:
+            years = (span["first"], span["last"])
     df = winsorize(df) if winsor else df
-    return inject_weather_defaults(add_region_coords(df))
+    return holiday_features(temporal_features(inject_weather_defaults(add_region_coords(df))), years=years)
 
 
 def features_no_lags(df: DataFrame, winsor: bool = False, check: bool = True, years: tuple[int, int] | None = None) -> DataFrame:
     """Features of a single row: calendar, holidays, weather, interactions, region flags."""
-    out = holiday_features(temporal_features(_base(df, winsor, check)), years=years)
-    out = interaction_features(day_parts(add_aliases(out)))
+    out = interaction_features(day_parts(_base(df, winsor, check, years)))
     return validate_features(one_hot_region(add_aliases(out, no_lags=True)))
 
 
-def features_full(df: DataFrame, advanced: bool = False, winsor: bool = False, check: bool = True, years: tuple[int, int] | None = None) -> DataFrame:
+def features_full(
+    df: DataFrame, advanced: bool = False, winsor: bool = False, check: bool = True, years: tuple[int, int] | None = None, chunk: int | None = 100_000
+) -> DataFrame:
     """All features with history. Rows that lack one are dropped before infinities become null: 0/0
-    drops a row, x/0 keeps it."""
-    out = _base(df, winsor, check)
-    out = weather_derived(out) if advanced else out
-    out = add_aliases(holiday_features(temporal_features(out), years=years))
-    w = over()
-    new = lag_columns(w=w) | rolling_columns(w=w) | diff_columns(w=w)
-    endless: list[str] = []
-    if advanced:
-        new |= trend_columns(df.columns, w) | {"_undefined": undefined_momentum(df.columns, w)}
-        endless = [c for c in ("temp_momentum", "wind_momentum") if c in new]
-        for c, src in (("temp_momentum", "temperature"), ("wind_momentum", "wind_speed")):
-            if c in endless:  # an old value there but no quotient: a change from 0
-                new[f"_has_{c}"] = F.last(src, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -3)).isNotNull()
-    out = ewma_features(out.withColumns(new))
+    drops a row, x/0 keeps it.
+
+    Rows are numbered once, and windows run in chunks of ``chunk`` rows of a region; with None they run
+    over whole regions, which gives the same.
+    """
+    out = _base(df, winsor, check, years)
+    out = add_aliases(weather_derived(out) if advanced else out)
+    momenta = {c: name for c, name in (("temperature", "temp_momentum"), ("wind_speed", "wind_momentum")) if advanced and c in df.columns}
+    filled = None
+    if chunk:
+        out = row_index(out, "_i")
+        if momenta:
+            filled = {c: f"_f_{c}" for c in momenta}
+            out = fill_forward(out, filled, indexed=True)
+
+    def history(w: WindowSpec) -> dict[str, Column]:
+        new = lag_columns(w=w) | rolling_columns(w=w) | diff_columns(w=w)
+        if advanced:
+            new |= trend_columns(df.columns, w, filled) | {"_undefined": undefined_momentum(df.columns, w, filled)}
+        for c, name in momenta.items():  # an old value there but no quotient: a change from 0
+            new[f"_has_{name}"] = filled_forward(c, 3, w, filled).isNotNull()
+        return new
+
+    out = chunked(out, history, max(*LAGS, *WINDOWS), chunk, indexed=True) if chunk else out.withColumns(history(over()))
+    out = ewma_features(out, indexed=bool(chunk)).drop("_i", *(filled or {}).values())
     out = interaction_features(out)
     if "temperature" in out.columns:
         out = out.withColumn("temperature_squared", F.col("temperature") * F.col("temperature"))
-    needed = [c for c in numeric_columns(out) if c not in endless]
-    out = out.na.drop(subset=needed)
+    out = out.na.drop(subset=[c for c in numeric_columns(out) if c not in momenta.values()])
     if advanced:
-        out = out.filter(~F.col("_undefined"))
-        for c in endless:
-            out = out.filter(F.col(f"_has_{c}"))
-        out = out.drop("_undefined", *[f"_has_{c}" for c in endless])
+        flags = [f"_has_{name}" for name in momenta.values()]
+        out = out.filter(reduce(and_, map(F.col, flags), ~F.col("_undefined"))).drop("_undefined", *flags)
     return validate_features(out)

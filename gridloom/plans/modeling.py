@@ -173,11 +173,13 @@ def train_variant(
         params = params | {"maxIter": first.model.getNumTrees}
     final = fit_regressor(kind, train.unionByName(val), None, features, params)
     scored = final.predict(test)
-    return {
+    report = {
         "model": final, "cv": cv, "params": params, "tuning": tuning, "features": features, "importances": importances, "conformal": q,
         "metrics": overall_and_regions(scored, TARGET, "prediction"), "mase": mase(scored, train, TARGET, "prediction"),
         "baselines": evaluate_baselines(split, F.col("split") == "test"), "stats": feature_stats(train, features),
     }
+    split.unpersist()  # the lazy parts of the report read the input again
+    return report
 
 
 def train_per_region(df: DataFrame, features: list[str], label: str = TARGET, ridge: float = 1e-6) -> DataFrame:

@@ -9,18 +9,10 @@ from gridloom.functions.weather import inject_weather_defaults, winsorize
 from gridloom.operators import ingest, quality
 from gridloom.queries import base
 from gridloom.queries.base import query
+from gridloom.queries.base import scratch as _scratch
 from gridloom.sources import tables
 
 
-def _scratch(spark, name):
-    """A new folder below the shared one that the session names."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 @query("io1_readings", "readings", "SELECT count(*) AS n, sum(consumo) AS total, min(datahora) AS first FROM readings", "total", "n", 3)
 def io1(spark, d):
     path = _scratch(spark, "readings")

@@ -12,7 +12,7 @@ from gridloom.operators.splits import temporal_split
 from gridloom.plans import modeling, runs
 from gridloom.queries import base
 from gridloom.queries.base import query
-from gridloom.queries.ingest import _scratch
+from gridloom.queries.base import scratch as _scratch
 from gridloom.sources import tables
 
 FEATURES = ["hour", "day_of_week", "consumption_mw_lag_1", "consumption_mw_lag_2", "consumption_mw_lag_24"]

@@ -3,9 +3,6 @@ against the batch result in SQL."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from gridloom.operators import drift, monitor
@@ -13,6 +10,7 @@ from gridloom.queries import base
 from gridloom.queries.base import query
 from gridloom.streaming import streams
 
+ROWS_PER_FILE = 100_000
 COLS = ["temperature", "humidity", "wind_speed", "pressure"]
 
 
@@ -165,16 +163,17 @@ def st8(spark, d):
 
 
 def _stream(spark, df, order):
-    """Rows written in three parts one after the other and read as a stream of one file at a time,
-    the oldest first."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    """Rows dealt by time into three parts, which are written one after the other in equally many files, and
+    read as a stream of one part at a time, the oldest first."""
+    path = base.scratch(spark, "stream")
     at = F.unix_timestamp(F.col(order).cast("timestamp"))
     cuts = df.agg(F.percentile_approx(at, [1 / 3, 2 / 3]).alias("c")).first()["c"] or [0, 0]  # two numbers
-    parts = [df.filter(at < cuts[0]), df.filter((at >= cuts[0]) & (at < cuts[1])), df.filter(at >= cuts[1])]
-    for i, part in enumerate(parts):
-        part.coalesce(1).write.parquet(f"{path}/part={i}")
-    read = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+    wanted = [at < cuts[0], (at >= cuts[0]) & (at < cuts[1]), at >= cuts[1]]
+    sizes = df.agg(*[F.count_if(w).alias(f"n{i}") for i, w in enumerate(wanted)]).first()
+    files = max(1, min(sizes) // ROWS_PER_FILE)  # so many rows for each file that none stays empty
+    for i, w in enumerate(wanted):
+        df.filter(w).repartition(files).write.parquet(f"{path}/part={i}")
+    read = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files)
     return read.parquet(f"{path}/part=*"), f"{path}-checkpoint"
 
 

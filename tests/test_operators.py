@@ -1,4 +1,5 @@
 import datetime as dt
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -188,6 +189,57 @@ def test_full_features(spark):
     assert features.features_no_lags(df).count() == n
 
 
+def full_by_pandas(df):
+    """History of the full set, recomputed by region; rows without a value are dropped, changes from 0 stay."""
+    out = []
+    for _, g in df.toPandas().sort_values("timestamp").groupby("region"):
+        g, y = g.reset_index(drop=True), g["consumption_mw"].reset_index(drop=True)
+        past = y.shift(1)
+        for k in (1, 2, 3, 6, 12, 24, 48):
+            g[f"consumption_mw_lag_{k}"] = y.shift(k)
+        for k in (3, 6, 12, 24, 48):
+            for f in ("mean", "std", "min", "max"):
+                g[f"consumption_mw_rolling_{f}_{k}"] = getattr(past.rolling(k, min_periods=1), f)()
+        for k in (6, 12, 24, 48):
+            g[f"consumption_mw_ewma_{k}"] = past.ewm(span=k, min_periods=1).mean()
+        g["consumption_mw_diff_1"], g["consumption_mw_diff_24"] = past - y.shift(2), past - y.shift(25)
+        g["consumption_mw_range_24"] = past.rolling(24, min_periods=1).max() - past.rolling(24, min_periods=1).min()
+        t = g["temperature"]
+        g["temp_diff_1h"], g["temp_diff2_1h"] = t.diff(), t.diff().diff()
+        g["temp_deviation_24h"] = t - t.rolling(24, min_periods=1).mean()
+        for c, short in (("temperature", "temp"), ("wind_speed", "wind")):
+            g[f"{short}_volatility_12h"] = g[c].rolling(12, min_periods=1).std()
+            g[f"{short}_momentum"] = g[c].ffill().pct_change(3, fill_method=None) * 100
+        out.append(g.dropna().replace([np.inf, -np.inf], np.nan))
+    return pd.concat(out)
+
+
+@pytest.mark.parametrize("chunk", [48, 100_000, None])
+def test_full_features_equal_pandas(spark, chunk):
+    rng, parts = np.random.default_rng(8), []
+    for region, n in (("Lisboa", 170), ("Norte", 90), ("Centro", 20)):
+        h = F.hour("timestamp")
+        part = hourly(spark, rng.normal(1000, 50, n), region)
+        gap = F.dayofmonth("timestamp") == F.dayofmonth(F.lit(T0 + dt.timedelta(days=3)))
+        parts.append(part.withColumns({
+            "temperature": F.when(gap & (h > 2), None).when(h % 5 == 0, 0.0).otherwise(h + 1.0), "humidity": F.lit(60.0), "wind_speed": F.when(h == 7, 0.0).otherwise(h * 2.0),
+            "precipitation": F.lit(0.0), "cloud_cover": F.lit(30.0), "pressure": F.lit(1015.0),
+        }))
+    df = reduce(lambda a, b: a.unionByName(b), parts)
+    want = full_by_pandas(df).sort_values(["region", "timestamp"])
+    got = features.features_full(df, advanced=True, chunk=chunk).toPandas().sort_values(["region", "timestamp"])
+    assert len(want) > 100 and "_i" not in got.columns
+    assert got[["region", "timestamp"]].values.tolist() == want[["region", "timestamp"]].values.tolist()
+    for c in want.columns.difference(["region", "timestamp"]):
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-7, atol=1e-7, err_msg=c)
+
+
+def test_forward_fill_over_blocks(spark):
+    vals = [None, 1.0, None, None, None, None, None, 2.0, None, None]
+    got = series.fill_forward(hourly(spark, vals), {"consumption_mw": "f"}, block=2).orderBy("timestamp").collect()
+    assert [r["f"] for r in got] == [None, 1, 1, 1, 1, 1, 1, 2, 2, 2]
+
+
 def test_sequential_feeds_predictions_back(spark):
     hist = hourly(spark, range(1, 61))
     fut = spark.createDataFrame([("Lisboa", T0 + dt.timedelta(hours=60 + i)) for i in range(3)], "region string, timestamp timestamp")
