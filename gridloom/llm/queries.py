@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, media, ngram_join, quality, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
+from gridloom.llm import conversation_repair, decontaminate, line_clean, media, ngram_join, quality, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
 from gridloom.llm.common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,6 +63,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(spark, path)
 
 
+def op12_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_clean.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_ngram_join": op2_ngram_join,
@@ -74,6 +82,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
     "op10_media": op10_media,
+    "op12_line_clean": op12_line_clean,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES = {
@@ -81,4 +91,6 @@ ORACLES = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op5_tool_calls": tool_calls.ORACLE,
     "op9_urls": url_rules.ORACLE,
+    "op12_line_clean": line_clean.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }
