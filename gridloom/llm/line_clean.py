@@ -172,7 +172,7 @@ def with_lines(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``out`` of the columns in ``FIELDS``."""
     fields = T.StructType.fromDDL(FIELDS)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, fields)])
-    at = docs.columns.index(text)
+    at, names = docs.columns.index(text), [*docs.columns, out]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -180,7 +180,7 @@ def with_lines(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
             for lo, k in slices(texts):
                 got = measure(texts.slice(lo, k))
                 struct = pa.StructArray.from_arrays([got[f.name] for f in fields], names=fields.names)
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, k).columns, struct], names=[*docs.columns, out])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, k).columns, struct], names=names)
 
     return docs.mapInArrow(run, schema)
 
