@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import conversation_repair, decontaminate, line_clean, media, ngram_join, quality, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
+from gridloom.llm import conversation_repair, decontaminate, hard_negatives, line_clean, media, ngram_join, quality, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
 from gridloom.llm.common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,6 +63,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(spark, path)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_clean.digest(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
     "op10_media": op10_media,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_line_clean": op12_line_clean,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -91,6 +96,7 @@ ORACLES = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op5_tool_calls": tool_calls.ORACLE,
     "op9_urls": url_rules.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
     "op12_line_clean": line_clean.ORACLE,
     "op13_conversation_repair": conversation_repair.ORACLE,
 }
