@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.quantiles import attach, quantiles
+from gridloom.shared import materialise
+
 BINS = 10
 SMOOTH = 1e-6
 HIGH, LOW = 0.2, 0.1
@@ -17,24 +20,25 @@ def melt(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(F.array(*parts))).filter("value IS NOT NULL")
 
 
-def feature_stats(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
-    """feature, mean, std (population), min, max, q25, q50, q75 in long form, one pass over wide rows."""
-    f = F.percentile_approx if approx else F.percentile
+def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, mean, std (population), min, max, q25, q50, q75 in long form, over wide rows."""
     aggs = []
     for i, c in enumerate(columns):
         v = F.col(c).cast("double")
-        parts = {"mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v), "q25": f(v, F.lit(0.25)), "q50": f(v, F.lit(0.5)), "q75": f(v, F.lit(0.75))}
+        parts = {"mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)}
         aggs.append(F.struct(F.lit(c).alias("feature"), *[e.alias(k) for k, e in parts.items()]).alias(f"s{i}"))
-    return df.agg(*aggs).select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))])))
+    one = df.agg(*aggs).select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))])))
+    q = quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
+    return attach(one, q.select("feature", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]), ["feature"])
 
 
-def quantile_edges(reference: DataFrame, columns: list[str], bins: int = BINS, approx: bool = False) -> DataFrame:
+def quantile_edges(reference: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
     """feature, inner edges and mean of the reference. Equal quantiles are one edge; a constant has one bin."""
-    f = F.percentile_approx if approx else F.percentile
-    ps = [i / bins for i in range(bins + 1)]
-    aggs = [F.struct(F.lit(c).alias("feature"), f(F.col(c).cast("double"), F.lit(ps)).alias("q"), F.avg(c).alias("reference_mean")).alias(f"s{i}") for i, c in enumerate(columns)]
+    aggs = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("reference_mean")).alias(f"s{i}") for i, c in enumerate(columns)]
     one = reference.agg(*aggs).select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))])))
-    edges = F.array_distinct("q")
+    q = quantiles(reference, {c: F.col(c) for c in columns}, [i / bins for i in range(bins + 1)])
+    one = attach(one, q.select("feature", "q"), ["feature"])
+    edges = F.array_distinct(F.coalesce("q", F.array().cast("array<double>")))
     inner = F.when(F.size(edges) > 2, F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))).otherwise(F.array().cast("array<double>"))
     return one.select("feature", inner.alias("edges"), "reference_mean")
 
@@ -79,15 +83,14 @@ def _psi(ref: Column, cur: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
 
-def psi_report(current: DataFrame, columns: list[str], reference: DataFrame | None = None, stats: DataFrame | None = None, threshold: float = HIGH, approx: bool = False) -> DataFrame:
+def psi_report(current: DataFrame, columns: list[str], reference: DataFrame | None = None, stats: DataFrame | None = None, threshold: float = HIGH) -> DataFrame:
     """feature, psi, drift_detected, severity, current_mean, reference_mean, pct_change, missing.
 
     Edges come from a reference table or, without one, from its statistics. Features that the
-    current rows lack, or have no values of, are reported without a psi. ``approx`` takes edges of a
-    reference whose distinct values don't fit one task.
+    current rows lack, or have no values of, are reported without a psi.
     """
     if reference is not None:
-        edges = quantile_edges(reference, columns, approx=approx)
+        edges = materialise(quantile_edges(reference, columns), "edges")
         ref = _counts(reference, columns, edges.select("feature", "edges")).select("feature", F.col("counts").alias("_ref"))
         edges = edges.join(ref, "feature", "left")
     else:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.calendars import season
+from gridloom.operators.quantiles import with_quantiles
 from gridloom.operators.splits import row_index
 
 TARGET = "consumption_mw"
@@ -25,13 +26,12 @@ def corrected_kurtosis(col: str) -> Column:
     return F.when(n > 3, ((n + 1) * F.kurtosis(col) + 6) * (n - 1) / F.when(n > 3, (n - 2) * (n - 3)))
 
 
-def describe_target(df: DataFrame, col: str = TARGET, by: list[str] | None = None, approx: bool = False) -> DataFrame:
-    f = F.percentile_approx if approx else F.percentile
-    return df.groupBy(*(by or [])).agg(
-        F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"),
-        *[f(col, F.lit(p)).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))], F.max(col).alias("max"),
+def describe_target(df: DataFrame, col: str = TARGET, by: list[str] | None = None) -> DataFrame:
+    stats = df.groupBy(*(by or [])).agg(
+        F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"),
         corrected_skew(col).alias("skew"), corrected_kurtosis(col).alias("kurtosis"),
     )
+    return with_quantiles(stats, df, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by)
 
 
 def profile(df: DataFrame, by: list[str], col: str = TARGET, ts: str = "timestamp") -> DataFrame:

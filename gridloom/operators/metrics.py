@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.calendars import special_days, year_span, years_between
+from gridloom.operators.quantiles import with_quantiles
 from gridloom.operators.series import KEY, TS, baseline_columns
 
 #: Fixed names: report categories in order.
@@ -80,24 +81,28 @@ def mase(test: DataFrame, train: DataFrame, y: str, p: str, season: int = 24, in
     return both.withColumn("mase", F.try_divide("mae", F.when(F.col("naive_mae") > 0, F.col("naive_mae"))))
 
 
-def residual_aggs(y: str, p: str, approx: bool = False) -> list[Column]:
+#: Quantiles of residuals.
+RESIDUAL_QUANTILES = {"res_q25": 0.25, "res_median": 0.5, "res_q75": 0.75}
+
+
+def residual_aggs(y: str, p: str) -> list[Column]:
+    """All of residuals that one pass gives; ``RESIDUAL_QUANTILES`` are added by ranks."""
     r = F.col(y) - F.col(p)
-    f = F.percentile_approx if approx else F.percentile
     return [
         F.avg(r).alias("res_mean"), F.stddev_pop(r).alias("res_std"), F.min(r).alias("res_min"), F.max(r).alias("res_max"),
-        *[f(r, F.lit(q)).alias(n) for n, q in (("res_q25", 0.25), ("res_median", 0.5), ("res_q75", 0.75))],
         F.skewness(r).alias("res_skew"), F.kurtosis(r).alias("res_kurtosis"),
     ]
 
 
-def residual_stats(df: DataFrame, y: str, p: str, by: list[str] | None = None, approx: bool = False) -> DataFrame:
-    return df.groupBy(*(by or [])).agg(*residual_aggs(y, p, approx))
+def residual_stats(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
+    return with_quantiles(df.groupBy(*(by or [])).agg(*residual_aggs(y, p)), df, F.col(y) - F.col(p), RESIDUAL_QUANTILES, by)
 
 
-def metrics_summary(df: DataFrame, y: str, p: str, lo: str, hi: str, by: list[str] | None = None, expected: float = 0.90, approx: bool = False) -> DataFrame:
-    """Errors, coverage and residuals in one pass."""
+def metrics_summary(df: DataFrame, y: str, p: str, lo: str, hi: str, by: list[str] | None = None, expected: float = 0.90) -> DataFrame:
+    """Errors, coverage and residuals: one pass, and the ranks of residuals."""
     cover = [c for c in coverage_aggs(y, lo, hi, expected)][:7]
-    return df.groupBy(*(by or [])).agg(*regression_aggs(y, p), *cover, *residual_aggs(y, p, approx))
+    one = df.groupBy(*(by or [])).agg(*regression_aggs(y, p), *cover, *residual_aggs(y, p))
+    return with_quantiles(one, df, F.col(y) - F.col(p), RESIDUAL_QUANTILES, by)
 
 
 def error_breakdown(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
@@ -135,9 +140,8 @@ def day_type_report(df: DataFrame, y: str = "consumption_mw", p: str = "y_pred",
     return out.withColumn("n_hours", F.coalesce("n_hours", F.lit(0)).cast("long"))
 
 
-def conformal_quantile(df: DataFrame, y: str, p: str, alpha: float = 0.1, by: list[str] | None = None, approx: bool = False) -> DataFrame:
-    f = F.percentile_approx if approx else F.percentile
-    return df.groupBy(*(by or [])).agg(f(F.abs(F.col(y) - F.col(p)), F.lit(1 - alpha)).alias("q"), F.count("*").alias("n"))
+def conformal_quantile(df: DataFrame, y: str, p: str, alpha: float = 0.1, by: list[str] | None = None) -> DataFrame:
+    return with_quantiles(df.groupBy(*(by or [])).agg(F.count("*").alias("n")), df, F.abs(F.col(y) - F.col(p)), {"q": 1 - alpha}, by)
 
 
 def evaluate_baselines(df: DataFrame, test: Column, y: str = "consumption_mw") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.regions import REGIONS
 from gridloom.functions.weather import clip
+from gridloom.operators.quantiles import attach, quantiles, with_quantiles
 
 #: Hard bounds of observations (null: none).
 HARD = {
@@ -64,6 +65,17 @@ def weather_violations(df: DataFrame) -> DataFrame:
     return _counts(df, HARD, 1)
 
 
+def weather_samples(df: DataFrame, n: int = 5, rules: dict = HARD) -> DataFrame:
+    """rule, n_bad and samples: up to ``n`` different offending values of each rule, the least first. Values are
+    ranked where they lie before they meet, so no list is longer than ``n``."""
+    rules = {c: r for c, r in rules.items() if c in df.columns}
+    parts = [F.struct(F.lit(c).alias("rule"), F.when(outside(F.col(c), *r), F.col(c).cast("double")).alias("value")) for c, r in rules.items()]
+    bad = df.select(F.inline(F.array(*parts))).filter("value IS NOT NULL").groupBy("rule", "value").agg(F.count("*").alias("c"))
+    first = bad.withColumn("_r", F.row_number().over(Window.partitionBy("rule").orderBy("value"))).filter(F.col("_r") <= n)
+    lists = first.groupBy("rule").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    return attach(_counts(df, rules, 0), lists, ["rule"]).select("rule", "n_bad", F.coalesce("samples", F.array().cast("array<double>")).alias("samples"))
+
+
 def sample_violations(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     """A few offending values of one column."""
     return df.filter(outside(F.col(column), *HARD[column])).select(column).limit(n)
@@ -165,17 +177,12 @@ def valid_prediction(col: Column) -> Column:
     return F.coalesce(~F.isnan(col) & ~infinite(col) & (col >= 0), F.lit(False))
 
 
-def quantiles(col: str, ps: list[float], approx: bool) -> list[Column]:
-    f = F.percentile_approx if approx else F.percentile
-    return [f(col, F.lit(p)).alias(f"p{round(p * 100)}") for p in ps]
-
-
-def region_stats(df: DataFrame, col: str = "consumption_mw", approx: bool = False) -> DataFrame:
-    """Distribution by region; ``approx`` for groups whose distinct values don't fit one task."""
-    return df.groupBy("region").agg(
-        F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"),
-        *quantiles(col, [0.01, 0.5, 0.99], approx), F.max(col).alias("max"),
-    )
+def region_stats(df: DataFrame, col: str = "consumption_mw") -> DataFrame:
+    """Distribution by region."""
+    stats = df.groupBy("region").agg(
+        F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max")
+    )
+    return with_quantiles(stats, df, col, {"p1": 0.01, "p50": 0.5, "p99": 0.99}, ["region"])
 
 
 def coverage_report(df: DataFrame) -> DataFrame:
@@ -189,14 +196,19 @@ def coverage_report(df: DataFrame) -> DataFrame:
     )
 
 
-def national_report(df: DataFrame, low: float = 1000.0, approx: bool = False) -> DataFrame:
+def national_report(df: DataFrame, low: float = 1000.0) -> DataFrame:
     """Quantiles of the hourly total and the hours below ``low``: a row."""
     total = df.groupBy("timestamp").agg(F.sum("consumption_mw").alias("total"))
     short = F.col("total") < low
-    return total.agg(
-        F.count("*").alias("n_hours"), *quantiles("total", [0.01, 0.05, 0.5, 0.95, 0.99], approx),
-        F.count_if(short).alias("n_low"), F.min(F.when(short, F.col("timestamp"))).alias("first_low"),
-    ).withColumn("low_pct", F.try_divide(F.col("n_low") * 100.0, F.col("n_hours")))
+    one = total.agg(F.count("*").alias("n_hours"), F.count_if(short).alias("n_low"), F.min(F.when(short, F.col("timestamp"))).alias("first_low"))
+    one = one.withColumn("low_pct", F.try_divide(F.col("n_low") * 100.0, F.col("n_hours")))
+    return with_quantiles(one, total, "total", {f"p{round(p * 100)}": p for p in (0.01, 0.05, 0.5, 0.95, 0.99)})
+
+
+def low_hours(df: DataFrame, low: float = 1000.0, n: int = 10) -> DataFrame:
+    """timestamp and total of the ``n`` lowest hours below ``low``, the lowest first."""
+    total = df.groupBy("timestamp").agg(F.sum("consumption_mw").alias("total"))
+    return total.filter(F.col("total") < low).orderBy("total", "timestamp").limit(n)
 
 
 def weather_sanity(df: DataFrame, columns: list[str] = WEATHER) -> DataFrame:
@@ -208,28 +220,51 @@ def weather_sanity(df: DataFrame, columns: list[str] = WEATHER) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
-def outlier_bounds(df: DataFrame, col: str, method: str = "iqr", approx: bool = False) -> DataFrame:
-    """One row: lo and hi fence (1.5 interquartile ranges, or 3 population deviations)."""
+def _fences(df: DataFrame, columns: list[str], method: str, by: list[str]) -> DataFrame:
+    """by, feature, lo and hi: 1.5 interquartile ranges, or 3 population deviations."""
     if method == "iqr":
-        f = F.percentile_approx if approx else F.percentile
-        q = df.agg(f(col, F.lit(0.25)).alias("a"), f(col, F.lit(0.75)).alias("b"))
-        return q.select((F.col("a") - (F.col("b") - F.col("a")) * 1.5).alias("lo"), (F.col("b") + (F.col("b") - F.col("a")) * 1.5).alias("hi"))
-    m = df.agg(F.avg(col).alias("m"), F.stddev_pop(col).alias("s"))
-    return m.select((F.col("m") - F.col("s") * 3).alias("lo"), (F.col("m") + F.col("s") * 3).alias("hi"))
+        q = quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.75], by)
+        a, b = F.col("q")[0], F.col("q")[1]
+        return q.select(*by, "feature", (a - (b - a) * 1.5).alias("lo"), (b + (b - a) * 1.5).alias("hi"))
+    if method != "z":
+        raise ValueError(f"unknown method {method!r}")
+    parts = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"s{i}") for i, c in enumerate(columns)]
+    m = df.groupBy(*by).agg(*parts).select(*by, F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))])))
+    return m.select(*by, "feature", (F.col("m") - F.col("s") * 3).alias("lo"), (F.col("m") + F.col("s") * 3).alias("hi"))
 
 
-def outliers(df: DataFrame, col: str, method: str = "iqr", approx: bool = False) -> DataFrame:
+def outlier_bounds(df: DataFrame, col: str, method: str = "iqr") -> DataFrame:
+    """One row: lo and hi fence (1.5 interquartile ranges, or 3 population deviations)."""
+    return _fences(df, [col], method, []).select("lo", "hi")
+
+
+def outliers(df: DataFrame, col: str, method: str = "iqr") -> DataFrame:
     """Rows outside the fences, which come as two numbers through the driver."""
-    b = outlier_bounds(df, col, method, approx).first()
+    b = outlier_bounds(df, col, method).first()
+    if b is None or b["lo"] is None:
+        return df.filter(F.lit(False))
     return df.filter((F.col(col) < F.lit(b["lo"])) | (F.col(col) > F.lit(b["hi"])))
 
 
-def box_stats(df: DataFrame, col: str, by: list[str], approx: bool = False) -> DataFrame:
-    f = F.percentile_approx if approx else F.percentile
-    return df.groupBy(*by).agg(
-        F.min(col).alias("least"), *[f(col, F.lit(p)).alias(n) for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))],
-        F.max(col).alias("greatest"), F.count(col).alias("n"),
-    )
+def outlier_report(df: DataFrame, columns: list[str], methods: tuple = ("iqr", "z"), by: list[str] | None = None) -> DataFrame:
+    """by, feature, method, lo, hi, n (values), n_below, n_above and pct (of values outside) of several columns."""
+    by = list(by or [])
+    each = [_fences(df, columns, m, by).withColumn("method", F.lit(m)) for m in methods]
+    fences = reduce(DataFrame.unionByName, each)
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    rows = df.select(*by, F.inline(parts)).filter("value IS NOT NULL")
+    met = attach(rows, fences.groupBy(*by, "feature").agg(F.collect_list(F.struct("method", "lo", "hi")).alias("_f")), [*by, "feature"])
+    low = [F.count_if(F.col("value") < F.col("_f")[i]["lo"]).alias(f"b{i}") for i in range(len(methods))]
+    high = [F.count_if(F.col("value") > F.col("_f")[i]["hi"]).alias(f"a{i}") for i in range(len(methods))]
+    counts = met.groupBy(*by, "feature", "_f").agg(F.count("*").alias("n"), *low, *high)  # few methods for each feature
+    long = F.array(*[F.struct(F.col("_f")[i]["method"].alias("method"), F.col("_f")[i]["lo"].alias("lo"), F.col("_f")[i]["hi"].alias("hi"), F.col(f"b{i}").alias("n_below"), F.col(f"a{i}").alias("n_above")) for i in range(len(methods))])
+    out = counts.select(*by, "feature", "n", F.inline(long))
+    return out.withColumn("pct", (F.col("n_below") + F.col("n_above")) * 100.0 / F.col("n"))
+
+
+def box_stats(df: DataFrame, col: str, by: list[str]) -> DataFrame:
+    stats = df.groupBy(*by).agg(F.min(col).alias("least"), F.max(col).alias("greatest"), F.count(col).alias("n"))
+    return with_quantiles(stats, df, col, {"q25": 0.25, "median": 0.5, "q75": 0.75}, by)
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.regions import CODE_RANGES
+from gridloom.shared import scratch
+
+__all__ = ["ORACLES", "QUERIES", "query", "role_sql", "scratch", "tidy"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,14 +82,6 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*new)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share; a local session may do without a named one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{name}-{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

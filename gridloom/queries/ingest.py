@@ -320,6 +320,40 @@ def a18(spark, d):
     return quality.box_stats(base.series(spark, d), "consumption_mw", ["region"])
 
 
+_FEATURES = ["temperature", "humidity", "wind_speed", "consumption_mw"]
+_OUT = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, '{m}' AS method, lo, hi, count(*) AS n, count(*) FILTER (v < lo) AS n_below, count(*) FILTER (v > hi) AS n_above, count(*) FILTER (v < lo OR v > hi) * 100.0 / count(*) AS pct"
+    f" FROM (SELECT {c} AS v FROM weather), (SELECT {lo.format(c=c)} AS lo, {hi.format(c=c)} AS hi FROM weather) GROUP BY lo, hi"
+    for c in _FEATURES
+    for m, lo, hi in (
+        ("iqr", "2.5 * quantile_cont({c}, 0.25) - 1.5 * quantile_cont({c}, 0.75)", "2.5 * quantile_cont({c}, 0.75) - 1.5 * quantile_cont({c}, 0.25)"),
+        ("z", "avg({c}) - 3 * stddev_pop({c})", "avg({c}) + 3 * stddev_pop({c})"),
+    )
+)
+
+
+@query("a17_outlier_report", "weather", _OUT, "lo hi pct", "n n_below n_above", 5)
+def a17r(spark, d):
+    return quality.outlier_report(base.weather(spark, d), _FEATURES)
+
+
+@query("a6_low_hours", "ehourly", "SELECT timestamp, sum(consumption_mw) AS total FROM ehourly GROUP BY 1 HAVING sum(consumption_mw) < 200 ORDER BY total, timestamp LIMIT 10", "total")
+def a6l(spark, d):
+    return quality.low_hours(base.event_hourly(spark, d), 200.0)
+
+
+@query(
+    "p5_weather_samples", "weather",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS rule, count(*) FILTER ({b}) AS n_bad, array_to_string(list_transform(list_sort(list_distinct(coalesce(list({c}::DOUBLE) FILTER ({b}), [])))[1:5], lambda x: printf('%.3f', x)), ' ') AS samples FROM ({_SHIFT})"
+        for c, b in _rule_sql(quality.HARD)
+    ), "", "n_bad",
+)
+def p5s(spark, d):
+    found = quality.weather_samples(_shifted(spark, d))
+    return found.select("rule", "n_bad", F.array_join(F.transform("samples", lambda x: F.format_string("%.3f", x)), " ").alias("samples"))
+
+
 @query("a18_histogram", "series", "SELECT least(floor((consumption_mw - a) * 50 / (b - a)) + 1, 50) AS bin, count(*) AS n FROM series, (SELECT min(consumption_mw) AS a, max(consumption_mw) AS b FROM series) GROUP BY 1", "", "bin n")
 def a18h(spark, d):
     return quality.histogram(base.series(spark, d), "consumption_mw", 50)
