@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.calendars import special_days, year_span, years_between
 from gridloom.operators.quantiles import with_quantiles
-from gridloom.operators.series import KEY, TS, baseline_columns
+from gridloom.operators.series import KEY, TS, baseline_columns, baseline_forecasts, windowed
 
 #: Fixed names: report categories in order.
 DAY_TYPES = ["weekday", "saturday", "sunday", "fixed_holiday", "easter_holiday", "bridge"]
@@ -74,8 +74,8 @@ def mase(test: DataFrame, train: DataFrame, y: str, p: str, season: int = 24, in
         own = test.agg(F.avg(F.abs(F.col(y) - F.col(p))).alias("mae"))
         one = own.withColumn("_k", F.lit(1)).join(naive.withColumn("_k", F.lit(1)), "_k").drop("_k")
         return one.withColumn("mase", F.try_divide("mae", F.when(F.col("naive_mae") > 0, F.col("naive_mae"))))
-    back = F.lag(y, season).over(Window.partitionBy(KEY).orderBy(TS))
-    naive = train.withColumn("_d", F.abs(F.col(y) - back)).groupBy(KEY).agg(F.avg("_d").alias("naive_mae"))
+    back = windowed(train.select(KEY, TS, y), lambda w: {"_old": F.lag(y, season).over(w)}, season)
+    naive = back.withColumn("_d", F.abs(F.col(y) - F.col("_old"))).groupBy(KEY).agg(F.avg("_d").alias("naive_mae"))
     own = test.groupBy(KEY).agg(F.avg(F.abs(F.col(y) - F.col(p))).alias("mae"))
     both = own.join(naive, KEY, "left")
     return both.withColumn("mase", F.try_divide("mae", F.when(F.col("naive_mae") > 0, F.col("naive_mae"))))
@@ -146,8 +146,8 @@ def conformal_quantile(df: DataFrame, y: str, p: str, alpha: float = 0.1, by: li
 
 def evaluate_baselines(df: DataFrame, test: Column, y: str = "consumption_mw") -> DataFrame:
     """baseline, region (null: all) and metrics on test rows; forecasts see the rows before them."""
-    cols = baseline_columns(y)
-    wide = df.withColumns(cols).filter(test)
+    cols = list(baseline_columns(y))
+    wide = baseline_forecasts(df, y).filter(test)
     long = wide.select(KEY, F.col(y).alias("_y"), F.inline(F.array(*[F.struct(F.lit(n).alias("baseline"), F.col(n).alias("_p")) for n in cols])))
     sets = [[F.col("baseline")], [F.col("baseline"), F.col(KEY)]]
     return long.groupingSets(sets, F.col("baseline"), F.col(KEY)).agg(*regression_aggs("_y", "_p"))

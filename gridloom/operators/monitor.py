@@ -5,33 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import scans
+from gridloom.operators.quantiles import attach
+from gridloom.operators.series import CHUNK, chunked, longest, windowed
+from gridloom.operators.splits import row_index
+
 WINDOW, NOMINAL, ALERT_BELOW = 168, 0.90, 0.80
 LEAST, SIGMAS = 10, 3.0
 
 
-def rolling_coverage(df: DataFrame, size: int = WINDOW, keys: list[str] | None = None, order: tuple = ("timestamp",)) -> DataFrame:
-    """coverage of the last ``size`` events up to each, n, alert and error, by region. With other keys
-    (none: all events in one order, which is one task) the caller takes care of their number."""
+def _coverage(size: int):
+    """Columns of trailing coverage over a window's last ``size`` events."""
+
+    def columns(w) -> dict:
+        near = w.rowsBetween(-size + 1, 0)
+        hit = ((F.col("actual") >= F.col("lower")) & (F.col("actual") <= F.col("upper"))).cast("double")
+        share = F.round(F.avg(hit).over(near), 4)
+        return {"coverage": share, "n_window": F.count(hit).over(near), "alert": share < ALERT_BELOW, "coverage_error": share - NOMINAL}
+
+    return columns
+
+
+def rolling_coverage(df: DataFrame, size: int = WINDOW, keys: list[str] | None = None, ties: tuple = (), chunk: int = CHUNK) -> DataFrame:
+    """coverage of the last ``size`` events up to each, n, alert and error, by region or other keys. With none
+    (``[]``) all events are one order, of time and then ``ties`` (the region unless given). More than ``chunk``
+    events of a key are windowed in chunks."""
     keys = ["region"] if keys is None else keys
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-size + 1, 0)
-    hit = ((F.col("actual") >= F.col("lower")) & (F.col("actual") <= F.col("upper"))).cast("double")
-    share = F.round(F.avg(hit).over(w), 4)
-    return df.withColumns({"coverage": share, "n_window": F.count(hit).over(w), "alert": share < ALERT_BELOW, "coverage_error": share - NOMINAL})
+    ties = ties or (() if keys else ("region",))
+    return windowed(df, _coverage(size), size - 1, keys=tuple(keys), ties=ties, size=chunk)
 
 
-def coverage_by_epoch(df: DataFrame, size: int = WINDOW, keys: list[str] | None = None) -> DataFrame:
-    """The same, begun anew after every event with ``reload`` set."""
+def coverage_by_epoch(df: DataFrame, size: int = WINDOW, keys: list[str] | None = None, chunk: int = CHUNK, block: int = scans.BLOCK) -> DataFrame:
+    """The same, begun anew after every event with ``reload`` set. Epochs are numbered by a scan over blocks,
+    and one of any length is windowed in chunks, where a key has more than ``chunk`` events."""
     keys = ["region"] if keys is None else keys
-    w = Window.partitionBy(*keys).orderBy("timestamp")
-    return rolling_coverage(df.withColumn("epoch", F.sum(F.col("reload").cast("int")).over(w)), size, [*keys, "epoch"])
+    if longest(df, tuple(keys)) <= chunk:
+        w = Window.partitionBy(*keys).orderBy("timestamp")
+        return df.withColumn("epoch", F.sum(F.col("reload").cast("int")).over(w)).withColumns(_coverage(size)(Window.partitionBy(*keys, "epoch").orderBy("timestamp")))
+    rows = scans.running_sum(row_index(df, "_i", "timestamp", keys), "epoch", F.col("reload").cast("int"), keys, "_i", block)
+    return chunked(rows, _coverage(size), size - 1, max(chunk, size), indexed=True, keys=tuple(keys), within=("epoch",)).drop("_i")
 
 
-def residual_anomalies(df: DataFrame, size: int = WINDOW, least: int = LEAST, sigmas: float = SIGMAS, order: tuple = ("timestamp",)) -> DataFrame:
+def residual_anomalies(df: DataFrame, size: int = WINDOW, least: int = LEAST, sigmas: float = SIGMAS, chunk: int = CHUNK) -> DataFrame:
     """Flag against the deviation of the region's previous residuals, the event's own not among them."""
-    w = Window.partitionBy("region").orderBy(*order).rowsBetween(-size, -1)
-    r = F.col("actual") - F.col("predicted")
-    std, n = F.stddev_pop(r).over(w), F.count(r).over(w)
-    out = df.withColumns({"residual": r, "window_std": std, "n_window": n})
+
+    def columns(w) -> dict:
+        r, before = F.col("actual") - F.col("predicted"), w.rowsBetween(-size, -1)
+        return {"residual": r, "window_std": F.stddev_pop(r).over(before), "n_window": F.count(r).over(before)}
+
+    out = windowed(df, columns, size, size=chunk)
     ready = (F.col("n_window") >= least) & (F.col("window_std") > 0)
     z = F.when(ready, F.abs("residual") / F.when(F.col("window_std") > 0, F.col("window_std")))
     return out.withColumn("z", z).withColumn("is_anomaly", F.coalesce(F.col("z") > sigmas, F.lit(False)))
@@ -40,12 +62,11 @@ def residual_anomalies(df: DataFrame, size: int = WINDOW, least: int = LEAST, si
 def anomaly_summary(flagged: DataFrame, size: int = WINDOW) -> DataFrame:
     """By region: events, anomalies, rate, rows in the window and its deviation after the last event."""
     back = F.row_number().over(Window.partitionBy("region").orderBy(F.col("timestamp").desc()))
-    rows = flagged.withColumn("_r", back)
-    recent = F.when(F.col("_r") <= size, F.col("residual"))
-    return rows.groupBy("region").agg(
-        F.count("*").alias("n"), F.count_if("is_anomaly").alias("n_anomalies"), F.avg(F.col("is_anomaly").cast("double")).alias("rate"),
-        F.count(recent).alias("window_fill"), F.stddev_pop(recent).alias("current_std"),
-    )
+    # the filter on the rank is applied where rows lie, so no task sorts a whole region
+    recent = flagged.select("region", "timestamp", "residual").withColumn("_r", back).filter(F.col("_r") <= size)
+    recent = recent.groupBy("region").agg(F.count("residual").alias("window_fill"), F.stddev_pop("residual").alias("current_std"))
+    totals = flagged.groupBy("region").agg(F.count("*").alias("n"), F.count_if("is_anomaly").alias("n_anomalies"), F.avg(F.col("is_anomaly").cast("double")).alias("rate"))
+    return attach(totals, recent, ["region"])
 
 
 def recent_anomalies(flagged: DataFrame, n: int = 100, region: str | None = None) -> DataFrame:
@@ -54,15 +75,19 @@ def recent_anomalies(flagged: DataFrame, n: int = 100, region: str | None = None
     return rows.orderBy(F.col("timestamp").desc(), "region").limit(min(n, 1000))
 
 
-def sustained_alerts(df: DataFrame, hold: str, keys: list[str], condition: str = "condition", ts: str = "timestamp") -> DataFrame:
+def sustained_alerts(df: DataFrame, hold: str, keys: list[str], condition: str = "condition", ts: str = "timestamp", chunk: int = CHUNK, block: int = scans.BLOCK) -> DataFrame:
     """Runs of samples in which the condition holds without a break for ``hold`` or longer: keys,
-    started, ended, fired (start plus hold), n_samples."""
-    w = Window.partitionBy(*keys).orderBy(ts)
+    started, ended, fired (start plus hold), n_samples. Where a key has more than ``chunk`` samples, runs are
+    found in blocks and put together at the blocks' ends."""
     on = F.coalesce(F.col(condition), F.lit(False))
-    rows = df.withColumns({"_on": on, "_run": F.sum(F.when(on, 0).otherwise(1)).over(w)})
-    runs = rows.filter("_on").groupBy(*keys, "_run").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n_samples"))
+    if longest(df, tuple(keys)) <= chunk:
+        w = Window.partitionBy(*keys).orderBy(ts)
+        rows = df.withColumns({"_on": on, "_run": F.sum(F.when(on, 0).otherwise(1)).over(w)})
+        found = rows.filter("_on").groupBy(*keys, "_run").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n_samples")).drop("_run")
+    else:
+        found = scans.runs(df, on, keys, ts, block)
     wait = F.expr(f"interval {hold}")
-    return runs.filter(F.col("ended") - wait >= F.col("started")).withColumn("fired", F.col("started") + wait).drop("_run")
+    return found.filter(F.col("ended") - wait >= F.col("started")).withColumn("fired", F.col("started") + wait)
 
 
 def serving_rollup(df: DataFrame, window: str = "5 minutes") -> DataFrame:

@@ -2,7 +2,8 @@
 
 All are ordered by timestamp within a region. With few regions and long histories a window by region
 alone is a handful of huge tasks; ``chunked`` splits series by row index into chunks that carry the
-rows before them, so that frames of bounded length run in as many tasks as there are chunks.
+rows around them, so that frames of bounded length run in as many tasks as there are chunks. Every operator here
+does so for series of more than ``CHUNK`` rows (``windowed``).
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.splits import row_index
+from gridloom.shared import fresh
 
 LAGS = [1, 2, 3, 6, 12, 24, 48]
 WINDOWS = [3, 6, 12, 24, 48]
 SPANS = [6, 12, 24, 48]
 HORIZONS = [1, 6, 12, 24]
 TARGET, KEY, TS = "consumption_mw", "region", "timestamp"
+#: Rows of a series that one task windows; longer series run in chunks of so many.
+CHUNK = 100_000
 
 
 def over(key: str = KEY, ts: str = TS):
@@ -34,7 +38,7 @@ def lag_columns(lags: list[int] = LAGS, target: str = TARGET, w=None) -> dict[st
 
 
 def lag_features(df: DataFrame, lags: list[int] = LAGS, target: str = TARGET) -> DataFrame:
-    return df.withColumns(lag_columns(lags, target))
+    return windowed(df, lambda w: lag_columns(lags, target, w), max(lags))
 
 
 def rolling_columns(windows: list[int] = WINDOWS, target: str = TARGET, w=None) -> dict[str, Column]:
@@ -49,7 +53,7 @@ def rolling_columns(windows: list[int] = WINDOWS, target: str = TARGET, w=None)
 
 
 def rolling_features(df: DataFrame, windows: list[int] = WINDOWS, target: str = TARGET) -> DataFrame:
-    return df.withColumns(rolling_columns(windows, target))
+    return windowed(df, lambda w: rolling_columns(windows, target, w), max(windows))
 
 
 def diff_columns(target: str = TARGET, w=None) -> dict[str, Column]:
@@ -63,7 +67,7 @@ def diff_columns(target: str = TARGET, w=None) -> dict[str, Column]:
 
 
 def diff_features(df: DataFrame, target: str = TARGET) -> DataFrame:
-    return df.withColumns(diff_columns(target))
+    return windowed(df, lambda w: diff_columns(target, w), 25)
 
 
 def filled_forward(col: str, k: int, w, filled: dict[str, str] | None = None) -> Column:
@@ -127,8 +131,13 @@ def undefined_momentum(columns: list[str], w=None, filled: dict[str, str] | None
     return out
 
 
-def trend_features(df: DataFrame) -> DataFrame:
-    return df.withColumns(trend_columns(df.columns))
+def trend_features(df: DataFrame, size: int = CHUNK) -> DataFrame:
+    if longest(df) <= size:
+        return df.withColumns(trend_columns(df.columns))
+    filled = {c: f"_f_{c}" for c in ("temperature", "wind_speed") if c in df.columns}
+    rows = fill_forward(row_index(df, "_i"), filled, indexed=True)
+    out = chunked(rows, lambda w: trend_columns(df.columns, w, filled), 24, max(size, 24), indexed=True)
+    return out.drop("_i", *filled.values())
 
 
 def ewma_block(spans: list[int], block: int) -> int:
@@ -189,8 +198,8 @@ def ewma_features(df: DataFrame, spans: list[int] = SPANS, target: str = TARGET,
 
 def horizon_targets(df: DataFrame, horizons: list[int] = HORIZONS, target: str = TARGET) -> DataFrame:
     """Future targets; rows without all of them are left out."""
-    cols = {f"target_{h}h": F.lead(target, h).over(over()) for h in horizons}
-    return df.withColumns(cols).na.drop(subset=list(cols))
+    cols = lambda w: {f"target_{h}h": F.lead(target, h).over(w) for h in horizons}
+    return windowed(df, cols, 0, max(horizons)).na.drop(subset=[f"target_{h}h" for h in horizons])
 
 
 def baseline_columns(target: str = TARGET, w=None) -> dict[str, Column]:
@@ -201,7 +210,7 @@ def baseline_columns(target: str = TARGET, w=None) -> dict[str, Column]:
 
 def baseline_forecasts(df: DataFrame, target: str = TARGET) -> DataFrame:
     """One step ahead: last value, last season, trailing mean."""
-    return df.withColumns(baseline_columns(target))
+    return windowed(df, lambda w: baseline_columns(target, w), 168)
 
 
 def baseline_multistep(df: DataFrame, steps: int, seasons: tuple = (24, 168), windows: tuple = (24, 168), target: str = TARGET) -> DataFrame:
@@ -218,15 +227,19 @@ def baseline_multistep(df: DataFrame, steps: int, seasons: tuple = (24, 168), wi
     return per.select(KEY, "step", "persistence", *tiled, *[f"moving_average_{k}" for k in windows])
 
 
-def seasonal_decompose(df: DataFrame, period: int = 24, target: str = TARGET) -> DataFrame:
+def seasonal_decompose(df: DataFrame, period: int = 24, target: str = TARGET, size: int = CHUNK) -> DataFrame:
     """Additive parts of a regular series: centred moving average, phase means (centred), rest."""
-    w = Window.partitionBy(KEY).orderBy(TS)
     half = period // 2
-    inner = F.sum(target).over(w.rowsBetween(-half + 1, half - 1))
-    ends = F.lag(target, half).over(w) + F.lead(target, half).over(w)
-    trend = (inner + ends / 2) / period if period % 2 == 0 else F.avg(target).over(w.rowsBetween(-half, half))
-    complete = F.lag(target, half).over(w).isNotNull() & F.lead(target, half).over(w).isNotNull()
-    parts = row_index(df, "_i").withColumns({"trend": F.when(complete, trend), "_phase": F.col("_i") % period})
+
+    def trend(w) -> dict[str, Column]:
+        inner = F.sum(target).over(w.rowsBetween(-half + 1, half - 1))
+        ends = F.lag(target, half).over(w) + F.lead(target, half).over(w)
+        mean = (inner + ends / 2) / period if period % 2 == 0 else F.avg(target).over(w.rowsBetween(-half, half))
+        complete = F.lag(target, half).over(w).isNotNull() & F.lead(target, half).over(w).isNotNull()
+        return {"trend": F.when(complete, mean)}
+
+    parts = chunked(row_index(df, "_i"), trend, half, max(size, half), indexed=True, ahead=half)
+    parts = parts.withColumn("_phase", F.col("_i") % period)
     parts = parts.withColumn("_detrended", F.col(target) - F.col("trend"))
     phase = parts.groupBy(KEY, "_phase").agg(F.avg("_detrended").alias("_m"))  # period rows for each series
     phase = phase.withColumn("seasonal", F.col("_m") - F.avg("_m").over(Window.partitionBy(KEY))).drop("_m")
@@ -240,21 +253,41 @@ def explained_variance(parts: DataFrame, target: str = TARGET) -> DataFrame:
     return rows.groupBy(KEY).agg((F.lit(1.0) - F.try_divide(F.var_pop("residual"), F.var_pop(target))).alias("explained"))
 
 
-def chunked(df: DataFrame, columns: Callable[[object], dict[str, Column]], reach: int, size: int = 100_000, indexed: bool = False) -> DataFrame:
-    """Window columns of frames that look back ``reach`` rows at most, in chunks of ``size`` rows.
+def chunked(
+    df: DataFrame, columns: Callable[[object], dict[str, Column]], reach: int, size: int = CHUNK, indexed: bool = False, ahead: int = 0,
+    keys: tuple[str, ...] = (KEY,), within: tuple[str, ...] = (), ties: tuple = (),
+) -> DataFrame:
+    """Window columns of frames that look back ``reach`` rows and forward ``ahead`` rows at most, in chunks
+    of ``size`` rows of each series (``keys``; none: all rows in one order).
 
-    ``columns`` gets the window to build on. The last ``reach`` rows of a chunk are copied into the
-    next one and dropped after the windows have run. ``indexed`` rows have their position ``_i`` already
-    and keep it.
+    ``columns`` gets the window to build on; it is cut by the columns ``within`` too. Rows near the ends of a chunk
+    are copied into the next one or the one before and dropped after the windows have run. ``indexed`` rows have
+    their position ``_i`` already and keep it.
     """
-    if size < reach:
-        raise ValueError(f"chunks of {size} rows are shorter than their reach of {reach}")
-    rows = df if indexed else row_index(df, "_i")
-    at = F.floor(F.col("_i") / size).cast("long")
-    home = F.struct(at.alias("chunk"), F.lit(True).alias("own"))
-    halo = F.struct((at + 1).alias("chunk"), F.lit(False).alias("own"))
-    near_end = F.col("_i") % size >= size - reach
-    copies = rows.withColumn("_c", F.explode(F.when(near_end, F.array(home, halo)).otherwise(F.array(home))))
-    placed = copies.select("*", "_c.chunk", "_c.own").drop("_c")
-    w = Window.partitionBy(KEY, "chunk").orderBy("_i")
-    return placed.withColumns(columns(w)).filter("own").drop("chunk", "own", *([] if indexed else ["_i"]))
+    if size < max(reach, ahead):
+        raise ValueError(f"chunks of {size} rows are shorter than their reach of {max(reach, ahead)}")
+    rows = df if indexed else row_index(df, "_i", TS, list(keys), ties)
+    c, chunk, own = fresh(rows, "_c", "chunk", "own")
+    at, place = F.floor(F.col("_i") / size).cast("long"), F.col("_i") % size
+    home = lambda d: F.struct((at + d).alias(chunk), F.lit(d == 0).alias(own))
+    homes = F.array_compact(F.array(home(0), F.when(place >= size - reach, home(1)), F.when((place < ahead) & (at > 0), home(-1))))
+    placed = rows.withColumn(c, F.explode(homes)).select("*", f"{c}.*").drop(c)
+    w = Window.partitionBy(*keys, chunk, *within).orderBy("_i")
+    return placed.withColumns(columns(w)).filter(own).drop(chunk, own, *([] if indexed else ["_i"]))
+
+
+def longest(df: DataFrame, keys: tuple[str, ...] = (KEY,)) -> int:
+    """Rows of the longest series."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def windowed(
+    df: DataFrame, columns: Callable[[object], dict[str, Column]], reach: int, ahead: int = 0, keys: tuple[str, ...] = (KEY,), within: tuple[str, ...] = (),
+    ties: tuple = (), size: int = CHUNK,
+) -> DataFrame:
+    """Window columns of bounded frames, in ``chunked`` form where a series has more than ``size`` rows; else a
+    series is no more than a chunk and is windowed as a whole, which gives the same."""
+    size = max(size, reach, ahead)
+    if longest(df, keys) <= size:
+        return df.withColumns(columns(Window.partitionBy(*keys, *within).orderBy(TS, *ties)))
+    return chunked(df, columns, reach, size, ahead=ahead, keys=keys, within=within, ties=ties)

@@ -8,26 +8,29 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.shared import fresh
+
 BUCKET = "day"
 
 
-def row_index(df: DataFrame, name: str, ts: str = "timestamp", key: str | None = "region", ties: tuple = ()) -> DataFrame:
-    """Position from 0 on time order, within ``key`` or (None) over all rows.
+def row_index(df: DataFrame, name: str, ts: str = "timestamp", key: str | list[str] | None = "region", ties: tuple = ()) -> DataFrame:
+    """Position from 0 on time order, within ``key`` (one column or several) or (None) over all rows.
 
     Rows are counted by day first; running sums of these small counts give each day's offset, and
     the rank within a day is added. Ties are ordered by ``ties`` (the region, over all rows). Rows without
     a timestamp come last, rows without a key are a group of their own.
     """
-    keys = [key] if key else []
-    ties = ties or (() if key else ("region",))
-    df = df.withColumn("_part", F.date_trunc(BUCKET, ts))
-    counts = df.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*keys).orderBy(F.col("_part").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    offset = counts.select(*[F.col(k).alias(f"_of_{k}") for k in (*keys, "_part")], F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.col(ts).asc_nulls_last(), *ties)) - 1
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "_part")])
-    ranked = df.withColumn("_rank", rank).join(offset, same)
-    return ranked.withColumn(name, F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before", *[f"_of_{k}" for k in (*keys, "_part")])
+    keys = [key] if isinstance(key, str) else list(key or [])
+    ties = ties or (() if keys else ("region",))
+    part, n, before, rank, *of = fresh(df, "_part", "_n", "_before", "_rank", *[f"_of_{k}" for k in (*keys, "part")])
+    rows = df.withColumn(part, F.date_trunc(BUCKET, ts))
+    counts = rows.groupBy(*keys, part).agg(F.count("*").alias(n))
+    order = Window.partitionBy(*keys).orderBy(F.col(part).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    offset = counts.select(*[F.col(k).alias(o) for k, o in zip((*keys, part), of, strict=True)], F.coalesce(F.sum(n).over(order), F.lit(0)).alias(before))
+    place = F.row_number().over(Window.partitionBy(*keys, part).orderBy(F.col(ts).asc_nulls_last(), *ties)) - 1
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip((*keys, part), of, strict=True)])
+    ranked = rows.withColumn(rank, place).join(offset, same)
+    return ranked.withColumn(name, F.col(before) + F.col(rank)).drop(part, rank, before, *of)
 
 
 def temporal_split(df: DataFrame, train: float = 0.70, val: float = 0.15, ts: str = "timestamp") -> DataFrame:

@@ -80,6 +80,15 @@ def w10(spark, d):
     return monitor.rolling_coverage(base.judged(spark, d)).select("timestamp", "region", "coverage", "n_window", "alert")
 
 
+@query(
+    "w10_global_coverage", "judged",
+    "SELECT timestamp, region, round(avg((actual BETWEEN lower AND upper)::INT) OVER f, 4) AS coverage, count(*) OVER f AS n_window, round(avg((actual BETWEEN lower AND upper)::INT) OVER f, 4) < 0.8 AS alert FROM judged"
+    " WINDOW f AS (ORDER BY timestamp, region ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)", "coverage", "n_window", 4,
+)
+def w10g(spark, d):
+    return monitor.rolling_coverage(base.judged(spark, d), keys=[], chunk=1_000).select("timestamp", "region", "coverage", "n_window", "alert")
+
+
 _ANOM = (
     "SELECT timestamp, region, actual - predicted AS residual, CASE WHEN n >= 10 AND s > 0 THEN abs(actual - predicted) / s END AS z, coalesce(n >= 10 AND s > 0 AND abs(actual - predicted) / s > 3, false) AS is_anomaly FROM"
     " (SELECT *, stddev_pop(actual - predicted) OVER f AS s, count(*) OVER f AS n FROM judged WINDOW f AS (PARTITION BY region ORDER BY timestamp ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING))"
@@ -153,6 +162,11 @@ def st7(spark, d):
     return monitor.sustained_alerts(base.judged(spark, d).withColumn("condition", F.col("actual") > 40), "2 hours", ["region"])
 
 
+@query("st7_sustained_alerts_blocks", "judged", _HOLD, "", "n_samples")
+def st7b(spark, d):
+    return monitor.sustained_alerts(base.judged(spark, d).withColumn("condition", F.col("actual") > 40), "2 hours", ["region"], chunk=0, block=64)
+
+
 _EPOCH = "(SELECT *, sum((hour(timestamp) = 0)::INT) OVER (PARTITION BY region ORDER BY timestamp) AS epoch FROM judged)"
 
 
@@ -162,6 +176,12 @@ def st8(spark, d):
     return monitor.coverage_by_epoch(rows).select("timestamp", "region", "epoch", "coverage", "n_window", "alert")
 
 
+@query("st8_coverage_by_epoch_blocks", "judged", _cov_sql("region, epoch", "epoch, ", _EPOCH), "coverage", "epoch n_window", 4)
+def st8b(spark, d):
+    rows = base.judged(spark, d).withColumn("reload", F.hour("timestamp") == 0)
+    return monitor.coverage_by_epoch(rows, chunk=300, block=64).select("timestamp", "region", "epoch", "coverage", "n_window", "alert")
+
+
 def _stream(spark, df, order):
     """Rows dealt by time into three parts, which are written one after the other in equally many files, and
     read as a stream of one part at a time, the oldest first."""
