@@ -196,6 +196,18 @@ def coverage_report(df: DataFrame) -> DataFrame:
     )
 
 
+def distinct_sketches(df: DataFrame, columns: list[str], by: list[str], log_size: int = 14) -> DataFrame:
+    """by, and for each column a mergeable sketch of its distinct values (``n_<column>``): with 2**14 registers estimates
+    are within 2 % with 99 % confidence."""
+    return df.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), log_size).alias(f"n_{c}") for c in columns])
+
+
+def distinct_counts(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """by, and the estimated distinct values of each sketch column over any coarser grouping of sketches."""
+    columns = [c for c, t in sketches.dtypes if t == "binary" and c.startswith("n_")]
+    return sketches.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])
+
+
 def national_report(df: DataFrame, low: float = 1000.0) -> DataFrame:
     """Quantiles of the hourly total and the hours below ``low``: a row."""
     total = df.groupBy("timestamp").agg(F.sum("consumption_mw").alias("total"))

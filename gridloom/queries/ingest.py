@@ -332,6 +332,19 @@ _OUT = " UNION ALL ".join(
 )
 
 
+_CODES = "SELECT date_trunc('day', datahora) AS day, codigo_postal, consumo FROM readings"
+
+
+@query("g2_distinct_sketches", "readings", f"SELECT day, count(DISTINCT codigo_postal) AS codes, true AS near FROM ({_CODES}) GROUP BY GROUPING SETS ((), (day))", "", "codes")
+def g2s(spark, d):
+    rows = base.readings(spark, d).select("codigo_postal", F.date_trunc("hour", "datahora").alias("hour"), F.date_trunc("day", "datahora").cast("timestamp_ntz").alias("day"))
+    hours = quality.distinct_sketches(rows, ["codigo_postal"], ["hour", "day"])
+    merged = quality.distinct_counts(hours, ["day"]).unionByName(quality.distinct_counts(hours, []).withColumn("day", F.lit(None).cast("timestamp_ntz")))
+    exact = rows.groupingSets([[], [F.col("day")]], F.col("day")).agg(F.count_distinct("codigo_postal").alias("codes"))
+    met = merged.select(F.col("day").alias("_d"), "n_codigo_postal").join(exact, F.col("_d").eqNullSafe(F.col("day")))
+    return met.select("day", "codes", (F.abs(F.col("n_codigo_postal") - F.col("codes")) <= 0.02 * F.col("codes")).alias("near"))
+
+
 @query("a17_outlier_report", "weather", _OUT, "lo hi pct", "n n_below n_above", 5)
 def a17r(spark, d):
     return quality.outlier_report(base.weather(spark, d), _FEATURES)

@@ -216,13 +216,47 @@ def _events(spark, d):
     return rows.withColumn("event_id", F.unix_timestamp("timestamp"))
 
 
-@query("st2_stream_coverage", "judged", _cov_sql("region"), "coverage", "n_window", 4)
+#: What the watermark has passed when all has been read: the stream's delay is an hour.
+_PASSED = "timestamp <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM judged)"
+
+
+@query("st2_stream_coverage", "judged", f"SELECT * FROM ({_cov_sql('region')}) WHERE {_PASSED}", "coverage", "n_window", 4)
 def st2(spark, d):
     sdf, cp = _stream(spark, _events(spark, d), "timestamp")
     return _run(streams.stream_coverage(sdf), cp).select("timestamp", "region", "coverage", "n_window", "alert")
 
 
-@query("st3_stream_anomalies", "judged", _ANOM, "residual z", "", 5)
+@query("st8_stream_reload", "judged", f"SELECT * FROM ({_cov_sql('region, epoch', 'epoch, ', _EPOCH)}) WHERE {_PASSED}", "coverage", "epoch n_window", 4)
+def st8s(spark, d):
+    rows = _events(spark, d).withColumn("reload", F.hour("timestamp") == 0)
+    sdf, cp = _stream(spark, rows, "timestamp")
+    return _run(streams.stream_coverage(sdf), cp).select("timestamp", "region", "epoch", "coverage", "n_window", "alert")
+
+
+_SERVED = (
+    "SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, endpoint, count(*) AS n, count(*) FILTER (status >= 500) AS n_5xx, count(*) FILTER (status >= 500) / count(*) AS error_rate,"
+    " count(*) FILTER (status >= 500) / count(*) > 0.05 AS error_alert, " + ", ".join(f"count(*) FILTER (duration <= {b}) AS le_{i}" for i, b in enumerate(_BOUNDS)) + ", true AS near"
+    " FROM serving WHERE time_bucket(INTERVAL 5 MINUTE, timestamp) + INTERVAL 5 MINUTE <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM serving) GROUP BY 1, 2"
+)
+
+
+@query("st6_stream_serving", "serving", _SERVED, "error_rate", "n n_5xx")
+def st6s(spark, d):
+    rows = base.serving(spark, d).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    sdf, cp = _stream(spark, rows, "timestamp")
+    hours = monitor.from_sketches(_run(streams.stream_serving(sdf), cp), ["endpoint"], "1 hour")
+    # held against the ranks of all latencies of the hour
+    own = rows.select(F.date_trunc("hour", "timestamp").alias("window_start"), "endpoint", "duration")
+    met = hours.join(own, ["window_start", "endpoint"]).groupBy("window_start", "endpoint").agg(
+        *[F.abs(F.avg((F.col("duration") <= F.col(p)).cast("double")) - q).alias(f"off_{p}") for p, q in (("p95", 0.95), ("p99", 0.99))], F.count("*").alias("m")
+    )
+    near = (F.col("off_p95") <= F.lit(0.01) + 1 / F.col("m")) & (F.col("off_p99") <= F.lit(0.01) + 1 / F.col("m"))
+    out = hours.join(met, ["window_start", "endpoint"]).withColumn("near", near)
+    le = [F.get("latency_le", F.lit(i)).alias(f"le_{i}") for i in range(len(_BOUNDS))]
+    return out.select("window_start", "endpoint", "n", "n_5xx", "error_rate", "error_alert", *le, F.coalesce("near", F.col("n") != F.col("m")).alias("near"))
+
+
+@query("st3_stream_anomalies", "judged", f"SELECT * FROM ({_ANOM}) WHERE {_PASSED}", "residual z", "", 5)
 def st3(spark, d):
     sdf, cp = _stream(spark, _events(spark, d), "timestamp")
     return _run(streams.stream_anomalies(sdf), cp).select("timestamp", "region", "residual", "z", "is_anomaly")

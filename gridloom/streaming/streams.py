@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.regions import map_region
 from gridloom.operators.drift import z_columns
 from gridloom.operators.ingest import clean_readings, kwh_to_mw
-from gridloom.operators.monitor import ALERT_BELOW, LEAST, NOMINAL, SIGMAS, WINDOW, attach_actuals
+from gridloom.operators.monitor import attach_actuals, serving_sketches
+from gridloom.streaming.trackers import stream_anomalies, stream_coverage
+
+__all__ = ["event_time", "run_available", "stream_anomalies", "stream_attach_actuals", "stream_coverage", "stream_drift", "stream_regional_hourly", "stream_serving"]
 
 
 def event_time(df: DataFrame, ts: str) -> DataFrame:
@@ -27,51 +26,6 @@ def stream_regional_hourly(sdf: DataFrame, delay: str = "2 hours") -> DataFrame:
     return sums.select(F.col("_w.start").alias("timestamp"), "region", "consumption_mw")
 
 
-def _ordered(batches: Iterable[pd.DataFrame]) -> pd.DataFrame:
-    """A micro-batch's rows of one key by time and id."""
-    parts = [b for b in batches if len(b)]
-    rows = pd.concat(parts) if parts else pd.DataFrame()
-    return rows.sort_values(["timestamp", "event_id"], kind="stable") if len(rows) else rows
-
-
-def stream_coverage(sdf: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Coverage of the last ``size`` events of a region at each event; state is one flag for each of them."""
-
-    def fold(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        hits = list(state.get[0]) if state.exists else []
-        out = []
-        for r in _ordered(batches).itertuples():
-            hits = [*hits[-(size - 1) :], float(r.lower <= r.actual <= r.upper)]
-            # rounded half up, as SQL does
-            share = float((2 * 10_000 * int(sum(hits)) + len(hits)) // (2 * len(hits))) / 10_000
-            out.append((r.event_id, key[0], r.timestamp, share, len(hits), share < ALERT_BELOW, share - NOMINAL))
-        state.update((hits,))
-        yield pd.DataFrame(out, columns=["event_id", "region", "timestamp", "coverage", "n_window", "alert", "coverage_error"])
-
-    out = "event_id long, region string, timestamp timestamp, coverage double, n_window int, alert boolean, coverage_error double"
-    return sdf.groupBy("region").applyInPandasWithState(fold, out, "hits array<double>", "append", "NoTimeout")
-
-
-def stream_anomalies(sdf: DataFrame, size: int = WINDOW, least: int = LEAST, sigmas: float = SIGMAS) -> DataFrame:
-    """Residual flags at each event, against the residuals before it."""
-
-    def fold(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        out = []
-        for r in _ordered(batches).itertuples():
-            res = r.actual - r.predicted
-            std = float(np.std(held)) if held else 0.0
-            ready = len(held) >= least and std > 0
-            z = abs(res) / std if ready else None
-            out.append((r.event_id, key[0], r.timestamp, res, z, bool(ready and z > sigmas)))
-            held = [*held[-(size - 1) :], res]
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["event_id", "region", "timestamp", "residual", "z", "is_anomaly"])
-
-    out = "event_id long, region string, timestamp timestamp, residual double, z double, is_anomaly boolean"
-    return sdf.groupBy("region").applyInPandasWithState(fold, out, "held array<double>", "append", "NoTimeout")
-
-
 def stream_attach_actuals(predictions: DataFrame, actuals: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Predictions met by actuals that arrive from 1 to 24 hours later."""
     p = event_time(predictions, "timestamp").withWatermark("timestamp", delay)
@@ -89,6 +43,12 @@ def stream_drift(sdf: DataFrame, columns: list[str], stats: DataFrame, window: s
     return long.join(F.broadcast(s), "feature").withColumns(z_columns(F.col("live_mean"), F.col("training_mean"), F.col("training_std")))
 
 
+def stream_serving(sdf: DataFrame, window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Counts and a latency sketch of every closed window and endpoint (``monitor.serving_sketches``); read and merged
+    by ``monitor.from_sketches``."""
+    return serving_sketches(event_time(sdf, "timestamp").withWatermark("timestamp", delay), window)
+
+
 def run_available(sdf: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what is there now and give its output as a table in memory (for reports and tests)."""
     writer = sdf.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
