@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.calendars import season
+from gridloom.operators.gram import correlation_matrix, gram
 from gridloom.operators.quantiles import with_quantiles
 from gridloom.operators.splits import row_index
 
@@ -59,11 +60,13 @@ def target_correlation(df: DataFrame, columns: list[str], target: str = TARGET)
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r of every pair of columns, a before b in the list, over rows where all are present."""
-    rows = df.select(*columns).na.drop()
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = rows.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
+    """a, b, r of every pair of columns, a before b in the list, over rows where all are present and finite.
+
+    One matrix of sums of products comes to the driver, columns squared numbers."""
+    found = gram(df, columns).first()
+    r = correlation_matrix(np.array(found["m"])) if found and found["n"] else np.full((len(columns),) * 2, np.nan)
+    rows = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def correlated_pairs(df: DataFrame, columns: list[str], threshold: float = 0.95) -> DataFrame:

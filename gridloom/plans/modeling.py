@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import random
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.intervals import prediction_intervals
 from gridloom.operators.explore import correlations
-from gridloom.operators.metrics import conformal_quantile, evaluate_baselines, mase, overall_and_regions, regression_metrics
+from gridloom.operators.gram import gram, least_squares, means
+from gridloom.operators.metrics import baseline_improvement, conformal_quantile, evaluate_baselines, mase, overall_and_regions, regression_aggs, regression_metrics
 from gridloom.operators.quality import valid_prediction
-from gridloom.operators.series import SPANS, horizon_targets
+from gridloom.operators.quantiles import attach
+from gridloom.operators.series import LAGS, SPANS, WINDOWS, horizon_targets
 from gridloom.operators.splits import cv_folds, row_index, temporal_split
+from gridloom.shared import materialise
 
 TARGET = "consumption_mw"
 DEFAULTS = {
@@ -66,44 +73,80 @@ def fit_regressor(kind: str, train: DataFrame, val: DataFrame | None, features:
     return Fitted(est.fit(assemble(rows, features)), features, kind)
 
 
+#: Fits that run at the same time.
+SIDE_BY_SIDE = 4
+
+
+def side_by_side(spark: SparkSession, jobs: list[Callable[[], object]], most: int = SIDE_BY_SIDE) -> list:
+    """Results of jobs that run at the same time, in their order. Each has a pool of its own, so that a scheduler in
+    FAIR mode shares the executors between them, and all have one tag: when one fails, the others are cancelled."""
+    tag = f"fits-{uuid.uuid4().hex}"
+
+    def run(i: int) -> object:
+        context = spark.sparkContext
+        context.addJobTag(tag)
+        context.setLocalProperty("spark.scheduler.pool", f"fits-{i % most}")
+        return jobs[i]()
+
+    with ThreadPoolExecutor(max(1, min(most, len(jobs)))) as pool:
+        found = [pool.submit(inheritable_thread_target(spark)(run), i) for i in range(len(jobs))]
+        done, rest = wait(found, return_when=FIRST_EXCEPTION)
+        if any(f.exception() for f in done):
+            for f in rest:
+                f.cancel()
+            spark.sparkContext.cancelJobsWithTag(tag)
+    failed = [f for f in found if f in done and f.exception()]
+    if failed:
+        raise failed[0].exception()
+    return [f.result() for f in found]
+
+
 def train_and_select(train: DataFrame, val: DataFrame, features: list[str], kinds: tuple = ("linear", "forest", "gbt"), label: str = TARGET) -> tuple[Fitted, DataFrame]:
-    """The candidate with the least validation RMSE, and the metrics of all."""
-    spark, rows, best = train.sparkSession, [], None
-    for kind in kinds:
+    """The candidate with the least validation RMSE, and the metrics of all; candidates are fitted side by side."""
+    spark = train.sparkSession
+
+    def one(kind: str) -> Fitted:
         got = fit_regressor(kind, train, val, features, label=label)
-        m = regression_metrics(got.predict(val), label, "prediction").first()
-        got.metrics = m.asDict()
-        rows.append((kind, float(m["rmse"]), float(m["mae"]), m["mape"], m["r2"]))
-        best = got if best is None or m["rmse"] < best.metrics["rmse"] else best
+        got.metrics = regression_metrics(got.predict(val), label, "prediction").first().asDict()
+        return got
+
+    found = side_by_side(spark, [lambda k=kind: one(k) for kind in kinds])
+    rows = [(g.kind, float(g.metrics["rmse"]), float(g.metrics["mae"]), g.metrics["mape"], g.metrics["r2"]) for g in found]
+    best = min(found, key=lambda g: g.metrics["rmse"])
     return best, spark.createDataFrame(rows, "model string, rmse double, mae double, mape double, r2 double")
 
 
 def time_series_cv(df: DataFrame, features: list[str], kinds: tuple = ("linear",), k: int = 5, mode: str = "expanding", params: dict | None = None) -> DataFrame:
-    """model, fold, rmse, mae, n of each fold; the folds are cut once."""
+    """model, fold, rmse, mae, n of each fold; the folds are cut once and fitted side by side."""
     folds = cv_folds(df, k, mode).cache()
-    out = []
-    for kind in kinds:
-        for f in range(k):
-            part = folds.filter(F.col("fold") == f)
-            got = fit_regressor(kind, part.filter("role = 'train'"), None, features, params)
-            m = regression_metrics(got.predict(part.filter("role = 'test'")), TARGET, "prediction").first()
-            if m["n"]:
-                out.append((kind, f, float(m["rmse"]), float(m["mae"]), int(m["n"])))
+    out = side_by_side(df.sparkSession, [lambda kind=kind, f=f: _fold(folds, kind, f, features, params) for kind in kinds for f in range(k)])
+    folds.unpersist()
+    return df.sparkSession.createDataFrame([r for r in out if r], "model string, fold int, rmse double, mae double, n long")
+
+
+def _fold(folds: DataFrame, kind: str, f: int, features: list[str], params: dict | None) -> tuple | None:
+    part = folds.filter(F.col("fold") == f)
+    got = fit_regressor(kind, part.filter("role = 'train'"), None, features, params)
+    m = regression_metrics(got.predict(part.filter("role = 'test'")), TARGET, "prediction").first()
+    return (kind, f, float(m["rmse"]), float(m["mae"]), int(m["n"])) if m["n"] else None
+
+
+def tune(df: DataFrame, kind: str, features: list[str], n: int = 4, k: int = 3, seed: int = 42, space: dict | None = None, search: str = "random") -> tuple[dict, DataFrame]:
+    """The best point of a space by mean fold RMSE: of ``n`` different seeded draws (all points, if it has fewer), or
+    of its whole ``grid``. All folds of all points are fitted side by side on folds that are cut once."""
+    space = space or SPACES[kind]
+    points = [dict(zip(sorted(space), v, strict=True)) for v in product(*[space[p] for p in sorted(space)])]
+    if search == "random":
+        points = random.Random(seed).sample(points, min(n, len(points)))
+    elif search != "grid":
+        raise ValueError(f"unknown search {search!r}")
+    folds = cv_folds(df, k).cache()
+    found = side_by_side(df.sparkSession, [lambda p=p, f=f: _fold(folds, kind, f, features, p) for p in points for f in range(k)])
     folds.unpersist()
-    return df.sparkSession.createDataFrame(out, "model string, fold int, rmse double, mae double, n long")
-
-
-def tune(df: DataFrame, kind: str, features: list[str], n: int = 4, k: int = 3, seed: int = 42, space: dict | None = None) -> tuple[dict, DataFrame]:
-    """The best of n seeded draws from a space by mean fold RMSE."""
-    rng, space = random.Random(seed), space or SPACES[kind]
-    tried, seen = [], set()
-    for i in range(n):
-        params = {p: rng.choice(v) for p, v in sorted(space.items())}
-        if tuple(params.items()) in seen:
-            continue
-        seen.add(tuple(params.items()))
-        score = time_series_cv(df, features, (kind,), k, params=params).agg(F.avg("rmse")).first()[0]
-        tried.append((i, str(params), score, params))
+    tried = []
+    for i, p in enumerate(points):
+        own = [r[2] for r in found[i * k : (i + 1) * k] if r]
+        tried.append((i, str(p), sum(own) / len(own), p))
     best = min(tried, key=lambda t: t[2])
     return best[3], df.sparkSession.createDataFrame([t[:3] for t in tried], "trial int, params string, rmse double")
 
@@ -140,7 +183,7 @@ def permutation_importance(fitted: Fitted, df: DataFrame, repeats: int = 10, see
     return mse.groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"))
 
 
-def select_features(train: DataFrame, val: DataFrame, features: list[str], most: int = 20, kind: str = "linear", repeats: int = 2, threshold: float = 0.95) -> tuple[list[str], DataFrame]:
+def select_features(train: DataFrame, val: DataFrame, features: list[str], most: int = 20, kind: str = "linear", repeats: int = 10, threshold: float = 0.95) -> tuple[list[str], DataFrame]:
     """Correlation filter, then the most important of what stays, with their importances."""
     kept = correlation_filter(train, features, threshold)
     scores = permutation_importance(fit_regressor(kind, train, None, kept), val, repeats)
@@ -182,29 +225,50 @@ def train_variant(
     return report
 
 
+#: Feature sets of the variants.
+VARIANTS = ("with_lags", "no_lags", "advanced")
+
+
+def variant_features(df: DataFrame, variant: str) -> tuple[DataFrame, list[str]]:
+    """The full feature set of a variant from clean hourly rows, and its feature columns; rows that lack one are out."""
+    from gridloom.plans import features as sets
+
+    if variant not in VARIANTS:
+        raise ValueError(f"unknown variant {variant!r}; one of {VARIANTS}")
+    out = sets.features_no_lags(df) if variant == "no_lags" else sets.features_full(df, advanced=variant == "advanced")
+    columns = sets.feature_columns(out)
+    return out.na.drop(subset=[*columns, TARGET]), columns
+
+
+def train_variants(df: DataFrame, variants: tuple = VARIANTS, kind: str = "linear", **more) -> tuple[dict[str, dict], DataFrame]:
+    """Every variant from clean hourly rows to its report, and a table: variant, n_features, rmse, mae, mape, r2, best
+    baseline and the gain over it, the best variant first."""
+    reports, rows = {}, []
+    for variant in variants:
+        data, columns = variant_features(df, variant)
+        report = train_variant(materialise(data, variant), columns, kind, **more)
+        m = report["metrics"].filter("region IS NULL").first()
+        best = baseline_improvement(report["baselines"].filter("region IS NULL"), float(m["rmse"])).first()
+        reports[variant] = report
+        rows.append((variant, len(report["features"]), m["rmse"], m["mae"], m["mape"], m["r2"], best["baseline"], best["rmse"], best["improvement_pct"]))
+    schema = "variant string, n_features int, rmse double, mae double, mape double, r2 double, baseline string, baseline_rmse double, improvement_pct double"
+    return reports, df.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[2]), schema)
+
+
 def train_per_region(df: DataFrame, features: list[str], label: str = TARGET, ridge: float = 1e-6) -> DataFrame:
     """region, n, intercept, coefficients of a least-squares model for each region.
 
     Sums of products are aggregated in Spark, so a region's rows never gather in one task; only the
     small normal equations are solved in Python.
     """
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
-    k = len(cols)
-    rows = df.na.drop(subset=[*features, label])
-    gram = [F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    rhs = [F.sum(c * F.col(label)).alias(f"r{i}") for i, c in enumerate(cols)]
-    sums = rows.groupBy("region").agg(F.count("*").alias("n"), *gram, *rhs)
+    shift = np.array(means(df, [*features, label]))
 
     def solve(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            for _, r in pdf.iterrows():
-                a = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-                w = np.linalg.lstsq(a + ridge * np.eye(k), np.array([r[f"r{i}"] for i in range(k)], float), rcond=None)[0]
-                out.append((r["region"], int(r["n"]), float(w[0]), w[1:].tolist()))
-            yield pd.DataFrame(out, columns=["region", "n", "intercept", "coefficients"])
+            solved = [least_squares(np.array([list(r) for r in m], float), shift, ridge) for m in pdf["m"]]
+            yield pd.DataFrame({"region": pdf["group"], "n": pdf["n"], "intercept": [a for a, _ in solved], "coefficients": [w.tolist() for _, w in solved]})
 
-    return sums.mapInPandas(solve, "region string, n long, intercept double, coefficients array<double>")
+    return gram(df, [*features, label], shift.tolist(), "region").mapInPandas(solve, "region string, n long, intercept double, coefficients array<double>")
 
 
 def predict_per_region(df: DataFrame, models: DataFrame, features: list[str]) -> DataFrame:
@@ -219,13 +283,15 @@ def train_multistep(df: DataFrame, features: list[str], horizons: tuple = (1, 6,
     """horizon, model, rmse, mae, q90 of the best of several models for each horizon; choice and q90 come from
     validation, errors from test."""
     rows = temporal_split(horizon_targets(df, list(horizons))).cache()
-    out = []
-    for h in horizons:
+
+    def one(h: int) -> tuple:
         label = f"target_{h}h"
         got, _ = train_and_select(rows.filter("split = 'train'"), rows.filter("split = 'val'"), features, kinds, label)
         q = conformal_quantile(got.predict(rows.filter("split = 'val'")), label, "prediction").first()["q"]
         m = regression_metrics(got.predict(rows.filter("split = 'test'")), label, "prediction").first()
-        out.append((h, got.kind, float(m["rmse"]), float(m["mae"]), float(q)))
+        return h, got.kind, float(m["rmse"]), float(m["mae"]), float(q)
+
+    out = side_by_side(df.sparkSession, [lambda h=h: one(h) for h in horizons])
     rows.unpersist()
     return df.sparkSession.createDataFrame(out, "horizon int, model string, rmse double, mae double, q90 double")
 
@@ -248,14 +314,53 @@ def _walk(df: DataFrame, part: Column, least: int, fit_predict: Callable[[DataFr
 
 def backtest_monthly(df: DataFrame, features: list[str], kind: str = "linear", least: int = 3) -> DataFrame:
     """Each month from the ``least`` + 1st on, forecast by a model of all months before it: month, n_train,
-    region (null: all), n and errors."""
+    region (null: all), n and errors. Linear models need no refits: see ``backtest_linear``."""
     month = F.date_format("timestamp", "yyyy-MM")
+    if kind == "linear":
+        return backtest_linear(df, features, least)[0]
     out = _walk(df, month, least, lambda tr, te: fit_regressor(kind, tr, None, features).predict(te))
     if out is None:
         raise ValueError(f"a backtest needs more than {least} months")
     return out
 
 
+def backtest_linear(df: DataFrame, features: list[str], least: int = 3, ridge: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+    """The monthly backtest of least squares by running totals: the sums of products of every month come from one
+    pass, their totals so far give the model before each month (a solve for each), and one more pass scores every row
+    by its month's model. Returns the errors as ``backtest_monthly`` does, and the models: month, n_train,
+    intercept, coefficients."""
+    shift = np.array(means(df, [*features, TARGET]))
+    rows = df.select("region", F.date_format("timestamp", "yyyy-MM").alias("_month"), *dict.fromkeys([*features, TARGET]))
+    parts = gram(rows.filter("_month IS NOT NULL"), [*features, TARGET], shift.tolist(), "_month").orderBy("group").collect()  # a matrix for each month
+    total, models = 0.0, []
+    for i, r in enumerate(parts):
+        if i >= least:
+            intercept, w = least_squares(total, shift, ridge)
+            models.append((r["group"], int(round(total[0, 0])), intercept, w.tolist()))
+        total = total + np.array(r["m"])
+    if not models:
+        raise ValueError(f"a backtest needs more than {least} months")
+    made = df.sparkSession.createDataFrame(models, "month string, n_train long, intercept double, coefficients array<double>")
+    own = made.select(F.col("month").alias("_of"), F.col("n_train").alias("_n"), F.struct("intercept", "coefficients").alias("_w"))
+    met = rows.join(F.broadcast(own), F.col("_month") == F.col("_of"))  # a row for each month
+    y = F.col("_w.intercept")
+    for i, c in enumerate(features):
+        y = y + F.get("_w.coefficients", F.lit(i)) * F.col(c)
+    scored = met.select(F.col("_of").alias("month"), F.col("_n").alias("n_train"), "region", F.col(TARGET).alias("_y"), y.alias("prediction"))
+    sets = [[F.col("month"), F.col("n_train")], [F.col("month"), F.col("n_train"), F.col("region")]]
+    return scored.groupingSets(sets, F.col("month"), F.col("n_train"), F.col("region")).agg(*regression_aggs("_y", "prediction")), made
+
+
+def backtest_wide(errors: DataFrame, regions: list[str], columns: tuple = ("mae", "rmse", "mape", "r2")) -> DataFrame:
+    """A row for each month of a backtest: month, n_train, n_test, the errors over all regions, and those of each region as
+    ``<region>_<error>``."""
+    every = errors.filter("region IS NULL").select("month", "n_train", F.col("n").alias("n_test"), *columns)
+    own = errors.filter("region IS NOT NULL").groupBy("month").agg(
+        *[F.max(F.when(F.col("region") == r, F.col(c))).alias(f"{r}_{c}") for r in regions for c in columns]
+    )
+    return attach(every, own, ["month"])
+
+
 def backtest_seasonal(df: DataFrame, features: list[str], kind: str = "linear", share: float = 0.7) -> DataFrame:
     """season and errors; in each season the first rows train and the rest test."""
     from gridloom.functions.calendars import season
@@ -276,10 +381,12 @@ def backtest_seasonal(df: DataFrame, features: list[str], kind: str = "linear",
 
 def seed_stability(train: DataFrame, test: DataFrame, features: list[str], seeds: list[int], kind: str = "forest", params: dict | None = None) -> DataFrame:
     """mean and std of MAPE and R2 over seeds, and whether the former varies by less than 0.1."""
-    rows = []
-    for s in seeds:
+
+    def one(s: int) -> tuple:
         m = regression_metrics(fit_regressor(kind, train, None, features, (params or {}) | {"seed": s}).predict(test), TARGET, "prediction").first()
-        rows.append((s, m["mape"], m["r2"]))
+        return s, m["mape"], m["r2"]
+
+    rows = side_by_side(train.sparkSession, [lambda s=s: one(s) for s in seeds])
     each = train.sparkSession.createDataFrame(rows, "seed int, mape double, r2 double")
     return each.agg(
         F.count("*").alias("n"), F.avg("mape").alias("mape_mean"), F.stddev_pop("mape").alias("mape_std"), F.avg("r2").alias("r2_mean"),
@@ -294,14 +401,15 @@ def predict_batch(fitted: Fitted, df: DataFrame, q90: float | None, rmse: float,
 
 
 def predict_sequential(
-    history: DataFrame, future: DataFrame, step: Callable[[dict], float], most: int = 168, least: int = 48, target: str = TARGET
+    history: DataFrame, future: DataFrame, step, most: int = 168, least: int = 48, target: str = TARGET
 ) -> DataFrame:
     """region, timestamp, y_pred: each forecast enters the lags of the next one.
 
-    ``step`` maps a dictionary of a future row's columns and of lag features to a number. A series is
-    one group: it carries its last rows and the sums of its exponential means, not features of
-    its whole history, so a step costs the same at any length. Regions with more than ``most`` future
-    rows or fewer than ``least`` rows of history are rejected with an error.
+    ``step`` is a model with ``features`` and ``predict`` of a matrix (``portable`` makes one of a fitted model), or a
+    function from a dictionary of a future row's columns and of lag features to a number. A series carries its last
+    rows and the sums of its exponential means, not features of its whole history, so a step costs the same at
+    any length; a task steps ``TOGETHER`` series at once. Regions with more than ``most`` future rows or fewer than
+    ``least`` rows of history are rejected with an error.
     """
     need = 49
     ahead_n = future.groupBy(F.col("region").alias("_of")).agg(F.count("*").alias("_ahead"))
@@ -329,35 +437,82 @@ def predict_sequential(
     series = last.groupBy("region").agg(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("o"), F.col(target).alias("y")))).alias("_h"))
     rows = future.join(series, "region").join(state, "region")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("timestamp")
-        one = pdf.iloc[0]
-        y = [h["y"] if pd.notna(h["y"]) else None for h in one["_h"]]
-        den = {s: one[f"_d{s}"] for s in SPANS}
-        num = {s: one[f"{target}_ewma_{s}"] * den[s] for s in SPANS}
-        out = []
-        for row in pdf.drop(columns=["_h", *[f"_d{s}" for s in SPANS], *[f"{target}_ewma_{s}" for s in SPANS]]).to_dict("records"):
-            feats = dict(row)
-            feats |= {f"{target}_lag_{k}": y[-k] for k in (1, 2, 3, 6, 12, 24, 48) if k <= len(y)}
-            for k in (3, 6, 12, 24, 48):
-                part = np.array([v for v in y[-k:] if v is not None], float)  # gaps are left out, as in the windows
-                for name, f in (("mean", np.mean), ("min", np.min), ("max", np.max)):
-                    feats[f"{target}_rolling_{name}_{k}"] = f(part) if len(part) else None
-                feats[f"{target}_rolling_std_{k}"] = part.std(ddof=1) if len(part) > 1 else None
-            feats |= {f"{target}_ewma_{s}": num[s] / den[s] for s in SPANS}
-            less = lambda k: y[-1] - y[-k] if len(y) >= k and y[-1] is not None and y[-k] is not None else None
-            day = [v for v in y[-24:] if v is not None]
-            feats |= {f"{target}_diff_1": less(2), f"{target}_diff_24": less(25), f"{target}_range_24": max(day) - min(day) if day else None}
-            value = float(step(feats))
-            out.append((row["region"], row["timestamp"], value))
-            y = [*y[-(need - 1) :], value]
-            for s in SPANS:
-                q = 1 - 2 / (s + 1)
-                num[s], den[s] = num[s] * q + value, den[s] * q + 1
-        return pd.DataFrame(out, columns=["region", "timestamp", "y_pred"])
-
     when = "timestamp_ntz" if kind.typeName() == "timestamp_ntz" else "timestamp"
-    return rows.groupBy("region").applyInPandas(run, f"region string, timestamp {when}, y_pred double")
+    ahead = [c for c in future.columns if c not in ("region", "timestamp")]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame()
+        for pdf in it:  # rows come by region, so all but the last one are complete
+            held = pd.concat([held, pdf], ignore_index=True) if len(held) else pdf
+            last = held["region"].iloc[-1]
+            whole = held[held["region"] != last]
+            if whole["region"].nunique() >= TOGETHER:
+                yield _stepped(whole, step, ahead, target, need)
+                held = held[held["region"] == last]
+        if len(held):
+            yield _stepped(held, step, ahead, target, need)
+
+    dealt = rows.repartition("region").sortWithinPartitions("region", "timestamp")
+    return dealt.mapInPandas(run, f"region string, timestamp {when}, y_pred double")
+
+
+#: Series that a task steps at once.
+TOGETHER = 512
+
+
+def _lag_features(y: np.ndarray, target: str) -> dict[str, np.ndarray]:
+    """Lag features of the next step, for rows of the latest values (NaN: unknown), the latest last."""
+    back = lambda k: y[:, -k] if k <= y.shape[1] else np.full(len(y), np.nan)
+    out = {f"{target}_lag_{k}": back(k) for k in LAGS}
+    for k in WINDOWS:
+        part = y[:, -k:]
+        known = np.isfinite(part)
+        n = known.sum(axis=1)
+        some = lambda v, least=1: np.where(n >= least, v, np.nan)  # noqa: B023, E731
+        mean = some(np.where(known, part, 0.0).sum(axis=1) / np.maximum(n, 1))
+        off = np.where(known, part - mean[:, None], 0.0)
+        out[f"{target}_rolling_mean_{k}"] = mean
+        out[f"{target}_rolling_std_{k}"] = some(np.sqrt((off * off).sum(axis=1) / np.maximum(n - 1, 1)), 2)
+        out[f"{target}_rolling_min_{k}"] = some(np.where(known, part, np.inf).min(axis=1))
+        out[f"{target}_rolling_max_{k}"] = some(np.where(known, part, -np.inf).max(axis=1))
+    day = y[:, -24:]
+    known = np.isfinite(day)
+    span = np.where(known, day, -np.inf).max(axis=1) - np.where(known, day, np.inf).min(axis=1)
+    return out | {f"{target}_diff_1": back(1) - back(2), f"{target}_diff_24": back(1) - back(25), f"{target}_range_24": np.where(known.any(axis=1), span, np.nan)}
+
+
+def _stepped(pdf: pd.DataFrame, step, ahead: list[str], target: str, need: int) -> pd.DataFrame:
+    """Forecasts of whole series, one step of all of them after the other."""
+    groups = [g for _, g in pdf.groupby("region", sort=False)]
+    first = [g.iloc[0] for g in groups]
+    y = np.full((len(groups), need), np.nan)
+    for i, one in enumerate(first):
+        past = [h["y"] for h in one["_h"]][-need:]
+        y[i, need - len(past) :] = [np.nan if v is None else v for v in past]
+    den = {s: np.array([one[f"_d{s}"] for one in first], float) for s in SPANS}
+    num = {s: np.array([one[f"{target}_ewma_{s}"] for one in first], float) * den[s] for s in SPANS}
+    columns = {c: [g[c].to_numpy() for g in groups] for c in ahead}
+    lengths = np.array([len(g) for g in groups])
+    out = [np.full(n, np.nan) for n in lengths]
+    for t in range(lengths.max()):
+        live = np.flatnonzero(lengths > t)
+        feats = {k: v[live] for k, v in _lag_features(y, target).items()}
+        feats |= {f"{target}_ewma_{s}": (num[s] / den[s])[live] for s in SPANS}
+        feats |= {c: np.array([columns[c][i][t] for i in live]) for c in ahead}
+        if hasattr(step, "predict"):
+            value = np.asarray(step.predict(np.column_stack([np.asarray(feats[f], float) for f in step.features])), float)
+        else:
+            base = [{"region": groups[i]["region"].iloc[0], "timestamp": groups[i]["timestamp"].iloc[t]} for i in live]
+            value = np.array([float(step(b | {k: v[j] for k, v in feats.items()})) for j, b in enumerate(base)])
+        for i, v in zip(live, value, strict=True):
+            out[i][t] = v
+        y[live] = np.column_stack([y[live, 1:], value])
+        for s in SPANS:
+            q = 1 - 2 / (s + 1)
+            known = np.isfinite(value)
+            num[s][live] = num[s][live] * q + np.where(known, value, 0.0)
+            den[s][live] = den[s][live] * q + known
+    return pd.DataFrame({"region": pdf["region"].to_numpy(), "timestamp": pdf["timestamp"].to_numpy(), "y_pred": np.concatenate(out)})
 
 
 def fallback_prediction(df: DataFrame, order: list[tuple[str, str]]) -> DataFrame:

@@ -9,7 +9,7 @@ from gridloom.functions.calendars import temporal_features
 from gridloom.operators import metrics
 from gridloom.operators import series as s
 from gridloom.operators.splits import temporal_split
-from gridloom.plans import modeling, runs
+from gridloom.plans import modeling, portable, runs
 from gridloom.queries import base
 from gridloom.queries.base import query
 from gridloom.queries.base import scratch as _scratch
@@ -47,10 +47,28 @@ def m4(spark, d):
 
 @query("m5_tune")
 def m5(spark, d):
-    return modeling.tune(_rows(spark, d), "linear", FEATURES)[1]
+    return modeling.tune(_rows(spark, d), "gbt", FEATURES)[1]
 
 
-@query("m6_correlation_filter")
+@query("m5_tune_grid")
+def m5g(spark, d):
+    return modeling.tune(_rows(spark, d), "linear", FEATURES, search="grid")[1]
+
+
+_BASE = (
+    "SELECT * FROM (SELECT timestamp, region, consumption_mw AS y, hour(timestamp)::DOUBLE AS hour, (isodow(timestamp) - 1)::DOUBLE AS day_of_week, lag(consumption_mw, 1) OVER w AS consumption_mw_lag_1,"
+    " lag(consumption_mw, 2) OVER w AS consumption_mw_lag_2, lag(consumption_mw, 24) OVER w AS consumption_mw_lag_24 FROM ehourly WINDOW w AS (PARTITION BY region ORDER BY timestamp)) WHERE consumption_mw_lag_24 IS NOT NULL"
+)
+_SIX = [*FEATURES, "twin"]
+_R = ", ".join(f"{{k: '{a}|{b}', v: corr({a}, {b})}}" for i, a in enumerate(_SIX) for b in _SIX[i + 1 :])
+_M6 = (
+    f"WITH RECURSIVE x AS (SELECT *, consumption_mw_lag_1 * 2 AS twin FROM ({_BASE})), r AS (SELECT map_from_entries([{_R}]) AS m, count(*) AS n FROM x),"
+    f" g AS (SELECT 0 AS i, []::VARCHAR[] AS kept UNION ALL SELECT i + 1, CASE WHEN len(list_filter(kept, lambda k: abs(m[k || '|' || f]) > 0.95)) = 0 THEN list_append(kept, f) ELSE kept END"
+    f" FROM (SELECT i, kept, m, ({_SIX!r})[i + 1] AS f FROM g, r WHERE i < {len(_SIX)})) SELECT unnest(kept) AS feature, n FROM g, r WHERE i = {len(_SIX)}"
+)
+
+
+@query("m6_correlation_filter", "ehourly", _M6, "", "n")
 def m6(spark, d):
     rows = _rows(spark, d).withColumn("twin", F.col("consumption_mw_lag_1") * 2)
     kept = modeling.correlation_filter(rows, [*FEATURES, "twin"])
@@ -71,7 +89,7 @@ def m8(spark, d):
 
 @query("m9_train_variant")
 def m9(spark, d):
-    return modeling.train_variant(_rows(spark, d), FEATURES)["metrics"]
+    return modeling.train_variants(base.series_weather(spark, d))[1]
 
 
 @query("m10_train_per_region")
@@ -82,7 +100,7 @@ def m10(spark, d):
 
 @query("m11_train_multistep")
 def m11(spark, d):
-    return modeling.train_multistep(_rows(spark, d), FEATURES, kinds=("linear", "forest"))
+    return modeling.train_multistep(_rows(spark, d), FEATURES)
 
 
 @query("m12_backtest_monthly")
@@ -91,6 +109,13 @@ def m12(spark, d):
     return modeling.backtest_monthly(rows, ["day_of_week", "consumption_mw_lag_1", "consumption_mw_lag_2"])
 
 
+@query("m12_backtest_wide")
+def m12w(spark, d):
+    rows = s.lag_features(temporal_features(base.daily(spark, d)), [1, 2]).na.drop()
+    errors = modeling.backtest_monthly(rows, ["day_of_week", "consumption_mw_lag_1", "consumption_mw_lag_2"])
+    return modeling.backtest_wide(errors, [r["r_name"] for r in base.table(spark, d, "region").orderBy("r_name").collect()])
+
+
 @query("m13_backtest_seasonal")
 def m13(spark, d):
     rows = s.lag_features(temporal_features(base.daily(spark, d)), [1, 2]).na.drop()
@@ -113,8 +138,40 @@ def m15(spark, d):
 def m16(spark, d):
     rows = base.event_hourly(spark, d)
     cut = F.col("timestamp") < F.lit("2024-01-25").cast("timestamp_ntz")
-    step = lambda f: 0.5 * f["consumption_mw_lag_1"] + 0.5 * f["consumption_mw_ewma_24"]
-    return modeling.predict_sequential(rows.filter(cut), rows.filter(~cut).select("region", "timestamp"), step)
+    past = s.lag_features(temporal_features(rows.filter(cut)), [1, 2, 24]).na.drop()
+    model = portable.portable(modeling.fit_regressor("gbt", past, None, FEATURES))
+    future = temporal_features(rows.filter(~cut).select("region", "timestamp")).select("region", "timestamp", "hour", "day_of_week")
+    return modeling.predict_sequential(rows.filter(cut), future, model)
+
+
+class _Naive:
+    """A model of no library: half the last value, half that of a day ago."""
+
+    features = FEATURES
+
+    def predict(self, x):
+        return x[:, 2] / 2 + x[:, 4] / 2
+
+
+_LAGS = "(SELECT *, lag(consumption_mw, 1) OVER w AS a, lag(consumption_mw, 2) OVER w AS b, lag(consumption_mw, 24) OVER w AS c FROM ehourly WINDOW w AS (PARTITION BY region ORDER BY timestamp))"
+
+
+@query("m15_score_foreign", "ehourly", f"SELECT timestamp, region, a / 2 + c / 2 AS prediction FROM {_LAGS} WHERE c IS NOT NULL", "prediction")
+def m15f(spark, d):
+    return portable.score(_rows(spark, d), _Naive(), FEATURES).select("timestamp", "region", "prediction")
+
+
+@query("m18_explain_trees")
+def m18t(spark, d):
+    train, _, test = _parts(spark, d)
+    model = portable.portable(modeling.fit_regressor("gbt", train, None, FEATURES))
+    return portable.explain_model(test, model, FEATURES, 3)
+
+
+@query("m18_explain_fallback", "ehourly", f"SELECT timestamp, region, 'consumption_mw_lag_1' AS feature, a AS value, 0.75::DOUBLE AS importance, 'importance' AS method FROM {_LAGS} WHERE c IS NOT NULL", "value importance")
+def m18f(spark, d):
+    out = portable.explain_model(_rows(spark, d), None, FEATURES, 1, importances={"consumption_mw_lag_1": 3.0, "hour": 1.0})
+    return out.select("timestamp", "region", "feature", "value", "importance", "method")
 
 
 @query("m17_fallback", "predicted", "SELECT timestamp, region, coalesce(CASE WHEN y_pred > 30 THEN y_pred END, consumption_mw) AS y_pred, CASE WHEN y_pred > 30 THEN 'advanced' ELSE 'no_lags' END AS model_name FROM predicted", "y_pred")
