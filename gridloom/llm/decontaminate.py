@@ -22,6 +22,8 @@ from gridloom.llm.common import EMPTY_SHA256, ascii_lower, raw_words, same_keys,
 
 #: Benchmark windows that are still sent to every executor; larger benchmarks are shuffled.
 BROADCAST_WINDOWS = 200_000
+#: Bytes of windows and item ids that are still sent to every executor.
+BROADCAST_BYTES = 32_000_000
 
 
 def _hashed(df: DataFrame, keys: dict[str, Column], text: str) -> DataFrame:
@@ -83,7 +85,7 @@ def _text_of(at: Column, length: Column) -> Column:
 
 def window_hits(docs: DataFrame, bench: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
     """Windows of documents that are windows of items: doc_id, _tag (hash of the text), start and
-    length in words, items (array of item ids as strings). A window may come twice."""
+    length in words, items (array of item ids as strings). Repeated rows of one id and text give a window once."""
     items = _hashed(bench, {"_item": F.col("item_id").cast("string")}, "text")
     size = F.size("_w")
     starts = F.when(size >= window, F.sequence(F.lit(0), size - window)).otherwise(
@@ -94,9 +96,10 @@ def window_hits(docs: DataFrame, bench: DataFrame, window: int = 10, gram: int =
         _text_of(F.col("_at"), F.least(size, F.lit(window))).alias("_win"),
     )
     by_win = wins.groupBy("_win", "_len").agg(F.collect_set("_item").alias("items"))
-    shape = {r["_len"]: r["n"] for r in by_win.groupBy("_len").agg(F.count("*").alias("n")).collect()}
-    short = sorted(n for n in shape if n < window)  # nine values at most
-    small = sum(shape.values()) <= BROADCAST_WINDOWS
+    size_of = F.octet_length("_win") + F.octet_length(F.array_join("items", ","))
+    shape = by_win.groupBy("_len").agg(F.count("*").alias("n"), F.sum(size_of).alias("bytes")).collect()
+    short = sorted(r["_len"] for r in shape if r["_len"] < window)  # nine values at most
+    small = sum(r["n"] for r in shape) <= BROADCAST_WINDOWS and sum(r["bytes"] for r in shape) <= BROADCAST_BYTES
     put = F.broadcast if small else (lambda df: df)
 
     keys = ["doc_id", "_tag"]
@@ -125,9 +128,9 @@ def window_hits(docs: DataFrame, bench: DataFrame, window: int = 10, gram: int =
     cover = F.sequence(F.greatest(F.col("_at") - reach, F.lit(0)), F.least(F.col("_at"), last))
     tried = found.select(*keys, "_w", "_len", F.explode(cover).alias("start"))
     tried = tried.select(*keys, "start", "_len", _text_of(F.col("start"), F.col("_len")).alias("_win"))
-    return tried.join(put(by_win), ["_win", "_len"]).select(
-        *keys, "start", F.col("_len").alias("length"), "items"
-    )
+    met = tried.join(put(by_win), ["_win", "_len"]).select(*keys, "start", F.col("_len").alias("length"), "items")
+    # summed up where rows lie, so that copies of one row never meet
+    return met.groupBy(*keys, "start", "length").agg(F.any_value("items").alias("items"))
 
 
 def contamination_spans(docs: DataFrame, bench: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:

@@ -30,6 +30,8 @@ from gridloom.llm.tree_bpe import Encoder, batches
 
 BLOCK_IDS = 65_536
 LEVEL = 3
+#: Characters of a text by which documents of one id are dealt.
+KEY_CHARS = 128
 STORE = (
     "kind string, shard int, chunk_no int, first_id long, n_ids long, width int, mode string,"
     " planes array<binary>, doc_no long, doc_id long"
@@ -62,7 +64,8 @@ def unpack(planes: list[bytes], n: int, mode: str, width: int) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, mode: str = "byte", block: int = BLOCK_IDS) -> None:
     """Encode and write documents (doc_id, text) below ``path``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # documents without an id, or with one id, are dealt by how their texts begin, which keeps the order of texts
+    dealt = rows.repartitionByRange("doc_id", F.substring("text", 1, KEY_CHARS)).sortWithinPartitions("doc_id", "text")
     schema = pa.schema([
         ("kind", pa.string()), ("shard", pa.int32()), ("chunk_no", pa.int32()), ("first_id", pa.int64()),
         ("n_ids", pa.int64()), ("width", pa.int32()), ("mode", pa.string()), ("planes", pa.list_(pa.binary())),

@@ -36,6 +36,10 @@ JSON_TYPES = {
 }
 
 
+#: Rows of schemas that are still sent to every executor.
+BROADCAST_SCHEMAS = 100_000
+
+
 def first_calls(calls: DataFrame) -> DataFrame:
     """One row per (conv_id, call_id); calls: conv_id, turn, call_id, name, arguments, depends."""
     held = calls.filter("conv_id IS NOT NULL AND call_id IS NOT NULL")
@@ -74,9 +78,10 @@ def out_of_order(calls: DataFrame) -> DataFrame:
 
 
 def numbered(calls: DataFrame) -> DataFrame:
-    """``position`` from 1 within a conversation, by level (none comes last), turn and call id."""
+    """``position`` from 1 within a conversation, by level (none comes last), turn (none comes first) and call id."""
     group = ["conv_id", "_level", "_block"]
-    placed = calls.withColumns({"_level": F.coalesce("level", F.lit(2**31 - 1)), "_block": F.floor(F.col("turn") / BLOCK)})
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(-(2**63)))
+    placed = calls.withColumns({"_level": F.coalesce("level", F.lit(2**31 - 1)), "_block": block})
     count = placed.groupBy(*group).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("conv_id").orderBy("_level", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     offset = count.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -112,7 +117,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """
     first = materialise(first_calls(calls), "calls")
     per_tool = schemas.groupBy("name").agg(F.collect_list(F.struct("arg", "type", "required")).alias("_schema"))
-    tools = first.join(per_tool, "name", "left")
+    # few names take most calls, so the schemas are sent to the calls where their number allows it
+    few = schemas.count() <= BROADCAST_SCHEMAS
+    tools = first.join(F.broadcast(per_tool) if few else per_tool, "name", "left")
     answers = results.groupBy("conv_id", "call_id").agg(
         F.count("*").alias("n_results"), F.min(F.struct("turn", "content")).alias("_res")
     )
