@@ -246,8 +246,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, rec
     each = reps.select("v", F.explode("keys").alias("key"))
     h = F.xxhash64("v")
     bucket = each.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y"))
-    bucket = bucket.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    member = each.join(bucket, "key")
+    bucket = materialise(bucket.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
+    limit = max((reps.agg(F.sum(F.size("keys"))).first()[0] or 0) // HOT_SHARE, 1)
+    member = join_hot(each, bucket, ["key"], F.col("n") > limit)
     per = member.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("_b"))  # one for each band at most
     need = per.join(reps.select("v", "rep.doc_id", "rep._tag", "size"), "v").select("v", "doc_id", "_tag", "size", "_b")
     once = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_tag"), "text").dropDuplicates(["doc_id", "_tag"])
@@ -297,11 +298,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     kept = F.col("_keep") == F.struct("doc_id", "_tag")
     per = per.filter(~kept | (F.col("_n") > 1)).select(F.col("doc_id").alias(d), F.col("_tag").alias(t), kept.alias(flag))
     # documents are shuffled once, at every size alike: rows that aren't named stay, of kept repeats the first
-    named = docs.withColumn(tag, F.xxhash64("text"))
+    named = docs.filter("doc_id IS NOT NULL").withColumn(tag, F.xxhash64("text"))
     both = named.join(materialise(per, "gone").hint("merge"), (F.col("doc_id") == F.col(d)) & (F.col(tag) == F.col(t)), "left")
     first = F.row_number().over(Window.partitionBy("doc_id", tag).orderBy(tag)) == 1
     held = both.withColumn(nth, first).filter(F.col(flag).isNull() | F.col(flag) & F.col(nth))
-    return held.select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = held.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return held.unionAll(docs.filter("doc_id IS NULL"))  # they are told apart by nothing, so all stay and none is shuffled
 
 
 ORACLE = """

@@ -32,12 +32,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import materialise
+
 #: Characters below which a piece isn't halved any more: pieces that one task encodes in milliseconds.
 LEAF_CHARS = 16_384
 #: The first window's tokens on each side of a join.
 FIRST_WINDOW = 24
 #: Outer tokens of a window that must agree.
 AGREE = 6
+#: A long text with more than one in so many of the long rows is hot: its copies are dealt out.
+HOT_SHARE = 1_024
 #: Words and stretches whose ids a Python worker keeps, and characters encoded at once.
 CACHE_WORDS, PART_CHARS = 250_000, 1_500_000
 #: Fixed: the splitter whose matches are runs of letters, single digits and runs of marks.
@@ -497,7 +501,20 @@ def encode(docs: DataFrame, path: str, least: int = LEAF_CHARS, finish=raw_ids)
     cut = long_.select("_tag", "text").distinct().mapInArrow(pieces, "_tag string, _no int, text string")
     done = cut.repartition("_tag", "_no").mapInArrow(encoded, "_tag string, _no int, text string, ids binary")
     whole = done.groupBy("_tag").applyInPandas(merged, f"_tag string, {added}")
-    return short.unionAll(long_.select("doc_id", "_tag").join(whole, "_tag").select("doc_id", *names))
+    return short.unionAll(_back(materialise(long_.select("doc_id", "_tag"), "long"), whole).select("doc_id", *names))
+
+
+def _back(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """Rows (read from a table, so that their numbers are the same in every run of a task) with what their text
+    gave. A hot text's rows are dealt in parts of a 1,024th of all, each of which gets the text's row; these
+    are 2,048 more at most, and their size doesn't matter, since nothing but hashes and counts is broadcast."""
+    limit = max(rows.count() // HOT_SHARE, 1)
+    count = rows.groupBy("_tag").agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    hot = F.broadcast(count.select("_tag", F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, "_tag", "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
+    each = whole.join(hot, "_tag", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.drop("_parts").join(each, ["_tag", "_part"])
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:

@@ -18,6 +18,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import join_hot, materialise
+
 #: Fixed prefix rules: (verdict, host, path).
 PREFIX_RULES = [
     ("block", "com", "/en/"),
@@ -41,6 +43,8 @@ PATTERN_RULES = [
 TOKEN_BREAK = "[^a-z0-9]+"
 #: Rules, and bytes of their patterns, that are still sent to every executor; a longer list is shuffled by token.
 BROADCAST_RULES, BROADCAST_BYTES = 100_000, 16_000_000
+#: A url with more than one in so many pages is sent to its pages; there are as many at most.
+HOT_SHARE = 1_024
 
 
 def _rest(url: Column) -> Column:
@@ -92,7 +96,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     urls = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     # equal host and path are judged once and joined back, so a hot url costs one row; empty ones need no judging
     empty = (F.col("host") == "") & (F.col("path") == "")
-    distinct = urls.filter(~empty).select("host", "path").distinct()
+    distinct = urls.filter(~empty).groupBy("host", "path").agg(F.count("*").alias("_pages"))
     size = rules.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)).alias("bytes")).first()
     small = size["n"] <= BROADCAST_RULES and size["bytes"] <= BROADCAST_BYTES
     index = rule_index(distinct, rules).select(
@@ -102,13 +106,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     always = index.filter("token IS NULL").groupBy().agg(F.collect_list("_r").alias("_rs")).collect()[0]["_rs"]
 
     text = F.concat("host", "path")
-    toks = distinct.select("host", "path", F.explode_outer(_tokens(text)).alias("token"))
+    toks = distinct.select("host", "path", "_pages", F.explode_outer(_tokens(text)).alias("token"))
     cand = toks.join(F.broadcast(by_token) if small else by_token, "token", "left")
     fits = F.filter("_rs", lambda r: F.regexp_like(text, r["pattern"]))
-    tried = cand.select("host", "path", F.coalesce(F.size("_rs"), F.lit(0)).alias("_n"), fits.alias("_fit"))
+    tried = cand.select("host", "path", "_pages", F.coalesce(F.size("_rs"), F.lit(0)).alias("_n"), fits.alias("_fit"))
     top = lambda c: F.when(F.size(c) > 0, F.array_max(c))
     per = tried.groupBy("host", "path").agg(
-        F.max(top("_fit")).alias("_best"), F.sum(F.greatest("_n", F.lit(0))).alias("n_tried")
+        F.max(top("_fit")).alias("_best"), F.sum(F.greatest("_n", F.lit(0))).alias("n_tried"), F.max("_pages").alias("_pages")
     )
     if always:
         extra = F.array(*[
@@ -121,10 +125,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         ])
         per = per.select(
             "host", "path", F.greatest("_best", F.array_max(extra)).alias("_best"),
-            (F.col("n_tried") + len(always)).alias("n_tried"),
+            (F.col("n_tried") + len(always)).alias("n_tried"), "_pages",
         )
     none = urls.filter(empty).select("*", *[F.lit(None).cast(per.schema[c].dataType).alias(c) for c in ("_best", "n_tried")])
-    out = urls.filter(~empty).join(per, ["host", "path"], "left").unionByName(none)
+    limit = max(pages.count() // HOT_SHARE, 1)
+    per = materialise(per, "urls")
+    out = join_hot(urls.filter(~empty), per, ["host", "path"], F.col("_pages") > limit).drop("_pages").unionByName(none)
     fit = F.col("_best")
     return out.select(
         "page_id", "host", "path", fit["rule"].alias("rule"),

@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, labelled, secrets, token_store, tool_calls
+from gridloom.llm import decontaminate, labelled, ngram_join, secrets, token_store, tool_calls, tree_bpe, url_rules
 from gridloom.llm.queries import WORD_BPE
 
 
@@ -58,6 +58,48 @@ def test_many_items_of_one_window_arent_broadcast(spark, monkeypatch):
     assert sorted(decontaminate.decontaminate(docs, bench).collect()) == sorted(want) and len(sorted(want)[0]["items"]) == 500
 
 
+def test_copies_of_one_long_text_lie_in_many_tasks(spark):
+    long_ = " ".join(f"word{i}" for i in range(300))
+    rows = spark.range(2000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 4 > 0, F.lit(long_)).otherwise(F.concat(F.lit(long_ + " "), F.col("id").cast("string"))).alias("text"),
+    )
+    # as it is where the texts' results are too large to be broadcast
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = tree_bpe.digest(rows, WORD_BPE, 200).withColumn("task", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tok = tree_bpe.load_tokenizer(WORD_BPE)
+    n = {t: len(tok.encode(t, add_special_tokens=False).ids) for t in (long_, f"{long_} 0")}
+    assert len(got) == 2000 and sum(r["n_tokens"] == n[long_] for r in got) == 1500
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == list(range(0, 2000, 3))
+    tasks = [sum(r["task"] == t for r in got if r["n_tokens"] == n[long_]) for t in {r["task"] for r in got}]
+    assert max(tasks) < 800
+    assert tree_bpe.encode(rows, WORD_BPE, 200, tree_bpe.decoded).filter(F.col("decoded").isNull()).count() == 0
+
+
+def test_pages_of_one_url_and_none(spark, monkeypatch):
+    urls = ["http://a.b/login/x", "http://spam-farm.c/x", "http://a.com/en/1", "none", None]
+    pages = spark.createDataFrame([(i, urls[min(i % 9, 4)]) for i in range(900)], "page_id long, url string")
+    want = {0: (None, "block"), 1: (None, "block"), 2: ("com/en/", "block"), 3: (None, "allow"), 4: (None, "allow")}
+    for share in (url_rules.HOT_SHARE, 1):  # all urls hot, none
+        monkeypatch.setattr(url_rules, "HOT_SHARE", share)
+        got = url_rules.judge(pages, url_rules.rules_table(spark)).select("page_id", "rule", "verdict").collect()
+        assert sorted(map(tuple, got)) == [(i, *want[min(i % 9, 4)]) for i in range(900)]
+    assert url_rules.judge(pages.limit(0), url_rules.rules_table(spark)).count() == 0
+
+
+def test_many_rows_without_an_id_stay_unshuffled(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text)] * 300 + [(i, text.replace("w7 ", f"x{i % 3} ")) for i in range(90)] + [(500, "other words in a text of its own"), (500, "other words in a text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 4)
+    got = [r["doc_id"] for r in ngram_join.one_of_each(docs).collect()]
+    assert sorted(got, key=str) == sorted([None] * 300 + [0, 500], key=str)
+    links = {r["doc_id"]: r["n_links"] for r in ngram_join.near_copies(docs).collect()}
+    assert links[0] == 89 and links[None] == 0 and links[500] == 1
+
+
 def test_text_of_many_spans(spark):
     n = 3000
     parts = [f"é{i % 7} AKIA{'A' * 16}{i:05d}" for i in range(n)]
