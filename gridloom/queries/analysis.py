@@ -74,7 +74,16 @@ def a15(spark, d):
     return explore.acf(base.event_hourly(spark, d))
 
 
-@query("a16_pacf")
+_PACF = (
+    f"WITH RECURSIVE l AS (SELECT region, list(r ORDER BY lag) AS rho FROM ({_ACF.replace('range(0, 73)', 'range(0, 25)')}) GROUP BY 1),"
+    " p AS (SELECT region, rho, 0 AS lag, []::DOUBLE[] AS phi, 1.0::DOUBLE AS err, 1.0::DOUBLE AS r FROM l UNION ALL"
+    " SELECT region, rho, lag + 1, list_append(list_transform(phi, lambda x, j: x - last * phi[lag + 1 - j]), last), err * (1 - last * last), last"
+    " FROM (SELECT *, (rho[lag + 2] - coalesce(list_sum(list_transform(phi, lambda x, j: x * rho[lag + 2 - j])), 0)) / err AS last FROM p WHERE lag < 24))"
+    " SELECT region, lag, r FROM p"
+)
+
+
+@query("a16_pacf", "ehourly", _PACF, "r", "lag")
 def a16(spark, d):
     return explore.pacf(explore.acf(base.event_hourly(spark, d), 24))
 
