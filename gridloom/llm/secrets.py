@@ -2,9 +2,9 @@
 
 Three base rules find assignments, access keys and long hex runs. Two first-order character
 Markov models, one of random strings and one of ordinary identifiers, are counted from labelled
-samples, first characters and transitions. A token outside the base spans is scored by the
+samples of all different texts, first characters and transitions. A token outside the base spans is scored by the
 log-likelihood ratio of the two; from a threshold on it is added as kind ``random``. The threshold is
-calibrated on samples that weren't counted. Positions are code points, ends exclusive.
+calibrated on the samples of texts that weren't counted. Positions are code points, ends exclusive.
 
 Cases: null and empty texts have no spans; repeated rows each get a result row; without samples
 both models are uniform and add nothing; the part of a token that lies outside base spans is a token of
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh, materialise
+from gridloom.llm.common import fresh
 
 #: Fixed rules, in the order in which equal starts are listed: kind -> pattern.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,11 +34,12 @@ ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 #: Characters of a scored token, and how many different ones it needs.
 TOKEN_LEAST, DISTINCT_LEAST = 16, 8
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{TOKEN_LEAST},}}"
-#: Distinct texts from which labelled samples are taken, in expectation, at most.
-SAMPLE_DOCS = 4_000
-#: Least log-likelihood ratio, in nats, of a random token, and the share of ordinary samples that may reach the threshold.
-RATIO_LEAST, FALSE_RATE = 12.0, 1e-4
-#: What every transition counts before any is seen; one sample in so many calibrates the threshold.
+#: What stands between the words of a joined run.
+JOINS = ("_", "-", "/", "")
+#: Least log-likelihood ratio, in nats, of a random token, the share of ordinary samples that may reach the threshold, and
+#: the threshold's steps in a nat.
+RATIO_LEAST, FALSE_RATE, GRAIN = 12.0, 1e-4, 100
+#: What every transition counts before any is seen; one text in so many calibrates the threshold.
 PRIOR, HELD_OUT = 0.5, 5
 #: Matches whose positions are summed up together.
 BLOCK = 256
@@ -97,39 +98,62 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(both)
 
 
-def labelled_samples(docs: DataFrame, expected: int = SAMPLE_DOCS) -> DataFrame:
-    """(token, label, n) from at most about ``expected`` distinct texts chosen by hash: digests of texts in
-    hex, base64 and letters and digits alone, and what access and hex rules match, count as random (1);
-    all words, and every seventh run of three joined as in identifiers, count as ordinary (0)."""
-    n = docs.count()
-    share = min(1.0, expected / max(n, 1))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    chosen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 62)) < int(share * (1 << 62))).select(text.alias("_x")).distinct()
-    word = F.regexp_extract_all("_x", F.lit("[A-Za-z]{2,}"), F.lit(0))
-    chosen = chosen.select("_x", F.sha2("_x", 256).alias("_d"), word.alias("_w"))
-    trio = lambda sep: F.transform(
-        F.when(F.size("_w") >= 3, F.sequence(F.lit(1), F.size("_w") - 2, F.lit(7))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.array_join(F.slice("_w", i, 3), sep),
-    )
+def labelled_samples(docs: DataFrame) -> DataFrame:
+    """(token, label, n, n_first, held) from all different texts: digests of a text in hex, base64 and letters
+    and digits alone, and what access and hex rules match, count as random (1); all words, and all runs of three
+    joined as in identifiers, count as ordinary (0). One text in ``HELD_OUT`` is held out; its words come as one
+    token with spaces, which stands for them and their joined runs.
+
+    Of the others, runs aren't written out: their transitions are those of their words and of the joints between
+    words. Words and joints are summed over all texts, with the numbers of samples to which their transitions
+    (``n``) and their first characters (``n_first``) belong."""
+    seen = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_x"))
+    held = F.pmod(F.xxhash64("_x"), F.lit(HELD_OUT)) == 0
+    words = F.regexp_extract_all("_x", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("_w")
+
+    fit = seen.filter(~held).distinct().select("_x", F.sha2("_x", 256).alias("_d"), words)
     raw = F.concat(
         F.array(F.col("_d"), F.base64(F.unhex("_d")), F.translate(F.base64(F.unhex("_d")), "+/=", ""), F.upper(F.substring("_d", 1, 20))),
         F.regexp_extract_all("_x", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("_x", F.lit(HEX), F.lit(0)),
     )
-    plain = F.concat("_w", trio("_"), trio("-"), trio("/"), trio(""))
-    tag = lambda arr, label: F.transform(arr, lambda t: F.struct(t.alias("token"), F.lit(label).alias("label")))
-    return chosen.select(F.inline(F.concat(tag(raw, 1), tag(plain, 0)))).groupBy("token", "label").agg(F.count("*").alias("n"))
+    one = lambda t, label, at, after: F.struct(t.alias("token"), F.lit(label).alias("label"), at.alias("_at"), after.alias("_next"))
+    plain = F.transform("_w", lambda t, i: one(t, 0, i, F.substring(F.get("_w", i + 1), 1, 1)))
+    rows = fit.select((F.size("_w") - 3).alias("_last"), F.inline_outer(F.concat(F.transform(raw, lambda t: one(t, 1, F.lit(0), F.lit(None).cast("string"))), plain)))
+    # runs start at words 0 to _last: those with word _at, and those with the joint behind it
+    runs = lambda back: F.greatest(F.least("_at", "_last") - F.greatest(F.col("_at") - back, F.lit(0)) + 1, F.lit(0)) * len(JOINS)
+    ordinary = F.col("label") == 0
+    word = F.struct(
+        "token", "label", F.when(ordinary, runs(2) + 1).otherwise(1).alias("n"),
+        F.when(ordinary & (F.col("_at") <= F.col("_last")), 1 + len(JOINS)).otherwise(1).alias("n_first"), F.lit(False).alias("_joint"),
+    )
+    joint = F.struct(
+        F.concat(F.substring("token", -1, 1), "_next").alias("token"), "label", F.when(F.col("_next").isNotNull(), runs(1)).otherwise(0).alias("n"),
+        F.lit(0).alias("n_first"), F.lit(True).alias("_joint"),
+    )
+    sums = rows.select(F.inline(F.array(word, joint))).filter("n > 0").groupBy("token", "label", "_joint").agg(F.sum("n").alias("n"), F.sum("n_first").alias("n_first"))
+    left, right = F.substring("token", 1, 1), F.substring("token", 2, 1)
+    split = F.array(*[x for sep in JOINS for x in ((F.concat(left, F.lit(sep)), F.concat(F.lit(sep), right)) if sep else (F.col("token"),))])
+    each = F.explode(F.when(F.col("_joint"), split).otherwise(F.array("token"))).alias("token")
+    counted = sums.select(each, "label", (F.col("n") / F.when(F.col("_joint"), len(JOINS)).otherwise(1)).cast("long").alias("n"), "n_first", F.lit(False).alias("held"))
+
+    passages = seen.filter(held).distinct().select(F.array_join(F.regexp_extract_all("_x", F.lit("[A-Za-z]{2,}"), F.lit(0)), " ").alias("token"))
+    n = F.lit(1).cast("long")
+    return counted.unionAll(passages.select("token", F.lit(0).alias("label"), n.alias("n"), n.alias("n_first"), F.lit(True).alias("held")))
 
 
 def train(samples: DataFrame) -> Model:
-    """Count both models on four fifths of the samples and calibrate the threshold on the rest."""
+    """Count both models on the samples that aren't held out and calibrate the threshold on the others, the least
+    value of at least ``RATIO_LEAST`` that no more than ``FALSE_RATE`` of these reach, in steps of 1 / ``GRAIN``.
+    Samples without a column ``held`` are whole tokens, of which one in ``HELD_OUT`` is held out."""
     k = len(ALPHABET)
-    samples = materialise(samples, "samples")
-    held = F.pmod(F.xxhash64("token"), F.lit(HELD_OUT)) == 0
-    toks = samples.filter((F.length("token") >= 2) & ~held)
-    pairs = toks.select("label", "n", "token", F.explode(F.sequence(F.lit(0), F.length("token") - 1)).alias("_i"))
+    if "held" not in samples.columns:
+        held = F.pmod(F.xxhash64("token"), F.lit(HELD_OUT)) == 0
+        samples = samples.select("token", "label", "n", F.col("n").alias("n_first"), held.alias("held"))
+    toks = samples.filter((F.length("token") >= 2) & ~F.col("held"))
+    pairs = toks.select("label", "n", "n_first", "token", F.explode(F.sequence(F.lit(0), F.length("token") - 1)).alias("_i"))
     # what precedes the first character is written as a space
     pair = F.when(F.col("_i") == 0, F.concat(F.lit(" "), F.substring("token", 1, 1))).otherwise(F.col("token").substr(F.col("_i"), F.lit(2)))
-    counts = pairs.groupBy("label", pair.alias("pair")).agg(F.sum("n").alias("n"))
+    counts = pairs.groupBy("label", pair.alias("pair")).agg(F.sum(F.when(F.col("_i") == 0, F.col("n_first")).otherwise(F.col("n"))).alias("n"))
     known = counts.filter(F.col("pair").rlike(r"^[ A-Za-z0-9+/_=-][A-Za-z0-9+/_=-]$"))  # at most 2 * 68 * 67 rows
     n = [[[PRIOR] * k for _ in range(k + 1)] for _ in range(2)]
     for r in known.collect():
@@ -137,10 +161,16 @@ def train(samples: DataFrame) -> Model:
     log = [[[math.log(x / sum(row)) for x in row] for row in c] for c in n]
     ratio = [[b - a for a, b in zip(*rows, strict=True)] for rows in zip(*log, strict=True)]
     model = Model(ratio[-1], [x for row in ratio[:-1] for x in row])
-    plain = samples.filter(held & (F.col("label") == 0) & (F.length("token") >= TOKEN_LEAST))
-    plain = plain.filter(F.col("token").rlike(f"^{TOKEN}$") & varied(F.col("token"))).select(log_ratio(F.col("token"), model).alias("r"))
-    reached = plain.agg(F.percentile_approx("r", 1 - FALSE_RATE, 100_000)).first()[0]
-    model.threshold = max(RATIO_LEAST, reached or 0.0)
+    plain = ordinary_ratios(samples.filter(F.col("held") & (F.col("label") == 0)), model)
+    # all values below the least threshold are one bin
+    bins = plain.groupBy(F.greatest(F.floor(F.col("r") * GRAIN), F.lit(int(RATIO_LEAST * GRAIN) - 1)).alias("bin")).agg(F.sum("n").alias("n"))
+    bins = sorted(((r["bin"], r["n"]) for r in bins.collect()), reverse=True)
+    left = FALSE_RATE * sum(n for _, n in bins)
+    for at, n in bins:
+        if n > left:
+            model.threshold = (at + 1) / GRAIN
+            break
+        left -= n
     return model
 
 
@@ -166,6 +196,47 @@ def log_ratio(token: Column, model: Model) -> Column:
     return F.aggregate(codes, zero, step, lambda acc: acc["sum"])
 
 
+def ordinary_ratios(passages: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """(n, r): for each word of a passage and each joined run of three that is a candidate, what ``log_ratio`` gives, put
+    together from the parts of the words, each of which is read once."""
+    k, cut = len(ALPHABET), 40
+    bits = lambda lo: F.split(F.lit(",".join(str(1 << (i - lo) if lo <= i < lo + cut else 0) for i in range(k))), ",").cast("array<long>")
+    moves, first, low, high = _numbers(model.moves), _numbers(model.first), bits(0), bits(cut)
+    code = lambda c: F.instr(F.lit(ALPHABET), c) - 1
+
+    def step(acc: Column, c: Column) -> Column:
+        more = F.when(c >= 0, F.when(acc["tail"] < 0, F.get(first, c)).otherwise(F.get(moves, acc["tail"] * k + c)))
+        return F.struct(
+            c.alias("tail"), (acc["sum"] + more).alias("sum"), acc["lo"].bitwiseOR(F.get(low, c)).alias("lo"), acc["hi"].bitwiseOR(F.get(high, c)).alias("hi")
+        )
+
+    none = F.lit(0).cast("long")
+    zero = F.struct(F.lit(-1).alias("tail"), F.lit(0.0).alias("sum"), none.alias("lo"), none.alias("hi"))
+    part = lambda w: F.aggregate(F.transform(F.split(w, ""), code), zero, step, lambda acc: F.struct(
+        F.length(w).alias("len"), code(F.substring(w, 1, 1)).alias("head"), acc["tail"].alias("tail"), acc["sum"].alias("sum"), acc["lo"].alias("lo"), acc["hi"].alias("hi"),
+    ))
+
+    def candidate(ratio: Column, length: Column, lo: Column, hi: Column) -> Column:
+        return F.when((length >= TOKEN_LEAST) & (F.bit_count(lo) + F.bit_count(hi) >= DISTINCT_LEAST), ratio)
+
+    def ratios(a: Column, b: Column, c: Column) -> Column:
+        lo, hi = a["lo"].bitwiseOR(b["lo"]).bitwiseOR(c["lo"]), a["hi"].bitwiseOR(b["hi"]).bitwiseOR(c["hi"])
+        inner = a["sum"] + b["sum"] - F.get(first, b["head"]) + c["sum"] - F.get(first, c["head"])
+        out = [candidate(a["sum"], a["len"], a["lo"], a["hi"])]
+        for sep in JOINS:
+            at = ALPHABET.find(sep) if sep else None
+            move = lambda x, y: F.get(moves, x * k + y)
+            joint = lambda x, y: move(x["tail"], y["head"]) if at is None else move(x["tail"], F.lit(at)) + move(F.lit(at), y["head"])  # noqa: E731, B023
+            mark = F.lit(1 << (at - cut)).cast("long") if sep else none
+            out.append(candidate(inner + joint(a, b) + joint(b, c), a["len"] + b["len"] + c["len"] + 2 * len(sep), lo, hi.bitwiseOR(mark)))
+        return F.array(*out)
+
+    # outer generators: for others the optimizer adds filters that compute the same arrays again
+    lined = F.transform("_p", lambda p, i: F.struct(p.alias("a"), F.get("_p", i + 1).alias("b"), F.get("_p", i + 2).alias("c")))
+    runs = passages.select("n", *keep, F.transform(F.split("token", " "), part).alias("_p")).select("n", *keep, F.inline_outer(lined))
+    return runs.select("n", *keep, F.explode_outer(ratios(*(F.col(x) for x in "abc"))).alias("r")).filter(F.col("r").isNotNull())
+
+
 def _found(text: Column, base: Column, model: Model) -> Column:
     """Base spans and the tokens outside them that the models call random; base spans are blanked first."""
     blanked = redact(text, base, None)

@@ -1,5 +1,11 @@
 """Rows without an id or turn, repeated rows and rows of one id: nothing is lost, and no task gets them all."""
 
+import base64
+import hashlib
+import random
+import re
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -125,3 +131,59 @@ def test_text_of_many_spans(spark):
     assert got == [plain(text, spans), "plain", ""]
     blank = [r[0] for r in df.select(secrets.redact(F.col("text"), F.col("spans"), None)).collect()]
     assert len(blank[0]) == len(text) and "AKIA" not in blank[0] and pa.scalar(blank[1]).as_py() == "plain"
+
+
+def test_secret_models_count_every_text(spark):
+    """Sums of words and joints against runs of three written out, over more texts than any sample held."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abXY") for _ in range(rng.randint(1, 4))) for _ in range(rng.choice([0, 1, 2, 3, 9]))) + " %d." % i for i in range(6000)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, *texts[:500], None]], "text string")
+    samples = secrets.labelled_samples(rows)
+    held = {r[0] for r in rows.select(F.coalesce("text", F.lit("")).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(secrets.HELD_OUT)) == 0).collect()}
+    moves, first, whole = Counter(), Counter(), Counter()
+    for t in {*texts, ""}:
+        words, d = re.findall("[A-Za-z]{2,}", t), hashlib.sha256(t.encode())
+        b64 = base64.b64encode(d.digest()).decode()
+        runs = [sep.join(words[i : i + 3]) for i in range(len(words) - 2) for sep in ("_", "-", "/", "")]
+        if t in held:
+            whole.update(words + runs)
+            continue
+        for label, tokens in ((1, [d.hexdigest(), b64, re.sub("[+/=]", "", b64), d.hexdigest()[:20].upper()]), (0, words + runs)):
+            for w in tokens:
+                first[label, w[0]] += 1
+                moves.update((label, w[i : i + 2]) for i in range(len(w) - 1))
+    got_moves, got_first = Counter(), Counter()
+    for r in samples.filter("not held").collect():
+        got_first[r["label"], r["token"][0]] += r["n_first"]
+        for i in range(len(r["token"]) - 1):
+            got_moves[r["label"], r["token"][i : i + 2]] += r["n"]
+    assert len(held) > 1000 and got_moves == moves and +got_first == first
+    passages = [r["token"].split() for r in samples.filter("held and label = 0").collect()]
+    assert Counter(w for p in passages for w in [*p, *(sep.join(p[i : i + 3]) for i in range(len(p) - 2) for sep in secrets.JOINS)]) == whole
+
+
+def test_ratios_of_runs_are_those_of_their_tokens(spark):
+    rng = random.Random(8)
+    m = secrets.Model([rng.uniform(-3, 3) for _ in secrets.ALPHABET], [rng.uniform(-3, 3) for _ in range(len(secrets.ALPHABET) ** 2)])
+    passages = ["", "a", "one two", "Internationalisation", "aaaa aaaa aaaa aaaaaaaa", "é! some thing é wide again", " ".join("".join(rng.choice(secrets.ALPHABET) for _ in range(rng.randint(2, 9))) for _ in range(80))]
+    rows = spark.createDataFrame([(i, p, 1) for i, p in enumerate(passages)], "i int, token string, n long")
+    got = {i: [] for i in range(len(passages))}
+    for r in secrets.ordinary_ratios(rows, m, "i").orderBy("r").collect():
+        got[r["i"]].append(r["r"])
+    whole = [(i, t) for i, p in enumerate(passages) for w in [p.split(" ")] for t in [*w, *(sep.join(w[j : j + 3]) for j in range(len(w) - 2) for sep in secrets.JOINS)]]
+    tokens = spark.createDataFrame(whole, "i int, token string").filter(F.col("token").rlike(f"^{secrets.TOKEN}$") & secrets.varied(F.col("token")))
+    want = {i: [] for i in range(len(passages))}
+    for r in tokens.select("i", secrets.log_ratio(F.col("token"), m).alias("r")).collect():
+        want[r["i"]].append(round(r["r"], 3))
+    assert len(want[6]) > 200 and {i: len(v) for i, v in got.items()} == {i: len(v) for i, v in want.items()}
+    assert all(abs(a - b) < 0.002 for i in want for a, b in zip(got[i], sorted(want[i]), strict=True))
+
+
+def test_secret_threshold_lets_no_more_than_the_share_through(spark):
+    ordinary = [("".join(random.Random(i).choice("abcdefghijklmnop") for _ in range(16)), 0, 1, 1, i % 2 == 0) for i in range(400)]
+    odd = [("qrstuvwxyzQRSTUVWXYZ" + str(i), 0, 30, 30, True) for i in range(2)]
+    random_ = [("qrstuvwxyzQRSTUVWXYZ%d" % (i % 10), 1, 50, 50, False) for i in range(50)]
+    samples = spark.createDataFrame([*ordinary, *odd, *random_], "token string, label int, n long, n_first long, held boolean")
+    m = secrets.train(samples)
+    reached = samples.filter(F.col("held") & (secrets.log_ratio(F.col("token"), m) >= m.threshold)).count()
+    assert m.threshold > secrets.RATIO_LEAST and reached == 0
