@@ -6,10 +6,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, labelled, ngram_join, secrets, token_store, tool_calls, tree_bpe, url_rules
+from gridloom.llm import decontaminate, labelled, ngram_join, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
 from gridloom.llm.queries import WORD_BPE
 
 
@@ -187,3 +188,37 @@ def test_secret_threshold_lets_no_more_than_the_share_through(spark):
     m = secrets.train(samples)
     reached = samples.filter(F.col("held") & (secrets.log_ratio(F.col("token"), m) >= m.threshold)).count()
     assert m.threshold > secrets.RATIO_LEAST and reached == 0
+
+
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    """A text longer than any sample held, repeated ids, and shards that are averaged."""
+    docs = spark.range(6600).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") == 3, F.repeat(F.lit("word "), 20_000)).otherwise(F.concat(F.lit("some plain words "), F.when(F.col("id") % 4 == 0, "vile ").otherwise("mild "), "id")).alias("text"),
+        F.lit("en").alias("lang"),
+    )
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    out = labelled.remainder(F.col("doc_id"), 5) == 0
+    rows = toxicity.labelled_ids(docs.unionAll(docs), labels.unionAll(labels), out)
+    assert rows.count() == labels.filter(~out).count() > 5000
+    assert rows.select(F.max(F.size("_word"))).first()[0] == 20_000
+    met = []
+    average = toxicity.averaged
+    monkeypatch.setattr(toxicity, "SHARD_TEXTS", 2000)
+    monkeypatch.setattr(toxicity, "averaged", lambda fit, m, shards, *a: met.append((fit.count(), shards)) or average(fit, m, shards, *a))
+    m = toxicity.train(docs, labels)
+    assert met[0][1] == 3 and met[0][0] > 4000 and set(m.thresholds) == {"en"}
+    got = toxicity.digest(docs, m).join(labels, "doc_id")
+    assert got.filter("held_out AND predicted != toxic").count() <= 1
+
+
+def test_peaks_in_blocks_are_those_of_whole_texts():
+    rng = np.random.default_rng(3)
+    m = toxicity.start(10, 5, rng.integers(0, 5, (2, 2 * toxicity.BUCKETS + 1)).astype(float))
+    texts = [rng.integers(0, toxicity.BUCKETS, n).astype(np.int32) for n in (0, 1, 5, 40, 300)]
+    w, starts = toxicity._padded(texts)
+    p, _ = toxicity._padded([t + toxicity.BUCKETS for t in texts])
+    whole, at = toxicity.peaks(m, w, p, starts)
+    for limit in (1, 7, 64):
+        v, i = toxicity.peaks(m, w, p, starts, limit)
+        assert np.allclose(v, whole, atol=1e-6) and (i == at).mean() > 0.99
