@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.labelled import remainder, sample
 
-#: Labelled documents, at most, that training gathers.
+#: Labelled documents, at most, that training gathers in one task.
 SAMPLE = 4_000
 #: Steps of each round of training; lines are labelled anew before all but the first.
 STEPS = (150, 60, 60)
@@ -140,6 +140,12 @@ class Model:
     constant: float | None = None
 
 
+#: A model as a row.
+MODEL = pa.schema([
+    ("weights", pa.list_(pa.float64())), ("moves", pa.list_(pa.list_(pa.float64()))), ("slope", pa.float64()), ("shift", pa.float64()), ("constant", pa.float64()),
+])
+
+
 def marginals(u: np.ndarray, begin: np.ndarray, moves: np.ndarray, pairs: bool = False):
     """Probability that each line is good; all texts are stepped through together, longest first.
 
@@ -253,11 +259,24 @@ def predict(m: Model, texts: list[str]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, rows: int = SAMPLE) -> Model:
-    """Fit on labelled rows outside the held-out fold."""
+    """Fit on labelled rows outside the held-out fold, in a task: the driver gets the model and no texts."""
     out = remainder(F.col("doc_id"), folds) == held
-    got = sample(docs.select("doc_id", "text"), labels, "quality", out, rows).toArrow().combine_chunks()
-    got = got.sort_by("doc_id")
-    return fit(got.column("text").to_pylist(), np.array(got.column("_y").to_pylist(), dtype=float))
+    got = sample(docs.select("doc_id", "text"), labels, "quality", out, rows)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(it)
+        if not batches:
+            return
+        whole = pa.Table.from_batches(batches).sort_by("doc_id")
+        m = fit(whole.column("text").to_pylist(), np.array(whole.column("_y").to_pylist(), dtype=float))
+        yield pa.RecordBatch.from_pylist([vars(m) | {"weights": m.weights.tolist(), "moves": m.moves.tolist()}], MODEL)
+
+    # the sample is bounded, so one task fits it; only the model goes to the driver
+    fitted = got.repartition(1).mapInArrow(run, "weights array<double>, moves array<array<double>>, slope double, shift double, constant double").collect()
+    if not fitted:
+        return fit([], np.zeros(0))
+    m = fitted[0].asDict()
+    return Model(**m | {"weights": np.array(m["weights"]), "moves": np.array(m["moves"])})
 
 
 def _scores(m: Model, texts: list) -> np.ndarray:

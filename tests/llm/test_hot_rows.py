@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -10,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, labelled, ngram_join, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
+from gridloom.llm import components, decontaminate, labelled, ngram_join, quality, secrets, token_store, tool_calls, toxicity, tree_bpe, url_rules
+from gridloom.llm.common import materialise
 from gridloom.llm.queries import WORD_BPE
 
 
@@ -222,3 +224,39 @@ def test_peaks_in_blocks_are_those_of_whole_texts():
     for limit in (1, 7, 64):
         v, i = toxicity.peaks(m, w, p, starts, limit)
         assert np.allclose(v, whole, atol=1e-6) and (i == at).mean() > 0.99
+
+
+def test_quality_is_fitted_in_a_task(spark, monkeypatch):
+    texts = [f"Line {i} of good prose, with words.\nAnd more of it." if i % 2 else f"$$$ {i} ###\n|||" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = quality.train(docs, labels)
+    used = labelled.sample(docs, labels, "quality", labelled.remainder(F.col("doc_id"), 4) == 2, 100).orderBy("doc_id").collect()
+    want = quality.fit([r["text"] for r in used], np.array([r["_y"] for r in used], float))
+    assert np.allclose(got.weights, want.weights) and np.allclose(got.moves, want.moves) and np.allclose([got.slope, got.shift], [want.slope, want.shift])
+    model = quality.Model
+
+    def where(texts, y):
+        return model(np.array([os.getpid(), len(texts)], float), np.zeros((2, 2)), 0.0, 0.0)
+
+    monkeypatch.setattr(quality, "fit", where)
+    pid, n = quality.train(docs, labels).weights
+    assert pid != os.getpid() and n == len(used)
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    written = []
+
+    def noted(df, name):
+        written.append(name)
+        return materialise(df, name)
+
+    monkeypatch.setattr(components, "materialise", noted)
+    stars = spark.createDataFrame([(10 * i + j, 10 * i) for i in range(20) for j in range(1, 9)] + [(7, 7)], "u long, v long")
+    got = {r["v"]: r["root"] for r in components.components(stars).collect()}
+    assert got == {10 * i + j: 10 * i for i in range(20) for j in range(9)} and written == ["edges"]
+    written.clear()
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (101, 102)], "u long, v long")
+    got = {r["v"]: r["root"] for r in components.components(path).collect()}
+    assert got == dict.fromkeys(range(41), 0) | dict.fromkeys((100, 101, 102), 100)
+    assert components.components(path.limit(0)).count() == 0
