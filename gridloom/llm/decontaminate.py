@@ -80,7 +80,10 @@ def _whole(hashed: DataFrame, keys: list[str], length: int) -> DataFrame:
 
 
 def _text_of(at: Column, length: Column) -> Column:
-    return F.array_join(F.transform(F.slice("_w", at + 1, length), ascii_lower), " ")
+    """The window's words as they are compared. Joined before they are lower-cased: without a higher-order
+    function Spark fuses this with the explode below it, so that the words of a whole text are never
+    copied once for each window."""
+    return ascii_lower(F.array_join(F.slice("_w", at + 1, length), " "))
 
 
 def window_hits(docs: DataFrame, bench: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
@@ -105,30 +108,32 @@ def window_hits(docs: DataFrame, bench: DataFrame, window: int = 10, gram: int =
     keys = ["doc_id", "_tag"]
     text = _hashed(docs, {"doc_id": F.col("doc_id"), "_tag": F.xxhash64("text")}, "text")
 
-    def kept(hashed: DataFrame, cols: list[str]) -> DataFrame:
+    def kept(hashed: DataFrame, cols: list[str]) -> list[DataFrame]:
         parts = [fingerprints(hashed, cols, window, gram).select("*", F.lit(window).alias("_len"))]
-        parts += [_whole(hashed, cols, n).select("*", F.lit(n).alias("_len")) for n in short]
-        return reduce(DataFrame.unionAll, parts)
+        return parts + [_whole(hashed, cols, n).select("*", F.lit(n).alias("_len")) for n in short]
+
+    def tried(found: DataFrame) -> DataFrame:
+        """Texts of the windows that cover hits."""
+        last = F.size("_w") - F.col("_len")
+        reach = F.when(F.col("_len") == window, F.lit(window - gram)).otherwise(F.lit(0))
+        cover = F.sequence(F.greatest(F.col("_at") - reach, F.lit(0)), F.least(F.col("_at"), last))
+        each = found.select(*keys, "_w", "_len", F.explode(cover).alias("start"))
+        return each.select(*keys, "start", "_len", _text_of(F.col("start"), F.col("_len")).alias("_win"))
 
     of_items = reduce(
         DataFrame.unionAll,
-        [kept(items.filter(F.size("_h") >= window), ["_item"]).filter(F.col("_len") == window)]
+        [kept(items.filter(F.size("_h") >= window), ["_item"])[0]]
         + [_whole(items.filter(F.size("_h") == n), ["_item"], n).select("*", F.lit(n).alias("_len")) for n in short],
     ).select("_fp").distinct()
     own = kept(text, keys)
-    if small:
-        found = own.join(F.broadcast(of_items), "_fp", "left_semi")
+    if small:  # each part by itself, as the words would be copied for every hash that goes through a union
+        windows = reduce(DataFrame.unionAll, [tried(part.join(F.broadcast(of_items), "_fp", "left_semi")) for part in own])
     else:  # the words stay behind and are fetched again for the texts that were hit
-        hit = own.select(*keys, "_at", "_len", "_fp").join(of_items, "_fp", "left_semi")
+        hit = reduce(DataFrame.unionAll, [part.select(*keys, "_at", "_len", "_fp") for part in own]).join(of_items, "_fp", "left_semi")
         per = hit.groupBy(*keys).agg(F.collect_set(F.struct("_at", "_len")).alias("_hits"))
         per = per.select(F.col("doc_id").alias("_d"), F.col("_tag").alias("_t"), "_hits")
-        found = text.join(per, same_keys(keys, ["_d", "_t"])).select(*keys, "_w", F.inline("_hits"))
-    last = F.size("_w") - F.col("_len")
-    reach = F.when(F.col("_len") == window, F.lit(window - gram)).otherwise(F.lit(0))
-    cover = F.sequence(F.greatest(F.col("_at") - reach, F.lit(0)), F.least(F.col("_at"), last))
-    tried = found.select(*keys, "_w", "_len", F.explode(cover).alias("start"))
-    tried = tried.select(*keys, "start", "_len", _text_of(F.col("start"), F.col("_len")).alias("_win"))
-    met = tried.join(put(by_win), ["_win", "_len"]).select(*keys, "start", F.col("_len").alias("length"), "items")
+        windows = tried(text.join(per, same_keys(keys, ["_d", "_t"])).select(*keys, "_w", F.inline("_hits")))
+    met = windows.join(put(by_win), ["_win", "_len"]).select(*keys, "start", F.col("_len").alias("length"), "items")
     # summed up where rows lie, so that copies of one row never meet
     return met.groupBy(*keys, "start", "length").agg(F.any_value("items").alias("items"))
 

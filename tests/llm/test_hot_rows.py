@@ -67,6 +67,15 @@ def test_many_items_of_one_window_arent_broadcast(spark, monkeypatch):
     assert sorted(decontaminate.decontaminate(docs, bench).collect()) == sorted(want) and len(sorted(want)[0]["items"]) == 500
 
 
+def test_long_texts_made_of_items_dont_fill_the_memory(spark):
+    items = {i: " ".join(f"w{i}x{k}" for k in range(40)) for i in range(200)}
+    long_ = " zz ".join([*items.values()] * 3)
+    bench = spark.createDataFrame([*items.items(), (200, "Very Short item")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, long_.upper()), (2, long_ + " very short Item"), (3, "zz very short")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"])) for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert got == {1: (24_599, 24_000, 200), 2: (24_602, 24_003, 201), 3: (3, 0, 0)}
+
+
 def test_copies_of_one_long_text_lie_in_many_tasks(spark):
     long_ = " ".join(f"word{i}" for i in range(300))
     rows = spark.range(2000).select(
