@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import uuid
 from collections.abc import Callable, Iterator
@@ -131,22 +132,46 @@ def _fold(folds: DataFrame, kind: str, f: int, features: list[str], params: dict
     return (kind, f, float(m["rmse"]), float(m["mae"]), int(m["n"])) if m["n"] else None
 
 
+def _staged(folds: DataFrame, f: int, features: list[str], params: dict, sizes: list[int]) -> list[float] | None:
+    """RMSE of a fold after each of several numbers of boosted trees, of one fit: fewer trees are the first of more."""
+    part = folds.filter(F.col("fold") == f)
+    got = fit_regressor("gbt", part.filter("role = 'train'"), None, features, params | {"maxIter": max(sizes)})
+    test = assemble(part.filter(f"role = 'test' AND {TARGET} IS NOT NULL"), features)
+    squares = got.model.evaluateEachIteration(test, "squared")
+    return None if math.isnan(squares[0]) else [math.sqrt(squares[n - 1]) for n in sizes]
+
+
 def tune(df: DataFrame, kind: str, features: list[str], n: int = 4, k: int = 3, seed: int = 42, space: dict | None = None, search: str = "random") -> tuple[dict, DataFrame]:
     """The best point of a space by mean fold RMSE: of ``n`` different seeded draws (all points, if it has fewer), or
-    of its whole ``grid``. All folds of all points are fitted side by side on folds that are cut once."""
+    of its whole ``grid``. All folds of all points are fitted side by side on folds that are cut once; points of
+    boosted trees that differ in nothing but the number of trees share their fits."""
     space = space or SPACES[kind]
     points = [dict(zip(sorted(space), v, strict=True)) for v in product(*[space[p] for p in sorted(space)])]
     if search == "random":
         points = random.Random(seed).sample(points, min(n, len(points)))
     elif search != "grid":
         raise ValueError(f"unknown search {search!r}")
+    alike: dict[str, list[int]] = {}
+    for i, p in enumerate(points):
+        own = {n: v for n, v in p.items() if n != "maxIter"} if kind == "gbt" and "maxIter" in p else p | {"_": i}
+        alike.setdefault(str(own), []).append(i)
+    groups = list(alike.values())
     folds = cv_folds(df, k).cache()
-    found = side_by_side(df.sparkSession, [lambda p=p, f=f: _fold(folds, kind, f, features, p) for p in points for f in range(k)])
+
+    def one(group: list[int], f: int) -> list[float] | None:
+        p = points[group[0]]
+        if len(group) > 1:
+            return _staged(folds, f, features, p, [points[i]["maxIter"] for i in group])
+        got = _fold(folds, kind, f, features, p)
+        return got and [got[2]]
+
+    found = side_by_side(df.sparkSession, [lambda g=g, f=f: one(g, f) for g in groups for f in range(k)])
     folds.unpersist()
     tried = []
-    for i, p in enumerate(points):
-        own = [r[2] for r in found[i * k : (i + 1) * k] if r]
-        tried.append((i, str(p), sum(own) / len(own), p))
+    for j, group in enumerate(groups):
+        own = [r for r in found[j * k : (j + 1) * k] if r]
+        tried += [(i, str(points[i]), sum(r[m] for r in own) / len(own), points[i]) for m, i in enumerate(group)]
+    tried.sort(key=lambda t: t[0])
     best = min(tried, key=lambda t: t[2])
     return best[3], df.sparkSession.createDataFrame([t[:3] for t in tried], "trial int, params string, rmse double")
 

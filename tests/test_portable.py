@@ -147,3 +147,18 @@ def test_search(spark, rows):
     best, tried = modeling.tune(df, "linear", FEATURES[:2], k=2, search="grid")
     assert tried.count() == 3 and best["regParam"] in modeling.SPACES["linear"]["regParam"]
     assert modeling.tune(df, "forest", FEATURES[:2], 2, 2, space={"numTrees": [2, 3], "maxDepth": [2]})[1].count() == 2
+
+
+def test_points_with_fewer_trees_share_fits(spark, rows, monkeypatch):
+    df, fitted = rows.filter("id < 400"), []
+    fit = modeling.fit_regressor
+    monkeypatch.setattr(modeling, "fit_regressor", lambda *a, **b: fitted.append(1) or fit(*a, **b))
+    space = {"maxIter": [2, 4], "maxDepth": [2, 3], "stepSize": [0.3]}
+    best, tried = modeling.tune(df, "gbt", FEATURES[:2], k=2, space=space, search="grid")
+    assert len(fitted) == 2 * 2
+    folds = modeling.cv_folds(df, 2).cache()
+    tries = tried.orderBy("trial").collect()
+    assert [r["trial"] for r in tries] == [0, 1, 2, 3] and str(best) == min(tries, key=lambda r: r["rmse"])["params"]
+    for r in tries:
+        own = [modeling._fold(folds, "gbt", f, FEATURES[:2], eval(r["params"]))[2] for f in range(2)]
+        assert abs(r["rmse"] - sum(own) / 2) < 1e-9 * r["rmse"]
