@@ -76,6 +76,16 @@ def test_long_texts_made_of_items_dont_fill_the_memory(spark):
     assert got == {1: (24_599, 24_000, 200), 2: (24_602, 24_003, 201), 3: (3, 0, 0)}
 
 
+def test_the_pipeline_drops_long_texts_made_of_items(spark, tmp_path):
+    import corpus_pipeline
+
+    items = {i: " ".join(f"w{i}x{k}" for k in range(40)) for i in range(200)}
+    spark.createDataFrame([*items.items()], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, " zz ".join([*items.values()] * 3)), (2, "zz w1x1 w1x2"), (None, "zz")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {2, None}
+
+
 def test_copies_of_one_long_text_lie_in_many_tasks(spark):
     long_ = " ".join(f"word{i}" for i in range(300))
     rows = spark.range(2000).select(
